@@ -32,7 +32,7 @@ levels AS (
   WINDOW before AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT *, least(3.0 * source_size,
-                  weight * (SELECT min(level) FROM levels l WHERE l.level * l.weight <= 3.0 * l.source_size)) AS target,
+                  weight * (SELECT arg_min(level, source_size / weight) FROM levels l WHERE l.level * l.weight <= 3.0 * l.source_size)) AS target,
          3 * ((source_size + 15) // 16) AS most
   FROM levels),
 quotas AS (
@@ -71,3 +71,22 @@ SELECT doc_id, size, source_size, target,
             + greatest(0, least(stop, 16 * (first + rest - blocks)) - start) AS BIGINT) AS taken
 FROM chosen
 """
+
+OP8 = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM tokens WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+                    GROUP BY x.doc_id, y.doc_id)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(l.other, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import line_dedup, mixing, oracle, secrets
+from resona.llm import line_dedup, minhash, mixing, oracle, secrets
 from resona.llm.tables import table
 
 
@@ -27,6 +27,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +41,7 @@ def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
         "op7_line_dedup": op7_line_dedup,
+        "op8_minhash_dedup": op8_minhash_dedup,
         "op10_source_mix": op10_source_mix,
     }
 
@@ -43,5 +49,6 @@ def queries():
 def oracle_sql():
     return {
         "op7_line_dedup": oracle.OP7,
+        "op8_minhash_dedup": oracle.OP8,
         "op10_source_mix": oracle.OP10,
     }
