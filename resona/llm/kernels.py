@@ -66,9 +66,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) ->
             at = to
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every run of non-white bytes, and the first word of every text (one entry more than texts)."""
-    black = ~WHITE_BYTES[raw]
+def spans(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that aren't ``outside``, and the first run of every text (one entry more than texts)."""
+    black = ~outside[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     begin = black.copy()

@@ -37,7 +37,7 @@ from resona.llm.tables import cut
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text back to back, and each text's first (one entry more than texts)."""
-    starts, ends, first = kernels.word_spans(raw, offsets)
+    starts, ends, first = kernels.spans(raw, offsets)
     hashes = kernels.span_hashes(raw, starts, ends)
     counts = np.diff(first)
     full = np.zeros(0, np.uint64)

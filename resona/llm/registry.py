@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import line_dedup, minhash, mixing, oracle, secrets
+from resona.llm import line_dedup, minhash, mixing, oracle, secrets, toxicity
 from resona.llm.tables import table
 
 
@@ -32,6 +32,11 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +47,7 @@ def queries():
         "op1_secret_scan": op1_secret_scan,
         "op7_line_dedup": op7_line_dedup,
         "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_source_mix": op10_source_mix,
     }
 
