@@ -113,17 +113,20 @@ def marginals(chain: Chain, emission: np.ndarray, lengths: np.ndarray, gaps: np.
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, penalty: float = 1e-2, steps: int = 100) -> np.ndarray:
-    """Weights (last: bias) of a logistic regression by Newton steps."""
+    """Weights (last: bias) of a logistic regression by Newton steps, halved while they overshoot."""
     x = np.column_stack([features, np.ones(len(features))])
     w, weights = np.zeros(x.shape[1]), np.ones(len(x)) if weights is None else weights
+    loss = lambda w: (weights * np.logaddexp(0, (1 - 2 * labels) * (x @ w))).sum() + penalty / 2 * w @ w
+    best = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -CLIP, CLIP)))
-        slope = x.T @ (weights * (labels - p)) - penalty * w
         curve = (x * (weights * p * (1 - p))[:, None]).T @ x + (penalty + 1e-9) * np.eye(len(w))
-        move = np.linalg.solve(curve, slope)
-        w = w + np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-9:
+        move = np.linalg.solve(curve, x.T @ (weights * (labels - p)) - penalty * w)
+        while (now := loss(w + move)) > best and np.abs(move).max() > 1e-9:
+            move = move / 2
+        if best - now < 1e-9 * max(1.0, best):
             break
+        w, best = w + move, now
     return w
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import line_dedup, minhash, mixing, oracle, secrets, toxicity
+from resona.llm import line_dedup, minhash, mixing, oracle, quality, secrets, toxicity
 from resona.llm.tables import table
 
 
@@ -22,6 +22,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.5)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -45,6 +50,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_line_quality": op2_line_quality,
         "op7_line_dedup": op7_line_dedup,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_toxicity": op9_toxicity,
