@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import line_dedup, minhash, mixing, oracle, quality, secrets, toxicity
+from resona.llm import embed_dedup, line_dedup, minhash, mixing, oracle, quality, secrets, topk, toxicity
 from resona.llm.tables import table
 
 
@@ -27,6 +27,14 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,6 +59,8 @@ def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_line_quality": op2_line_quality,
+        "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_exact_topk": op6_exact_topk,
         "op7_line_dedup": op7_line_dedup,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_toxicity": op9_toxicity,
@@ -60,6 +70,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op5_embedding_dedup": oracle.OP5,
+        "op6_exact_topk": oracle.OP6,
         "op7_line_dedup": oracle.OP7,
         "op8_minhash_dedup": oracle.OP8,
         "op10_source_mix": oracle.OP10,
