@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import embed_dedup, line_dedup, minhash, mixing, oracle, quality, secrets, topk, toxicity
+from resona.llm import embed_dedup, line_dedup, minhash, mixing, oracle, pieces, quality, secrets, topk, toxicity
 from resona.llm.tables import table
 
 
@@ -27,6 +29,23 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def vocabulary_path() -> str:
+    """Where the public SentencePiece model lies; ``RESONA_PIECES`` names another."""
+    return os.environ.get("RESONA_PIECES") or "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load(vocabulary_path())
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "n_chunks",
+        F.sha2(F.array_join(F.transform("piece_ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -59,6 +78,7 @@ def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_line_quality": op2_line_quality,
+        "op3_piece_encoding": op3_piece_encoding,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_exact_topk": op6_exact_topk,
         "op7_line_dedup": op7_line_dedup,
