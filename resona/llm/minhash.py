@@ -8,11 +8,14 @@
    serve ``collections * (collections - 1) / 2`` tables: 28 hashes for 91 tables of 4.
    At similarity 0.8 a pair shares no table only if fewer than two of the 14
    collections agree: 1.6e-5 (3e-6 at 0.85).
-3. In a table's bucket every member is compared with the bucket's smallest member,
-   never with all others. Verified links are merged into components; only where a
-   bucket still holds several components, members of different components are
-   compared, with sizes that allow the threshold. No bucket is capped.
-4. Links are confirmed on the full shingle sets.
+   A collection's value that one class alone has can be in no shared key, so such
+   values go first, with one row per collection instead of one per table.
+3. Members of a bucket are tied to its smallest member, and the ties' connected
+   components are the candidate clusters. Inside a cluster, blocks of ``block``
+   classes meet block by block in separate tasks, which compare full shingle sets by
+   one matrix product and return the spanning edges of their links. No pair is
+   emitted, no bucket is capped, and no candidate is left uncompared; a large
+   cluster costs its square in products, spread over its block pairs.
 
 Defined results: a text with no words has an empty set and links with nothing; with
 fewer words than a shingle, the whole sequence is the one shingle; rows with equal
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,81 +113,110 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text", "asked").mapInArrow(run, "class_hash long, members binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * same >= percent * (len(both) - same)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    joined = (
-        pairs.join(sets.select(F.col("class_hash").alias("a"), F.col("members").alias("left")), "a")
-        .join(sets.select(F.col("class_hash").alias("b"), F.col("members").alias("right")), "b")
-        .select("a", "b", "left", "right")
-    )
-    return joined.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 14, rows: int = 2) -> DataFrame:
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products over the shingles both sides hold."""
+    rows_l, rows_r = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    all_l, all_r = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(all_l, all_r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out.astype(np.int64)
+    place_l, place_r = np.searchsorted(common, all_l), np.searchsorted(common, all_r)
+    in_l, in_r = common[np.minimum(place_l, len(common) - 1)] == all_l, common[np.minimum(place_r, len(common) - 1)] == all_r
+    rows_l, place_l, rows_r, place_r = rows_l[in_l], place_l[in_l], rows_r[in_r], place_r[in_r]
+    for at in range(0, len(common), 8192):
+        x, y = np.zeros((len(left), min(8192, len(common) - at)), np.float32), np.zeros((len(right), min(8192, len(common) - at)), np.float32)
+        mine, other = (place_l >= at) & (place_l < at + 8192), (place_r >= at) & (place_r < at + 8192)
+        x[rows_l[mine], place_l[mine] - at] = 1
+        y[rows_r[other], place_r[other] - at] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _spanning(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
+    """Spanning edges of the links between left and right (None: inside left)."""
+    other = left if right is None else right
+    sets_l, sets_r = [np.frombuffer(x, np.uint64) for x in left["members"]], [np.frombuffer(x, np.uint64) for x in other["members"]]
+    sizes_l, sizes_r = np.array([len(x) for x in sets_l]), np.array([len(x) for x in sets_r])
+    same = _intersections(sets_l, sets_r)
+    linked = 100 * same >= percent * (sizes_l[:, None] + sizes_r[None] - same)
+    if right is None:
+        linked = np.triu(linked, 1)
+    names_l, names_r = left["class_hash"].to_numpy(), other["class_hash"].to_numpy()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = int(names_l[i]), int(names_r[j])
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 14, rows: int = 2, block: int = 256) -> DataFrame:
     """Per document: doc_id, class_hash, n_shingles, component_id (smallest doc_id reachable), kept (it is that document).
 
     Linked: 100 * intersection >= percent * union of the shingle sets.
     """
     signed = cut(signatures(docs, words, collections * rows))
     classes = cut(
-        signed.where("n_shingles > 0")
-        .groupBy("class_hash")
-        .agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("minima").alias("minima"))
+        signed.where("n_shingles > 0").groupBy("class_hash").agg(F.min("doc_id").alias("first_doc"), F.first("minima").alias("minima"))
     )
-    small = F.transform(
-        F.sequence(F.lit(0), F.lit(collections - 1)), lambda c: F.xxhash64(F.slice("minima", c * rows + 1, F.lit(rows)))
-    )
-    tables = F.expr(
-        f"flatten(transform(sequence(0, {collections - 2}), i -> transform(sequence(i + 1, {collections - 1}), j -> xxhash64(i, j, small[i], small[j]))))"
-    )
-    keyed = classes.select("class_hash", "n", small.alias("small")).select("class_hash", "n", F.explode(tables).alias("key"))
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    # a key that one class alone has says nothing; few keys are left
-    shared = cut(
-        keyed.join(keyed.groupBy("key").agg(F.min("class_hash").alias("leader"), F.max("class_hash").alias("last")).where("leader < last").drop("last"), "key")
-    )
-    sized = lambda name, size: classes.select(F.col("class_hash").alias(name), F.col("n").alias(size))
-    stars = shared.where("class_hash <> leader").select(F.col("leader").alias("a"), F.col("class_hash").alias("b"), "n").distinct()
-    stars = cut(stars.join(sized("a", "n2"), "a").where(fits).select("a", "b"))
-    asked = shared.select("class_hash").distinct()
-    asked = asked.join(classes, "class_hash").where(F.col("first_doc").isNotNull()).select("first_doc", F.col("class_hash").alias("asked"))
-    sets = cut(
+    small = F.transform(F.sequence(F.lit(0), F.lit(collections - 1)), lambda c: F.xxhash64(F.slice("minima", c * rows + 1, F.lit(rows))))
+    values = classes.select("class_hash", F.posexplode(small).alias("c", "value"))
+    repeated = cut(values.groupBy("c", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    held = values.join(repeated, ["c", "value"]).groupBy("class_hash").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("held"))
+    pairs = F.expr("flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> xxhash64(x.c, y.c, x.value, y.value))))")
+    keyed = cut(held.where(F.size("held") > 1).select("class_hash", F.explode(pairs).alias("key")))
+    leaders = cut(keyed.groupBy("key").agg(F.min("class_hash").alias("leader"), F.max("class_hash").alias("last")).where("leader < last").drop("last"))
+    ties = keyed.join(leaders, "key").where("class_hash <> leader").select(F.col("leader").alias("a"), F.col("class_hash").alias("b"))
+    clusters = cut(components(ties).select(F.col("node").alias("class_hash"), F.col("component").alias("cluster")))
+    asked = clusters.join(classes, "class_hash").where(F.col("first_doc").isNotNull()).select("first_doc", F.col("class_hash").alias("asked"))
+    sets = (
         _sets(docs.select(F.col("doc_id").alias("first_doc"), "text").join(asked, "first_doc").select("text", "asked"), words)
         .groupBy("class_hash")
         .agg(F.first("members").alias("members"))
     )
-    links = cut(_verified(stars, sets, percent))
-    found = cut(components(links))
-    # buckets that still hold several components: members of different ones are compared
-    part = shared.select("key", "class_hash", "n").join(found.select(F.col("node").alias("class_hash"), "component"), "class_hash", "left")
-    part = part.select("key", "class_hash", "n", F.coalesce("component", "class_hash").alias("component"))
-    mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    part = part.join(mixed, "key")
-    other = part.select("key", F.col("class_hash").alias("b"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    crossed = part.join(other, "key").where("component <> component2 AND class_hash < b").where(fits).select(F.col("class_hash").alias("a"), "b").distinct()
-    more = cut(_verified(crossed.join(stars, ["a", "b"], "left_anti"), sets, percent))
-    if not more.isEmpty():
-        found = cut(components(links.union(more)))
-    ids = (
-        classes.join(found.select(F.col("node").alias("class_hash"), "component"), "class_hash", "left")
-        .select("class_hash", "first_doc", F.coalesce("component", "class_hash").alias("component"))
+    tasks = max(1, clusters.count() // 500)
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = (
+        clusters.join(sizes, "cluster")
+        .withColumn("mine", F.pmod(F.xxhash64("class_hash"), "parts"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select(
+            "class_hash",
+            "cluster",
+            F.least("mine", "other").alias("p"),
+            F.greatest("mine", "other").alias("q"),
+            (F.col("mine") > F.col("other")).alias("second"),
+        )
+        .withColumn("task", F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", "p", "q")))
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for (_, p, q), own in group.groupby(["cluster", "p", "q"], sort=False):
+            if p == q:
+                out += _spanning(own, None, percent) if len(own) > 1 else []
+            elif own["second"].any() and not own["second"].all():
+                out += _spanning(own[~own["second"]], own[own["second"]], percent)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    links = placed.join(sets, "class_hash").groupBy("task").applyInPandas(compare, "a long, b long")
+    found = components(links)
+    ids = classes.join(found.select(F.col("node").alias("class_hash"), "component"), "class_hash", "left").select(
+        "class_hash", "first_doc", F.coalesce("component", "class_hash").alias("component")
     )
     least = ids.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = ids.join(least, "component").select("class_hash", "component_id")
     out = signed.select("doc_id", "class_hash", "n_shingles").join(named, "class_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "class_hash", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+    return out.select("doc_id", "class_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
