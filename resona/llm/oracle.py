@@ -115,3 +115,21 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+OP4 = """
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, (len(h) // 2) - 198)) AS i, h FROM hexed WHERE len(h) >= 400),
+windows AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 400)) AS w FROM starts),
+again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM windows WHERE w IN (SELECT w FROM again)),
+parts AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM hits),
+spans AS (SELECT doc_id, part, min(i) AS a, max(i) + 200 AS b FROM parts GROUP BY doc_id, part),
+cuts AS (SELECT s.doc_id, a, b, lead(a) OVER (PARTITION BY s.doc_id ORDER BY a) AS next_a, h FROM spans s JOIN hexed USING (doc_id)),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         substr(any_value(h), 1, 2 * (min(a) - 1)) || string_agg(substr(h, 2 * b - 1, 2 * (coalesce(next_a, len(h) // 2 + 1) - b)), '' ORDER BY a) AS rest
+  FROM cuts GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM hexed LEFT JOIN kept USING (doc_id)
+"""

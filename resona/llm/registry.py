@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import embed_dedup, line_dedup, minhash, mixing, oracle, pieces, quality, secrets, topk, toxicity
+from resona.llm import embed_dedup, line_dedup, minhash, mixing, oracle, pieces, quality, secrets, substrings, topk, toxicity
 from resona.llm.tables import table
 
 
@@ -46,6 +46,10 @@ def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -79,6 +83,7 @@ def queries():
         "op1_secret_scan": op1_secret_scan,
         "op2_line_quality": op2_line_quality,
         "op3_piece_encoding": op3_piece_encoding,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_exact_topk": op6_exact_topk,
         "op7_line_dedup": op7_line_dedup,
@@ -90,6 +95,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_substring_dedup": oracle.OP4,
         "op5_embedding_dedup": oracle.OP5,
         "op6_exact_topk": oracle.OP6,
         "op7_line_dedup": oracle.OP7,
