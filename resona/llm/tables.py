@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return the reread rows.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, one machine) a temporary one is used.
+    where that is unset (tests, one machine) a temporary one is used. The plan
+    behind ``df`` is let go at once, so that Spark's cleaner can remove its shuffle
+    files while the job goes on.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
