@@ -102,7 +102,7 @@ def _document_features(bad: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log(bad / (1 - bad))])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, most_lines: int = 64) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, most_lines: int = 32) -> Model:
     """Learn from at most ``per_class`` rows of each class; a training row gives its first ``most_lines`` lines at most (scoring takes all)."""
     sample, sizes = training_sample(docs, labels, label, per_class)
     if len(sizes) < 2:
@@ -113,10 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         for piece in kernels.pieces(batches, "text"):
             x, _, counts = line_features(*kernels.text_bytes(piece.column("text")))
             ends = np.cumsum(counts)
-            rows = [x[e - c : e - c + most_lines].reshape(-1) for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+            rows = [x[e - c : e - c + most_lines].astype(np.float32).reshape(-1) for e, c in zip(ends, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(rows, pa.list_(pa.float32()))], names=["y", "x"])
 
-    rows = sample.select("text", "y").mapInArrow(gather, "y int, x array<double>").toPandas()
+    rows = sample.select("text", "y").mapInArrow(gather, "y int, x array<float>").toPandas()
     n = len(rows)
     x, mask = np.zeros((n, most_lines, width)), np.zeros((n, most_lines), bool)
     for i, own in enumerate(rows["x"]):
