@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from resona.plans import columns, relations  # noqa: F401  (they register their queries)
+from resona.plans.query import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
