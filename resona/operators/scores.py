@@ -50,14 +50,14 @@ def platform_count(flags: Sequence[str] = PLATFORMS) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags])
 
 
-def profile_fit(profile: Mapping[str, float], tempo_scale: float = 100.0) -> Column:
+def profile_fit(profile: Mapping[str, float], tempo_scale: float = 100.0, digits: int = 2) -> Column:
     """0-100 times the weight: mean closeness to the ideals over the features that are there; 0 with none."""
     def near(feature: str, ideal: float) -> Column:
         gap = F.abs(F.col(feature) - F.lit(float(ideal)))
         return F.greatest(F.lit(0.0), 1 - (gap / tempo_scale if feature == "tempo" else gap))
 
     mean = row_mean(*[F.when(F.col(f).isNotNull(), near(f, ideal)) for f, ideal in profile.items() if f != "weight"])
-    return F.round(F.coalesce(mean * float(profile.get("weight", 1.0)) * 100, F.lit(0.0)), 2)
+    return F.round(F.coalesce(mean * float(profile.get("weight", 1.0)) * 100, F.lit(0.0)), digits)
 
 
 def range_alignment(ranges: Mapping[str, tuple[float, float]]) -> Column:
@@ -97,7 +97,7 @@ def market_fit(trends: Mapping[str, tuple[float, Mapping[str, float]]] = GENRE_T
     genre = F.lower(F.coalesce("genre", F.lit("unknown")))
     base, weight = F, F
     for name, (w, features) in trends.items():
-        near = [F.greatest(F.lit(0.0), 1 - F.abs(F.col(f) - float(v)) / (20 if f == "loudness" else 1)) for f, v in features.items()]
+        near = [F.when(F.col(f).isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col(f) - float(v)) / (20 if f == "loudness" else 1))) for f, v in features.items()]
         base = base.when(genre == name, F.coalesce(row_mean(*near), F.lit(0.5)))
         weight = weight.when(genre == name, F.lit(w))
     bonus = F.when(genre.isin("pop", "hip hop", "electronic"), 0.1).otherwise(0.0)
@@ -120,11 +120,11 @@ def scalability() -> Column:
     return (F.least(F.col("source_count") / 5, F.lit(1.0)) * 0.5 + platform_count() / 3 * 0.4 + F.coalesce("data_quality_score", F.lit(0.0)) / 100 * 0.1) * 100
 
 
-def with_ar_scores(df: DataFrame) -> DataFrame:
+def with_ar_scores(df: DataFrame, digits: int = 2) -> DataFrame:
     """Adds data quality, the five component scores and ``ar_score``."""
     scored = with_uniqueness(df.withColumn("data_quality_score", data_quality())).withColumns(
         {"commercial_potential": commercial_potential(), "musical_quality": musical_quality(), "market_fit": market_fit(), "scalability": scalability()})
-    return scored.withColumn("ar_score", F.round(reduce(lambda a, b: a + b, [F.col(c) * w for c, w in AR_WEIGHTS.items()]), 2))
+    return scored.withColumn("ar_score", F.round(reduce(lambda a, b: a + b, [F.col(c) * w for c, w in AR_WEIGHTS.items()]), digits))
 
 
 def promising_artists(scored: DataFrame, min_tracks: int = 2, top: int = 20) -> DataFrame:

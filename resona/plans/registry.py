@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from resona.plans import columns, relations  # noqa: F401  (they register their queries)
+from resona.plans import columns, insight, relations, scoring  # noqa: F401  (they register their queries)
 from resona.plans.query import ORACLES, QUERIES
+from resona.sources.fixtures import view
 
 
 def queries():
@@ -12,3 +13,7 @@ def queries():
 
 def oracle_sql():
     return dict(ORACLES)
+
+
+def flagship(spark, sf_dir):
+    return scoring.flagship(view(spark, sf_dir, "tracks"))

@@ -108,13 +108,13 @@ def agg11_platform_pivot(songs):
 
 
 @query("songs", f"""
-SELECT feature, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
-  round(quantile_cont(value, 0.75), 6) AS p75, max(value) AS most, count(*) - count(value) AS missing, round(sum((value - m) ** 3) / count(value) / (var_pop(value) ** 1.5), 6) AS skew,
-  round(sum((value - m) ** 4) / count(value) / (var_pop(value) ** 2) - 3, 6) AS kurt
+SELECT feature, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS least, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50,
+  round(quantile_cont(value, 0.75), 4) AS p75, max(value) AS most, count(*) - count(value) AS missing, round(sum((value - m) ** 3) / count(value) / (var_pop(value) ** 1.5), 4) AS skew,
+  round(sum((value - m) ** 4) / count(value) / (var_pop(value) ** 2) - 3, 4) AS kurt
 FROM (SELECT *, avg(value) OVER (PARTITION BY feature) AS m FROM ({_LONG})) GROUP BY feature""")
 def agg14_agg16_agg21_val2_describe(songs):
     rounded = ("mean", "std", "p25", "p50", "p75", "skew", "kurt")
-    return stats.describe(songs, FEATURES).withColumns({c: F.round(c, 6) for c in rounded})
+    return stats.describe(songs, FEATURES).withColumns({c: F.round(c, 4) for c in rounded})
 
 
 @query("songs", f"SELECT platform, feature, round(corr(value, avg_popularity), 6) AS r, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL AND avg_popularity IS NOT NULL GROUP BY ALL HAVING count(*) > 10 AND corr(value, avg_popularity) IS NOT NULL")
