@@ -236,7 +236,7 @@ def er9_er1_survivorship(tracks):
 def er10_jn14_id_mapping(tracks):
     keyed = tracks.withColumn("k", F.concat("artist_name", F.lit("||"), "track_name"))
     mapping = catalog.id_mapping(keyed, "k").select("master_id", F.explode("records").alias("r"))
-    back = mapping.join(tracks.select("rec_id"), F.col("r.record") == F.col("rec_id"))
+    back = mapping.join(tracks.select("rec_id").distinct(), F.col("r.record") == F.col("rec_id"))
     return back.groupBy("master_id").agg(F.count("*").alias("n"), F.min("rec_id").alias("first_record"))
 
 
