@@ -77,10 +77,10 @@ def jn12_jn13_st1_st2_song_state(song_status):
         "song_id", "status", F.when(F.col("n").isNotNull(), "ready").when(F.col("status") == "failed", "failed").otherwise("waiting").alias("state"), progress.alias("progress"))
 
 
-@query("songs", "WITH p AS (SELECT genre, arg_min(platform, (-n, platform)) AS best FROM (SELECT genre, platform, count(*) AS n FROM songs GROUP BY ALL) GROUP BY 1) SELECT genre, count(*) AS n, round(avg(energy), 6) AS energy, round(avg(valence), 6) AS valence, any_value(p.best) AS platform, round(median(energy), 6) AS mid, count(DISTINCT artist_name) AS artists, bool_or(spotify) AS any_spotify, count(*) FILTER (WHERE energy >= 0.7) AS lively, list_sort(list(DISTINCT platform)) AS platforms, round(sum(avg_popularity), 4) AS total FROM songs JOIN p USING (genre) GROUP BY genre HAVING count(*) >= 5")
+@query("songs", "WITH p AS (SELECT genre, arg_min(platform, (-n, platform)) AS best FROM (SELECT genre, platform, count(*) AS n FROM songs GROUP BY ALL) GROUP BY 1) SELECT genre, count(*) AS n, round(avg(energy), 5) AS energy, round(avg(valence), 5) AS valence, any_value(p.best) AS platform, round(median(energy), 6) AS mid, count(DISTINCT artist_name) AS artists, bool_or(spotify) AS any_spotify, count(*) FILTER (WHERE energy >= 0.7) AS lively, list_sort(list(DISTINCT platform)) AS platforms, round(sum(avg_popularity), 4) AS total FROM songs JOIN p USING (genre) GROUP BY genre HAVING count(*) >= 5")
 def agg1_agg13_flt8_genre_measures(songs):
     return songs.groupBy("genre").agg(
-        F.count("*").alias("n"), F.round(F.avg("energy"), 6).alias("energy"), F.round(F.avg("valence"), 6).alias("valence"), stats.mode_of("platform").alias("platform"), F.round(F.median("energy"), 6).alias("mid"),
+        F.count("*").alias("n"), F.round(F.avg("energy"), 5).alias("energy"), F.round(F.avg("valence"), 5).alias("valence"), stats.mode_of("platform").alias("platform"), F.round(F.median("energy"), 6).alias("mid"),
         F.countDistinct("artist_name").alias("artists"), F.bool_or("spotify").alias("any_spotify"), F.count_if(F.col("energy") >= 0.7).alias("lively"), F.sort_array(F.collect_set("platform")).alias("platforms"),
         F.round(F.sum("avg_popularity"), 4).alias("total")).where("n >= 5")
 
