@@ -1,8 +1,14 @@
-"""SentencePiece encoding and decoding as a max-plus parallel scan.
+"""SentencePiece encoding and decoding, with a max-plus parallel scan.
 
-The encoding of a text is the path of vocabulary pieces with the largest sum of
-scores (the unigram criterion, over the pieces and scores of a model file that is never
-trained or copied here). In the max-plus semiring a chunk of text is a matrix T:
+A unigram model's encoding is the path of pieces with the largest sum of scores
+(method "max_plus"). A BPE model's encoding is the outcome of its merges, which is not
+such a path: over the public BPE model's scores "the" is "_t" + "he", while its
+merges give "_the". So for BPE models ``encode`` defaults to method "merges", which
+lets the library merge every distinct word of a batch once and so returns the
+library's own ids; "max_plus" stays available for any model. Model files are never
+trained or copied here.
+
+The scan: in the max-plus semiring a chunk of text is a matrix T:
 T[k, e] is the best score from a path that enters the chunk k characters after its
 start to one that leaves it e characters after its end, with k and e below the longest
 piece. Such matrices combine associatively.
@@ -12,7 +18,8 @@ piece. Such matrices combine associatively.
   loaded), so a text falls into words exactly, and every distinct word of a batch is
   encoded once, all words in lockstep. Words longer than a ``CHUNK`` are scanned
   like giant texts, chunk by chunk in lockstep.
-* Giant texts are split into chunks that are rows of their own: (1) every chunk yields
+* Giant texts are split into chunks that are rows of their own. With "merges", chunks
+  end where a word ends and are encoded alone. With "max_plus": (1) every chunk yields
   its matrix; (2) a document's matrices, 2 KB each, give each chunk its entry scores;
   (3) each chunk, alone, tells for every exit which entry its best path comes from;
   (4) these maps, composed from the right, give each chunk its exit; (5) each chunk is
@@ -30,8 +37,11 @@ rows. Other columns pass through, except those that bear the name of a result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,7 +55,9 @@ from resona.llm.tables import cut
 
 BLANK = "▁"
 CHUNK = 64
+BATCH = 6 << 20
 PAD = np.uint32(0xFFFFFFFF)
+_WORD_END = re.compile(f"[^{BLANK}](?={BLANK})")
 
 
 @dataclass
@@ -59,13 +71,17 @@ class Vocabulary:
     longest: int
     words_apart: bool
     text: list[bytes]  # what each id decodes to
+    model: bytes  # the model file itself, for the library's merges
+    method: str  # what the model was trained for: "merges" or "max_plus"
 
 
 def load(path: str) -> Vocabulary:
     """The pieces and scores of a SentencePiece model file."""
-    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
     model = SentencePieceProcessor(model_file=path)
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    method = "merges" if proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE else "max_plus"
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     scores = np.array([model.get_score(i) for i in range(len(names))], np.float64)
     byte_ids, text, normal = np.full(256, model.unk_id(), np.int32), [], []
@@ -88,7 +104,14 @@ def load(path: str) -> Vocabulary:
     present = np.zeros(1 << 20, bool)
     present[(keys >> np.uint64(44)).astype(np.int64)] = True
     apart = not any(BLANK in names[i][1:] and names[i].strip(BLANK) for i in normal)
-    return Vocabulary(keys[order], np.array(normal, np.int32)[order], present, scores, byte_ids, float(scores[normal].min()) - 10, width, apart, text)
+    return Vocabulary(keys[order], np.array(normal, np.int32)[order], present, scores, byte_ids, float(scores[normal].min()) - 10, width, apart, text, model.serialized_model_proto(), method)
+
+
+@lru_cache(maxsize=2)
+def _processor(model: bytes):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_proto=model)
 
 
 def _prefixes(codes: np.ndarray) -> np.ndarray:
@@ -253,28 +276,10 @@ class Scan:
         return _trace(back, self.ids, self.codes, self.inside + exits[1:], self.v)[0]
 
 
-def encode_texts(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts back to back and their count per text."""
-    marked = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
-    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in marked])])
-    if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    begin = np.zeros(len(codes), bool)
-    begin[bounds[:-1][np.diff(bounds) > 0]] = True
-    if v.words_apart:
-        blank = codes == ord(BLANK)
-        begin[1:] |= blank[1:] & ~blank[:-1]
-    starts = np.flatnonzero(begin)
-    ends = np.append(starts[1:], len(codes))
-    length = ends - starts
-    mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
-    inside = np.arange(len(codes)) - np.repeat(starts, length)
-    names = mix64(np.add.reduceat(mixed * powers(int(length.max()) + 1)[inside], starts) + length.astype(np.uint64))
-    _, first, which = np.unique(names, return_index=True, return_inverse=True)
-    s, n = starts[first], length[first]
+def _best_paths(codes: np.ndarray, s: np.ndarray, n: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the stretches [s, s + n), where each one's begin, and how many there are."""
     found_ids: list[np.ndarray] = []
-    offset, count = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    offset, count = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
     at, low = 0, 0
     for width in (6, 10, 16, 28, CHUNK):
         group = np.flatnonzero((n > low) & (n <= width))
@@ -295,11 +300,53 @@ def encode_texts(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np
         found_ids.append(out)
         at += len(out)
     ids = np.concatenate(found_ids)
+    return ids, offset, count
+
+
+def _mark(text: str) -> str:
+    return BLANK + text.replace(" ", BLANK)
+
+
+def encode_texts(texts: list[str | None], v: Vocabulary, method: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts back to back and their count per text."""
+    return _encode_marked([_mark(t) if t else "" for t in texts], v, method or v.method)
+
+
+def _encode_marked(marked: list[str], v: Vocabulary, method: str) -> tuple[np.ndarray, np.ndarray]:
+    if method == "merges" and not v.words_apart:
+        found = _processor(v.model).encode([m[1:].replace(BLANK, " ") for m in marked], num_threads=1)
+        return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64)
+    joined = "".join(marked)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in marked])])
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(len(marked), np.int64)
+    begin = np.zeros(len(codes), bool)
+    begin[bounds[:-1][np.diff(bounds) > 0]] = True
+    if v.words_apart:
+        blank = codes == ord(BLANK)
+        begin[1:] |= blank[1:] & ~blank[:-1]
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], len(codes))
+    length = ends - starts
+    mixed = mix64(codes.astype(np.uint64) + np.uint64(1))
+    inside = np.arange(len(codes)) - np.repeat(starts, length)
+    names = mix64(np.add.reduceat(mixed * powers(int(length.max()) + 1)[inside], starts) + length.astype(np.uint64))
+    _, first, which = np.unique(names, return_index=True, return_inverse=True)
+    s, n = starts[first], length[first]
+    if method == "merges":
+        found = _processor(v.model).encode([joined[a + 1 : a + k].replace(BLANK, " ") for a, k in zip(s.tolist(), n.tolist(), strict=True)], num_threads=1)
+        lone = [_processor(v.model).piece_to_id(BLANK)]  # a single blank is empty to the library
+        found = [f or lone for f in found]
+        count = np.array([len(f) for f in found], np.int64)
+        ids, offset = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())), np.cumsum(count) - count
+    else:
+        ids, offset, count = _best_paths(codes, s, n, v)
     counts = count[which]
     total = int(counts.sum())
     place = np.repeat(offset[which] - (np.cumsum(counts) - counts), counts) + np.arange(total)
     owner = np.searchsorted(bounds, starts, "right") - 1
-    return ids[place], np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
+    return ids[place], np.bincount(owner, weights=counts, minlength=len(marked)).astype(np.int64)
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[bytes]:
@@ -313,19 +360,50 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[bytes
     return [data[a + 1 if data[a : a + 1] == b" " else a : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _plain(docs: DataFrame, v: Vocabulary) -> DataFrame:
+def _plain(docs: DataFrame, v: Vocabulary, method: str) -> DataFrame:
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            ids, counts = encode_texts(piece.column("text").to_pylist(), v)
+        for piece in pieces(batches, "text", BATCH):
+            ids, counts = encode_texts(piece.column("text").to_pylist(), v, method)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.ones(piece.num_rows, np.int32))], names=[*names, "piece_ids", "n_chunks"])
 
     return docs.mapInArrow(run, f"{schema}, piece_ids array<int>, n_chunks int")
 
 
+def _giant_words(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
+    """docs (row_key, text) as (row_key, piece_ids, n_chunks); chunks end with a word, so each is encoded alone."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                marked, at, k = _mark(text), 0, 0
+                while at < len(marked):
+                    to = len(marked)
+                    if v.words_apart and at + chunk_chars < to:
+                        next_word = _WORD_END.search(marked, at + chunk_chars)
+                        to = next_word.end() if next_word else to
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([k], pa.int32()), pa.array([marked[at:to]])], names=["row_key", "chunk", "part"])
+                    at, k = to, k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, _ = _encode_marked(batch.slice(i, 1).column("part").to_pylist(), v, "merges")
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).select(["row_key", "chunk"]).columns, pa.array([ids.tolist()], pa.list_(pa.int32()))], names=["row_key", "chunk", "ids"])
+
+    chunks = cut(docs.mapInArrow(split, "row_key string, chunk int, part string").repartition("row_key", "chunk"))
+    return _joined(chunks.mapInArrow(run, "row_key string, chunk int, ids array<int>"))
+
+
+def _joined(coded: DataFrame) -> DataFrame:
+    return coded.groupBy("row_key").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("piece_ids"), F.count("*").cast("int").alias("n_chunks")
+    )
+
+
 def _giant(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
     """docs (row_key, text) as (row_key, piece_ids, n_chunks)."""
     ahead = v.longest - 1
@@ -381,20 +459,19 @@ def _giant(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
         return each(batches, lambda row: [pa.array([scan(row).encode(np.frombuffer(row["entry"]), row["leaving"]).tolist()], pa.list_(pa.int32()))], ["ids"])
 
     coded = entered.join(exits, ["row_key", "chunk"]).mapInArrow(encode, "row_key string, chunk int, ids array<int>")
-    return coded.groupBy("row_key").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("piece_ids"), F.count("*").cast("int").alias("n_chunks")
-    )
+    return _joined(coded)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
-    """``docs`` plus piece_ids (array of ints) and n_chunks (1 unless the text is giant)."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, method: str | None = None, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
+    """``docs`` plus piece_ids (array of ints) and n_chunks (1 unless the text is giant). method: the model's own by default."""
+    method = method or vocabulary.method
     docs = docs.select(*[c for c in docs.columns if c not in ("piece_ids", "n_chunks")])
     giant = F.coalesce(F.char_length("text") > giant_chars, F.lit(False))
-    plain = _plain(docs.where(~giant), vocabulary)
+    plain = _plain(docs.where(~giant), vocabulary, method)
     if docs.where(giant).isEmpty():
         return plain
     keyed = docs.where(giant).withColumn("row_key", F.sha2("text", 256))
-    coded = _giant(keyed.dropDuplicates(["row_key"]).select("row_key", "text"), vocabulary, chunk_chars)
+    coded = (_giant_words if method == "merges" else _giant)(keyed.dropDuplicates(["row_key"]).select("row_key", "text"), vocabulary, chunk_chars)
     return plain.union(keyed.join(coded, "row_key").select(*docs.columns, "piece_ids", "n_chunks"))
 
 
