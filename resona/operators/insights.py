@@ -67,6 +67,21 @@ def competitive_advantage(similarity: Column) -> Column:
         .otherwise("Well-balanced sound with broad appeal"))
 
 
+# Texts for the short-video platform, in order; the number is the least probability.
+TIKTOK_RULES = (
+    ("danceability > 0.7", 0.7, "High viral potential - create dance challenges and trending content"),
+    ("energy > 0.7", 0.5, "Good energy for fitness/workout content and energetic trends"),
+    ("true", 0.3, "Moderate potential - focus on creative storytelling or niche trends"),
+)
+
+
+def tiktok_text(probability: Column) -> Column:
+    out = F
+    for condition, least, text in TIKTOK_RULES:
+        out = out.when(F.expr(condition) & (probability > least), F.lit(text))
+    return out.otherwise(F.lit("Limited TikTok appeal - consider other platforms first"))
+
+
 def confidence_level(probability: Column) -> Column:
     return F.when(probability > 0.7, "high").when(probability > 0.4, "medium").otherwise("low")
 
