@@ -55,7 +55,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     ordered = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    repeated = (
+    # cut, so that both sides of the join below are dealt anew and a common line's rows can be split
+    repeated = cut(
         ordered.groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .where(F.col("first_doc") < F.col("last_doc"))
