@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from resona.llm.tables import WHITE, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: sources whose plan is sent to every task; more are joined by a shuffle
+MOST_BROADCAST = 10_000
 
 
 def capped_targets(sizes: np.ndarray, weights: np.ndarray, cap: float) -> np.ndarray:
@@ -107,6 +109,8 @@ def mix(
     planned = cut(
         sources.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(plan, "no_source boolean, source_key string, source_size long, target double, quota long")
     )
+    if planned.count() <= MOST_BROADCAST:
+        planned = F.broadcast(planned)  # else a source with a third of all rows would be one key of a shuffle
     key = ["no_source", "source_key"]
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = (
