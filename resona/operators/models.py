@@ -93,6 +93,25 @@ def forest_regressor(df: DataFrame, columns: Sequence[str], label: str, trees: i
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip"), forest]).fit(df)
 
 
+def audience_models(df: DataFrame, columns: Sequence[str], targets: Sequence[str], trees: int = 200, depth: int = 15):
+    """One forest per target column of strings, with its classes: {target: (model, classes)}. Classes are read with a bound of 1,000."""
+    out = {}
+    for target in targets:
+        classes = [r[target] for r in df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy(target).limit(1000).collect()]
+        numbered = df.withColumn("_label", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target)).cast("double") - 1).where("_label >= 0")
+        out[target] = (forest_classifier(numbered, columns, "_label", trees, depth), classes)
+    return out
+
+
+def select_features(df: DataFrame, columns: Sequence[str], label: str, k: int = 12) -> list[str]:
+    """The ``k`` columns of largest univariate F value against a continuous label."""
+    from pyspark.ml.feature import UnivariateFeatureSelector
+
+    selector = UnivariateFeatureSelector(featuresCol="features", labelCol=label, outputCol="chosen", selectionMode="numTopFeatures")
+    selector.setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(min(k, len(columns)))
+    return [columns[i] for i in sorted(selector.fit(vectors(df, columns)).selectedFeatures)]
+
+
 def class_probabilities(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Adds the map of class probabilities, the likeliest class and its probability."""
     p = vector_to_array("probability")

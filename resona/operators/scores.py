@@ -167,6 +167,20 @@ def virality(df: DataFrame, keys: Sequence[str] = ("track_clean", "artist_clean"
     return grouped.withColumn("virality_score", score).withColumn("virality_tier", tier)
 
 
+def linear_alignment() -> dict[str, Column]:
+    """Alignment by weighted sums for the two audiences, and by closeness to the middle for all platforms."""
+    e, d, v, a, i = (F.col(c) for c in ("energy", "danceability", "valence", "acousticness", "instrumentalness"))
+    middle = reduce(lambda x, y: x + y, [1 - F.abs(c - 0.5) * 2 for c in (e, d, v, a)]) / 4
+    return {"gen_z": e * 0.4 + d * 0.4 + v * 0.2, "millennials": a * 0.3 + e * 0.3 + v * 0.2 + (1 - i) * 0.2, "cross_platform": middle}
+
+
+def with_fallback_virality(df: DataFrame, popularity: str = "popularity_score") -> DataFrame:
+    """Adds virality_score in 0-1: the popularity if the table has it, else the mean of three features, scaled by its range."""
+    raw = F.col(popularity).cast("double") if popularity in df.columns else row_mean(F.col("energy"), F.col("danceability"), F.col("valence"))
+    row = df.agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
+    return df.crossJoin(F.broadcast(row)).withColumn("virality_score", min_max(raw, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
 def audio_appeal() -> Column:
     return (F.col("energy") * 0.3 + F.col("valence") * 0.3 + F.col("danceability") * 0.4) * 100
 

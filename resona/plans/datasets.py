@@ -125,3 +125,28 @@ SELECT rec_id, CASE WHEN danceability > 0.7 AND energy > 0.7 THEN 'High viral po
   WHEN energy > 0.3 THEN 'Moderate potential - focus on creative storytelling or niche trends' ELSE 'Limited TikTok appeal - consider other platforms first' END AS tiktok FROM songs""")
 def ins4_platform_texts(songs):
     return songs.select("rec_id", insights.tiktok_text(F.col("energy")).alias("tiktok"))
+
+
+@query("songs", """
+SELECT rec_id, round(energy * 0.4 + danceability * 0.4 + valence * 0.2, 6) AS gen_z, round(acousticness * 0.3 + energy * 0.3 + valence * 0.2 + (1 - instrumentalness) * 0.2, 6) AS millennials,
+  round((1 - abs(energy - 0.5) * 2 + 1 - abs(danceability - 0.5) * 2 + 1 - abs(valence - 0.5) * 2 + 1 - abs(acousticness - 0.5) * 2) / 4, 6) AS cross_platform FROM songs""")
+def sc5_linear_alignment(songs):
+    return songs.select("rec_id", *[F.round(c, 6).alias(n) for n, c in scores.linear_alignment().items()])
+
+
+@query("songs", """
+WITH v AS (SELECT rec_id, (coalesce(energy, 0) + coalesce(danceability, 0) + valence) / (1 + CAST(energy IS NOT NULL AS INT) + CAST(danceability IS NOT NULL AS INT)) AS s FROM songs), e AS (SELECT min(s) AS lo, max(s) AS hi FROM v)
+SELECT rec_id, round((s - lo) / (hi - lo), 6) AS virality_score FROM v, e""")
+def sc7_fallback_virality(songs):
+    return scores.with_fallback_virality(songs).select("rec_id", F.round("virality_score", 6).alias("virality_score"))
+
+
+@query("songs")
+def ds15_ml20_ml24_training_job(songs):
+    """Feature selection, one forest per audience target, and the importances of each."""
+    features = ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo"]
+    ready = songs.where("danceability IS NOT NULL AND energy IS NOT NULL")
+    chosen = models.select_features(ready.where("normalized_popularity IS NOT NULL"), features, "normalized_popularity", k=6)
+    trained = models.audience_models(ready, chosen, ["genre", "platform"], trees=10, depth=5)
+    parts = [models.importances(model, chosen, songs.sparkSession).withColumn("target", F.lit(name)) for name, (model, _) in trained.items()]
+    return tables.union_all(*parts)
