@@ -55,7 +55,6 @@ from resona.llm.tables import cut
 
 BLANK = "▁"
 CHUNK = 64
-BATCH = 6 << 20
 PAD = np.uint32(0xFFFFFFFF)
 _WORD_END = re.compile(f"[^{BLANK}](?={BLANK})")
 
@@ -284,8 +283,8 @@ def _best_paths(codes: np.ndarray, s: np.ndarray, n: np.ndarray, v: Vocabulary)
     for width in (6, 10, 16, 28, CHUNK):
         group = np.flatnonzero((n > low) & (n <= width))
         low = width
-        for k in range(0, len(group), 16384):
-            part = group[k : k + 16384]
+        for k in range(0, len(group), 8192):
+            part = group[k : k + 8192]
             rows = _rows(codes, s[part], s[part] + n[part], width)
             ids = _piece_ids(rows, v)
             _, back = _forward(rows, n[part], ids, v, _fresh(len(part), v, False))
@@ -365,7 +364,7 @@ def _plain(docs: DataFrame, v: Vocabulary, method: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text", BATCH):
+        for piece in pieces(batches, "text"):
             ids, counts = encode_texts(piece.column("text").to_pylist(), v, method)
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.ones(piece.num_rows, np.int32))], names=[*names, "piece_ids", "n_chunks"])

@@ -35,21 +35,18 @@ def vocabulary_path() -> str:
 
 
 def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The library's ids (the public model's merges) with their round trip, and the max-plus path over the same pieces with its own."""
+    """The max-plus path of every text over the public pieces, and whether it decodes to the text.
+
+    ``corpus_pipeline`` encodes with the model's own method instead (its merges).
+    """
     vocabulary = pieces.load(vocabulary_path())
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    merged = pieces.decode(pieces.encode(docs, vocabulary), vocabulary).withColumnsRenamed({"piece_ids": "merged_ids", "n_chunks": "merged_chunks", "decoded": "merged_text"})
-    both = pieces.decode(pieces.encode(merged, vocabulary, "max_plus"), vocabulary)
-    digest = lambda ids: F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
-    text = F.coalesce("text", F.lit(""))
-    return both.select(
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, "max_plus"), vocabulary)
+    return coded.select(
         "doc_id",
-        F.size("merged_ids").cast("long").alias("n_pieces"),
-        digest(F.col("merged_ids")).alias("ids_sha256"),
-        F.size("piece_ids").cast("long").alias("n_path_pieces"),
-        digest(F.col("piece_ids")).alias("path_sha256"),
+        F.size("piece_ids").cast("long").alias("n_pieces"),
         "n_chunks",
-        ((F.col("merged_text") == text) & (F.col("decoded") == text)).alias("round_trip"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
 
