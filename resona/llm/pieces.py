@@ -359,17 +359,27 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> list[bytes
     return [data[a + 1 if data[a : a + 1] == b" " else a : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _plain(docs: DataFrame, v: Vocabulary, method: str) -> DataFrame:
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def _decoded(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> pa.Array:
+    return pa.array([t.decode("utf-8", "replace") for t in decode_ids(ids, counts, v)], pa.string())
+
+
+def _plain(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]]) -> DataFrame:
+    """found: by method, the names of its ids, its number of chunks and, if wanted, of what the ids decode to; a text is read once for all methods."""
+    names = [*docs.columns, *(c for own in found.values() for c in own)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{c} {kind}" for own in found.values() for c, kind in zip(own, ("array<int>", "int", "string"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            ids, counts = encode_texts(piece.column("text").to_pylist(), v, method)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.ones(piece.num_rows, np.int32))], names=[*names, "piece_ids", "n_chunks"])
+            texts, columns = piece.column("text").to_pylist(), list(piece.columns)
+            for method, own in found.items():
+                ids, counts = encode_texts(texts, v, method)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.ones(piece.num_rows, np.int32))]
+                if len(own) > 2:
+                    columns.append(_decoded(ids, counts, v))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, f"{schema}, piece_ids array<int>, n_chunks int")
+    return docs.mapInArrow(run, schema)
 
 
 def _giant_words(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
@@ -461,22 +471,37 @@ def _giant(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
     return _joined(coded)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, method: str | None = None, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
-    """``docs`` plus piece_ids (array of ints) and n_chunks (1 unless the text is giant). method: the model's own by default."""
-    method = method or vocabulary.method
-    docs = docs.select(*[c for c in docs.columns if c not in ("piece_ids", "n_chunks")])
+def _encode(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]], giant_chars: int, chunk_chars: int) -> DataFrame:
+    added = [c for own in found.values() for c in own]
+    docs = docs.select(*[c for c in docs.columns if c not in added])
     giant = F.coalesce(F.char_length("text") > giant_chars, F.lit(False))
-    plain = _plain(docs.where(~giant), vocabulary, method)
+    plain = _plain(docs.where(~giant), v, found)
     if docs.where(giant).isEmpty():
         return plain
-    keyed = docs.where(giant).withColumn("row_key", F.sha2("text", 256))
-    coded = (_giant_words if method == "merges" else _giant)(keyed.dropDuplicates(["row_key"]).select("row_key", "text"), vocabulary, chunk_chars)
-    return plain.union(keyed.join(coded, "row_key").select(*docs.columns, "piece_ids", "n_chunks"))
+    out = docs.where(giant).withColumn("row_key", F.sha2("text", 256))
+    texts = out.dropDuplicates(["row_key"]).select("row_key", "text")
+    for method, (ids, chunks, *decoded) in found.items():
+        coded = (_giant_words if method == "merges" else _giant)(texts, v, chunk_chars).withColumnsRenamed({"piece_ids": ids, "n_chunks": chunks})
+        out = out.join(decode(coded, v, ids, decoded[0]) if decoded else coded, "row_key")
+    return plain.union(out.select(*docs.columns, *added))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, method: str | None = None, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
+    """``docs`` plus piece_ids (array of ints) and n_chunks (1 unless the text is giant). method: the model's own by default."""
+    return _encode(docs, vocabulary, {method or vocabulary.method: ("piece_ids", "n_chunks")}, giant_chars, chunk_chars)
+
+
+def encode_both(docs: DataFrame, vocabulary: Vocabulary, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
+    """``docs`` plus piece_ids, n_chunks and decoded by the model's own method, path_ids, path_chunks and path_decoded by the max-plus scan."""
+    own, path = ("piece_ids", "n_chunks", "decoded"), ("path_ids", "path_chunks", "path_decoded")
+    if vocabulary.method == "max_plus":
+        return _encode(docs, vocabulary, {"max_plus": own}, giant_chars, chunk_chars).withColumns({p: F.col(o) for o, p in zip(own, path, strict=True)})
+    return _encode(docs, vocabulary, {vocabulary.method: own, "max_plus": path}, giant_chars, chunk_chars)
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``encoded`` plus decoded (string) from its piece_ids."""
-    encoded = encoded.select(*[c for c in encoded.columns if c != "decoded"])
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
+    """``encoded`` plus ``to`` (string) from its ``ids``."""
+    encoded = encoded.select(*[c for c in encoded.columns if c != to])
     names = encoded.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
@@ -484,9 +509,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists = part.column("piece_ids")
+                lists = part.column(ids)
                 counts = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
-                out = [t.decode("utf-8", "replace") for t in decode_ids(np.asarray(lists.flatten(), np.int64), counts, vocabulary)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(np.asarray(lists.flatten(), np.int64), counts, vocabulary)], names=[*names, to])
 
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return encoded.mapInArrow(run, f"{schema}, {to} string")

@@ -35,18 +35,19 @@ def vocabulary_path() -> str:
 
 
 def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The max-plus path of every text over the public pieces, and whether it decodes to the text.
-
-    ``corpus_pipeline`` encodes with the model's own method instead (its merges).
-    """
+    """The model's own ids of every text (the library's merges) and the max-plus path over the same pieces; round_trip: both decode to the text."""
     vocabulary = pieces.load(vocabulary_path())
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, "max_plus"), vocabulary)
-    return coded.select(
+    both = pieces.encode_both(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    digest = lambda ids: F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+    text = F.coalesce("text", F.lit(""))
+    return both.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
-        "n_chunks",
-        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        digest("piece_ids").alias("ids_sha256"),
+        F.size("path_ids").cast("long").alias("n_path_pieces"),
+        digest("path_ids").alias("path_sha256"),
+        F.col("path_chunks").alias("n_chunks"),
+        ((F.col("decoded") == text) & (F.col("path_decoded") == text)).alias("round_trip"),
     )
 
 

@@ -125,6 +125,23 @@ def test_giant_texts_encode_alike(spark, sf_dir, vocabulary, method):
     assert pieces.encode(docs.limit(0), vocabulary, method).count() == 0
 
 
+def test_piece_query_returns_the_model_s_ids(spark, sf_dir, vocabulary):
+    import hashlib
+
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=registry.vocabulary_path())
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    rows = registry.op3_piece_encoding(spark, sf_dir).collect()
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert len(rows) == len(texts) and all(r.round_trip for r in rows)
+    assert all((r.n_pieces, r.ids_sha256) == (len(ids := model.encode(texts[r.doc_id])), digest(ids)) for r in rows)
+    assert all(r.path_sha256 == digest(pieces.encode_texts([texts[r.doc_id]], vocabulary, "max_plus")[0].tolist()) for r in rows[:20])
+    docs = documents(spark, [(1, None), (2, "one two  three"), (3, "the quick brown fox " * 60)]).select("doc_id", "text")
+    key = lambda df: sorted((r.doc_id, tuple(r.piece_ids), tuple(r.path_ids), r.decoded, r.path_decoded) for r in df.collect())
+    assert key(pieces.encode_both(docs, vocabulary)) == key(pieces.encode_both(docs, vocabulary, giant_chars=900, chunk_chars=257))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, node string")
 
