@@ -64,6 +64,61 @@ def fit(features: np.ndarray, states: np.ndarray, mask: np.ndarray, steps: int =
     return Chain(weights, moves)
 
 
+def _dot(features: np.ndarray, weights: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """features @ weights block by block, so that no second copy of the features is made."""
+    return np.concatenate([features[i : i + block] @ weights for i in range(0, max(len(features), 1), block)])
+
+
+def _runs(emission: np.ndarray, moves: np.ndarray, live: np.ndarray, begins: np.ndarray):
+    """As ``_forward_backward``, for chains of any lengths laid out step by step: live[t] chains, the longest first, from begins[t] on."""
+    alpha, gamma, pairs = np.empty((len(emission), 2)), np.empty(len(emission)), np.zeros((2, 2))
+    now = np.tile([1.0, 0.0], (int(live[0]), 1))
+    for m, at in zip(live, begins):
+        now = now[:m] @ moves
+        now[:, 1] *= emission[at : at + m]
+        now /= now.sum(1, keepdims=True)
+        alpha[at : at + m] = now
+    back = np.ones((0, 2))
+    for t in range(len(live) - 1, -1, -1):
+        m, at = live[t], begins[t]
+        back = np.concatenate([back, np.ones((m - len(back), 2))])
+        both = alpha[at : at + m] * back
+        gamma[at : at + m] = both[:, 1] / both.sum(1)
+        back[:, 1] *= emission[at : at + m]
+        before = alpha[begins[t - 1] : begins[t - 1] + m] if t else np.tile([1.0, 0.0], (m, 1))
+        both = before[:, :, None] * moves[None] * back[:, None, :]
+        pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
+        back = back @ moves.T
+        back /= back.sum(1, keepdims=True)
+    return gamma, pairs
+
+
+def fit_runs(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Chain:
+    """As ``fit``, for chains of any lengths laid end to end: features (positions, k), states (positions,), lengths (chains,); nothing is padded."""
+    lengths = np.asarray(lengths, np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    step = np.arange(len(states)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.lexsort((owner, -lengths[owner], step))
+    features, states = features[order], np.asarray(states)[order].astype(int)
+    live = np.bincount(step)
+    begins = np.cumsum(live) - live
+    previous = np.zeros(len(states), int)
+    for t in range(1, len(live)):
+        previous[begins[t] : begins[t] + live[t]] = states[begins[t - 1] : begins[t - 1] + live[t]]
+    seen = np.bincount(previous * 2 + states, minlength=4).astype(float)
+    weights, moves = np.zeros(features.shape[1]), np.zeros((2, 2))
+    first, second = np.zeros(weights.size + 4), np.zeros(weights.size + 4)
+    for k in range(1, steps + 1):
+        gamma, pairs = _runs(np.exp(np.clip(_dot(features, weights), -CLIP, CLIP)), np.exp(moves), live, begins)
+        miss = states - gamma
+        slope = np.concatenate([sum(miss[i : i + (1 << 16)] @ features[i : i + (1 << 16)] for i in range(0, len(miss), 1 << 16)), seen - pairs.reshape(-1)]) / len(states)
+        slope -= penalty * np.concatenate([weights, moves.reshape(-1)])
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+        weights, moves = weights + move[:-4], moves + move[-4:].reshape(2, 2)
+    return Chain(weights, moves)
+
+
 def marginals(chain: Chain, emission: np.ndarray, lengths: np.ndarray, gaps: np.ndarray | None = None, tails: np.ndarray | None = None, resting: float = 0.0) -> np.ndarray:
     """Probability of state 1 at every position of chains laid end to end.
 

@@ -102,8 +102,8 @@ def _document_features(bad: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log(bad / (1 - bad))])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, most_lines: int = 32) -> Model:
-    """Learn from at most ``per_class`` rows of each class; a training row gives its first ``most_lines`` lines at most (scoring takes all)."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000) -> Model:
+    """Learn from all lines of at most ``per_class`` rows of each class; the driver holds 4 bytes per line and feature."""
     sample, sizes = training_sample(docs, labels, label, per_class)
     if len(sizes) < 2:
         return Model(None, None, (sizes.get(1, 0) / sum(sizes.values())) if sizes else 0.5)
@@ -113,22 +113,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         for piece in kernels.pieces(batches, "text"):
             x, _, counts = line_features(*kernels.text_bytes(piece.column("text")))
             ends = np.cumsum(counts)
-            rows = [x[e - c : e - c + most_lines].astype(np.float32).reshape(-1) for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(rows, pa.list_(pa.float32()))], names=["y", "x"])
-
-    rows = sample.select("text", "y").mapInArrow(gather, "y int, x array<float>").toPandas()
-    n = len(rows)
-    x, mask = np.zeros((n, most_lines, width)), np.zeros((n, most_lines), bool)
-    for i, own in enumerate(rows["x"]):
-        own = np.asarray(own, float).reshape(-1, width)
-        x[i, : len(own)], mask[i, : len(own)] = own, True
-    bad = np.repeat((rows["y"].to_numpy() == 0)[:, None], most_lines, 1) & mask
+            rows = [x[e - c : e].astype(np.float32).tobytes() for e, c in zip(ends, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
+
+    rows = sample.select("text", "y").mapInArrow(gather, "y int, x binary").toPandas()
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, width)
+    counts = rows.pop("x").map(len).to_numpy() // (4 * width)
+    first = np.cumsum(counts) - counts
+    bad = np.repeat(rows["y"].to_numpy() == 0, counts)
     states = bad.copy()
     for _ in range(3):
-        balance = np.where(states[mask], 0.5 / max(1, states[mask].sum()), 0.5 / max(1, (~states[mask]).sum())) * mask.sum()
-        alone = np.where(mask, crf.apply_logistic(crf.logistic(x[mask], states[mask].astype(float), balance), x.reshape(-1, width)).reshape(mask.shape), 0)
-        states = bad & (alone >= np.minimum(0.5, alone.max(1, keepdims=True)))
-    chain = crf.fit(x, states.astype(int), mask)
+        balance = np.where(states, 0.5 / max(1, states.sum()), 0.5 / max(1, (~states).sum())) * len(states)
+        alone = crf.apply_logistic(crf.logistic(x, states.astype(float), balance), x)
+        states = bad & (alone >= np.minimum(0.5, np.repeat(np.maximum.reduceat(alone, first), counts)))
+    chain = crf.fit_runs(x, states, counts)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kernels.pieces(batches, "text"):

@@ -63,6 +63,26 @@ def test_chain_marginals_match_enumeration():
     assert np.allclose(crf.marginals(chain, full[listed], np.array([2]), np.array([1, 2]), np.array([1]), -1.3), np.array(want)[listed])
 
 
+def test_chains_of_any_length_fit_as_padded_ones_do():
+    rng = np.random.default_rng(5)
+    lengths = np.array([3, 1, 7, 7, 2, 5])
+    x, states = rng.normal(size=(lengths.sum(), 4)), rng.integers(0, 2, lengths.sum())
+    padded, told, mask = np.zeros((6, 7, 4)), np.zeros((6, 7), int), np.arange(7) < lengths[:, None]
+    padded[mask], told[mask] = x, states
+    one, two = crf.fit(padded, told, mask), crf.fit_runs(x, states, lengths)
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.moves, two.moves)
+
+
+def test_quality_learns_from_late_lines(spark):
+    calm = [f"the calm river number {i} runs on" for i in range(40)]
+    docs = documents(spark, [(i, "\n".join(calm + ["#$% @! #$%"] * 20 if i % 2 else calm)) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.chain.weights[1 + quality.SYMBOL] > 0.1
+    rows = quality.score(docs, model).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in rows)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.load(registry.vocabulary_path())
