@@ -41,6 +41,36 @@ def candidate_pairs(names: DataFrame, column: str, keys: Column | None = None, l
     return blocked.join(other, "block").where((F.col("name") < F.col("b")) & fits).select(F.col("name").alias("a"), "b").distinct()
 
 
+def _prefix(name: Column, least: float, metric: str) -> Column:
+    """The numbered, padded character pairs of a name, in one order for all names, as many as a match at ``least`` must share one of.
+
+    Of n + 1 pairs a match shares at least 1 + (len(a) + len(b)) * (3 * least / 200 - 1)
+    by ratio (a character missing on one side spoils two pairs of the one name and one of the other), and
+    1 + longest * (2 * least / 100 - 1) by edit distance. So two names that match share
+    one among the first n + 2 - least shared number.
+    """
+    grow = (3 * least / 200 - 1) * 200 / (200 - least) if metric != "edit" else 2 * least / 100 - 1
+    if grow < 0:
+        raise ValueError(f"a match at {least} by {metric} may share no pair of characters")
+    padded, size = F.concat(F.lit("\x01"), name, F.lit("\x02")), F.char_length(name)
+    pairs = F.transform(F.sequence(F.lit(1), size + 1), lambda i: padded.substr(i, F.lit(2)))
+    numbered = F.transform(pairs, lambda g, i: F.struct(F.xxhash64(g).alias("h"), g.alias("g"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda x: x == g)).alias("n")))
+    return F.slice(F.array_sort(numbered), 1, (size + 2 - F.ceil(1 + size * grow - 1e-9)).cast("int"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, column: str, least: float, metric: str = "ratio") -> DataFrame:
+    """(a, b): every pair of distinct names whose similarity can reach ``least``; none that does is left out. metric as in ``scored_pairs``."""
+
+    def side(df: DataFrame, to: str) -> DataFrame:
+        names = df.select(F.col(column).alias(to)).where(F.col(to).isNotNull()).distinct()
+        text = F.array_join(F.array_sort(F.filter(F.split(to, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")), " ") if metric == "token_sort" else F.col(to)
+        return names.withColumn("_text", text).select(to, F.char_length("_text").alias(f"_{to}"), F.explode(_prefix(F.col("_text"), least, metric)).alias("block"))
+
+    shorter, longer = F.least("_a", "_b"), F.greatest("_a", "_b")
+    fits = shorter * 100 >= longer * least if metric == "edit" else shorter * 200 >= (shorter + longer) * least
+    return side(left, "a").join(side(right, "b"), "block").where(fits).select("a", "b").distinct()
+
+
 def scored_pairs(pairs: DataFrame, least: float, metric: str = "ratio") -> DataFrame:
     """Pairs whose similarity reaches ``least``; metric: ratio, token_sort or edit (JVM-side)."""
     score = {"ratio": ratio, "token_sort": token_sort_ratio, "edit": edit_ratio}[metric](F.col("a"), F.col("b"))
@@ -75,9 +105,7 @@ CONFIDENCE = ([0, 70, 85, 95, 100], ["low", "medium", "high", "exact"])
 
 def best_matches(left: DataFrame, right: DataFrame, column: str, n: int = 3, least: float = 70) -> DataFrame:
     """Per left name its ``n`` best right names by sorted tokens, with rank and confidence."""
-    blocked = lambda df, side: df.select(F.col(column).alias(side)).distinct().select(side, F.explode(block_keys(F.col(side))).alias("block"))
-    pairs = blocked(left, "a").join(blocked(right, "b"), "block").select("a", "b").distinct()
-    scored = scored_pairs(pairs, least, "token_sort")
+    scored = scored_pairs(near_pairs(left, right, column, least, "token_sort"), least, "token_sort")
     return top_per_group(scored, ["a"], [F.desc("score"), F.col("b")], n).withColumn("confidence", cut_bins(F.col("score"), *CONFIDENCE, include_lowest=True))
 
 

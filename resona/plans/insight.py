@@ -37,7 +37,7 @@ def er2_er3_blocked_edit_pairs(part):
 @query("part")
 def er5_er12_leader_groups(part):
     names = part.select(F.col("p_name").alias("name"))
-    edges = matching.scored_pairs(matching.candidate_pairs(names, "name"), 85, "ratio")
+    edges = matching.scored_pairs(matching.near_pairs(names, names, "name", 85).where("a < b"), 85, "ratio")
     return matching.leader_groups(names, "name", edges)
 
 
@@ -53,7 +53,7 @@ def er4_er6_er7_er15_jn9_jn10_win3_best_matches(part, supplier):
 @query("tracks")
 def er4_er8_score_pairs(tracks):
     names = tracks.select("artist_name").distinct()
-    pairs = matching.candidate_pairs(names, "artist_name")
+    pairs = matching.candidate_pairs(names, "artist_name").union(matching.near_pairs(names, names, "artist_name", 90, "token_sort").where("a < b")).distinct()
     scored = pairs.withColumn("s", fuzzy.all_scores(F.col("a"), F.col("b")))
     return scored.select("a", "b", fuzzy.weighted(F.col("s")).alias("weighted"), fuzzy.likely_match(F.col("s.token_sort"), F.lit(90.0)).alias("likely"))
 

@@ -62,6 +62,22 @@ def test_leader_groups_follow_the_greedy_order(spark):
     assert {r["name"]: r["leader"] for r in found.collect()} == want
 
 
+def test_near_pairs_lose_no_match(spark, sf_dir):
+    import random
+
+    rng = random.Random(2)
+    names = {r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().collect()}
+    names |= {"old plate", "cold plate", "beyonce", "beyonse", "u2", "u 2", "a b", "b a", "été là", "ete la", " ", "aaaa", "aaaaa"}
+    names |= {"".join(rng.choice("ab ") for _ in range(rng.randrange(1, 12))) for _ in range(80)}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    every = df.select(F.col("name").alias("a")).crossJoin(df.select(F.col("name").alias("b"))).where("a < b")
+    for metric, least in (("ratio", 85), ("token_sort", 70), ("token_sort", 90), ("edit", 70)):
+        rows = lambda pairs: {(r.a, r.b) for r in matching.scored_pairs(pairs, least, metric).collect()}  # noqa: B023, E731
+        want = rows(every)
+        assert want and rows(matching.near_pairs(df, df, "name", least, metric).where("a < b")) == want
+    assert ("cold plate", "old plate") in rows(matching.near_pairs(df, df, "name", 85))
+
+
 def test_bins_and_nulls(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (None,)], "x double")
     got = df.select(numeric.cut_bins(F.col("x"), [0, 5], ["in"]).alias("open"), numeric.cut_bins(F.col("x"), [0, 5], ["in"], include_lowest=True).alias("closed")).collect()
