@@ -143,10 +143,10 @@ def similar(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     """Per query the ``k`` items of largest cosine, itself excluded.
 
     Up to ``most_queries`` queries are broadcast; more must come in as several calls
-    or go through an approximate join.
+    or go through ``top_similar``.
     """
     if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; use similar_pairs")
+        raise ValueError(f"more than {most_queries} queries; use top_similar")
     asked = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
     scored = items.select(F.col(key).alias("item"), unit(F.col(vector)).alias("_v")).join(F.broadcast(asked), F.col("item") != F.col("query"))
     scored = scored.select("query", "item", dot(F.col("_q"), F.col("_v")).alias("similarity"))
@@ -154,16 +154,35 @@ def similar(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int
     return ranked.where(F.col("rank") <= k)
 
 
-def similar_pairs(items: DataFrame, key: str, vector: str, distance: float = 0.5, bucket: float = 0.5, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Pairs of unit vectors within a Euclidean distance, by random-projection buckets (approximate)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def top_similar(items: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
+    """Per item the ``k`` others of largest cosine (query, item, rank, similarity), exactly: products of blocks, each giving its best ``k``, merged per item.
 
-    ready = items.select(key, array_to_vector(unit(F.col(vector))).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(ready)
-    pairs = model.approxSimilarityJoin(ready, ready, distance, "distance")
-    left, right = F.col(f"datasetA.{key}"), F.col(f"datasetB.{key}")
-    return pairs.where(left < right).select(left.alias("a"), right.alias("b"), (1 - F.col("distance") ** 2 / 2).alias("similarity"))
+    Similarities are rounded to 12 digits; ties go to the smaller key. Items without a vector of positive length are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = items.schema[key].dataType.simpleString()
+    ready = items.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    n = max(1, -(-ready.count() // block))
+    packed = ready.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("rows"))
+    packed = packed.select("block", F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("values"))
+    pairs = packed.repartition(n, "block").select(F.col("keys").alias("q_keys"), F.col("values").alias("q_values")).crossJoin(packed.drop("block"))
+
+    def best(frames):
+        for frame in frames:
+            for q, x, i, y in zip(frame["q_keys"], frame["q_values"], frame["keys"], frame["values"], strict=True):
+                q, i = np.asarray(q), np.asarray(i)
+                near = np.round(np.asarray(x).reshape(len(q), -1) @ np.asarray(y).reshape(len(i), -1).T, 12)
+                near[q[:, None] == i[None]] = -np.inf
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(near, order, 1).reshape(-1)
+                out = pd.DataFrame({"query": np.repeat(q, order.shape[1]), "item": i[order].reshape(-1), "similarity": value})
+                yield out[value > -np.inf]
+
+    found = pairs.mapInPandas(best, f"query {kind}, item {kind}, similarity double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item")))
+    return ranked.where(F.col("rank") <= k).select("query", "item", "rank", "similarity")
 
 
 def key_similarities(columns: Sequence[str], other: str = "other_", k: int = 3) -> Column:

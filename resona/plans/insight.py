@@ -164,7 +164,7 @@ def sim2_sim4_cosine_neighbours(embeddings):
 
 @query("embeddings")
 def sim3_similar_pairs(embeddings):
-    return models.similar_pairs(embeddings, "vec_id", "embedding", distance=1.1)
+    return models.top_similar(embeddings, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("songs", """

@@ -111,6 +111,27 @@ def test_media_manifest(spark):
     assert got == {"a/b.MP3": (True, []), "c.txt": (False, ["extension", "size", "too short"])}
 
 
+def test_top_similar_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 8))
+    x[40:50] = x[:10]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [])]
+    got = models.top_similar(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", k=5, block=17).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(u @ u.T, 9)
+    want = {(q, r + 1): i for q in range(90) for r, i in enumerate(sorted((i for i in range(90) if i != q), key=lambda i: (-near[q, i], i))[:5])}
+    assert {(r["query"], r["rank"]): r["item"] for r in got} == want and len(got) == 450
+
+
+def test_similar_query_answers_every_item(spark, sf_dir):
+    from resona.plans import registry
+
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert registry.queries()["sim3_similar_pairs"](spark, sf_dir).groupBy("query").count().where("count = 5").count() == n
+
+
 def test_model_persistence(spark, tmp_path):
     df = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 2)) for i in range(60)], "x double, y double, label double")
     model = models.forest_classifier(df, ["x", "y"], "label", trees=3, depth=3)
