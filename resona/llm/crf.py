@@ -20,99 +20,118 @@ class Chain:
     moves: np.ndarray
 
 
-def _forward_backward(emission: np.ndarray, moves: np.ndarray, mask: np.ndarray):
-    """Marginals (n, length, 2) and summed pair marginals (2, 2) of padded chains; emission is state 1's factor."""
-    n, length = emission.shape
-    alpha, beta = np.zeros((n, length, 2)), np.ones((n, length, 2))
-    now = np.tile([1.0, 0.0], (n, 1))
-    for t in range(length):
-        step = now @ moves
-        step[:, 1] *= emission[:, t]
-        step /= step.sum(1, keepdims=True)
-        now = np.where(mask[:, t, None], step, now)
-        alpha[:, t] = now
-    back, pairs = np.ones((n, 2)), np.zeros((2, 2))
-    for t in range(length - 1, -1, -1):
-        beta[:, t] = back
-        before = alpha[:, t - 1] if t else np.tile([1.0, 0.0], (n, 1))
-        right = back.copy()
-        right[:, 1] *= emission[:, t]
-        both = before[:, :, None] * moves[None] * right[:, None, :]
-        pairs += (both / both.sum((1, 2), keepdims=True))[mask[:, t]].sum(0)
-        left = right @ moves.T
-        left /= left.sum(1, keepdims=True)
-        back = np.where(mask[:, t, None], left, back)
-    gamma = alpha * beta
-    return gamma / gamma.sum(2, keepdims=True), pairs
-
-
-def fit(features: np.ndarray, states: np.ndarray, mask: np.ndarray, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Chain:
-    """Penalised maximum likelihood by Adam. features (n, length, k), states and mask (n, length)."""
-    weights, moves = np.zeros(features.shape[2]), np.zeros((2, 2))
-    total = max(1, int(mask.sum()))
-    previous = np.concatenate([np.zeros((len(states), 1), int), states[:, :-1]], axis=1)
-    seen = np.array([[((previous == i) & (states == j) & mask).sum() for j in (0, 1)] for i in (0, 1)], float)
-    first, second = np.zeros(weights.size + 4), np.zeros(weights.size + 4)
-    for k in range(1, steps + 1):
-        emission = np.exp(np.clip(features @ weights, -CLIP, CLIP))
-        gamma, pairs = _forward_backward(emission, np.exp(moves), mask)
-        slope = np.concatenate([((states - gamma[:, :, 1]) * mask).reshape(-1) @ features.reshape(-1, features.shape[2]), (seen - pairs).reshape(-1)]) / total
-        slope -= penalty * np.concatenate([weights, moves.reshape(-1)])
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        weights, moves = weights + move[:-4], moves + move[-4:].reshape(2, 2)
-    return Chain(weights, moves)
-
-
 def _dot(features: np.ndarray, weights: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """features @ weights block by block, so that no second copy of the features is made."""
     return np.concatenate([features[i : i + block] @ weights for i in range(0, max(len(features), 1), block)])
 
 
-def _runs(emission: np.ndarray, moves: np.ndarray, live: np.ndarray, begins: np.ndarray):
-    """As ``_forward_backward``, for chains of any lengths laid out step by step: live[t] chains, the longest first, from begins[t] on."""
-    alpha, gamma, pairs = np.empty((len(emission), 2)), np.empty(len(emission)), np.zeros((2, 2))
-    now = np.tile([1.0, 0.0], (int(live[0]), 1))
+def _layout(lengths: np.ndarray):
+    """Positions of chains laid end to end, step by step with the longest chain first: their order, live chains per step, where each step begins."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.lexsort((owner, -lengths[owner], step))
+    live = np.bincount(step)
+    return order, live, np.cumsum(live) - live
+
+
+class _Rest:
+    """Powers of the matrix that an unlisted position stands for, in closed form from its two eigenvalues."""
+
+    def __init__(self, moves: np.ndarray, resting: float):
+        run = moves * np.array([1.0, np.exp(np.clip(resting, -CLIP, CLIP))])
+        half, root = (run[0, 0] + run[1, 1]) / 2, np.sqrt(((run[0, 0] - run[1, 1]) / 2) ** 2 + run[0, 1] * run[1, 0])
+        self.run, self.ratio = run / (half + root), (half - root) / (half + root)
+        self.main = (run - (half - root) * np.eye(2)) / (2 * root)
+        self.rest = np.eye(2) - self.main
+
+    def power(self, k: np.ndarray) -> np.ndarray:
+        return self.main[None] + (self.ratio ** k.astype(float))[:, None, None] * self.rest[None]
+
+    def pairs(self, before: np.ndarray, after: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Summed pair marginals of runs of k positions between forward vectors and backward vectors."""
+        some = k > 0
+        before, after, k = before[some], after[some], k[some].astype(float)
+        a1, a2, b1, b2 = before @ self.main, before @ self.rest, after @ self.main.T, after @ self.rest.T
+        power = self.ratio ** (k - 1)
+        mixed = (1 - power * self.ratio) / (1 - self.ratio)
+        times = lambda x, y: x[:, :, None] * y[:, None, :]
+        both = (k[:, None, None] * (times(a1, b1) + power[:, None, None] * times(a2, b2)) + mixed[:, None, None] * (times(a1, b2) + times(a2, b1))) * self.run
+        return (both * (k / both.sum((1, 2)))[:, None, None]).sum(0)
+
+
+def _runs(emission: np.ndarray, moves: np.ndarray, live: np.ndarray, begins: np.ndarray, rest: _Rest | None = None, gaps: np.ndarray | None = None, tails: np.ndarray | None = None):
+    """State 1's marginals and summed pair marginals at listed positions, and the pair marginals of unlisted ones, of chains laid out step by step."""
+    n = int(live[0]) if len(live) else 0
+    own = np.column_stack([np.ones(len(emission)), emission])
+    step = np.broadcast_to(moves, (len(emission), 2, 2)) if gaps is None else rest.power(gaps) @ moves
+    before, alpha = np.empty((len(emission), 2)), np.empty((len(emission), 2))
+    now = np.tile([1.0, 0.0], (n, 1))
     for m, at in zip(live, begins):
-        now = now[:m] @ moves
-        now[:, 1] *= emission[at : at + m]
-        now /= now.sum(1, keepdims=True)
+        now = before[at : at + m] = now[:m]
+        now = (now[:, :, None] * step[at : at + m]).sum(1) * own[at : at + m]
+        now = now / now.sum(1, keepdims=True)
         alpha[at : at + m] = now
+    last = np.empty((n, 2))
+    for m, at in zip(live, begins):
+        last[:m] = alpha[at : at + m]
+    ending = np.ones((n, 2)) if tails is None else rest.power(tails).sum(2)
+    after = np.empty((len(emission), 2))
     back = np.ones((0, 2))
-    for t in range(len(live) - 1, -1, -1):
-        m, at = live[t], begins[t]
-        back = np.concatenate([back, np.ones((m - len(back), 2))])
-        both = alpha[at : at + m] * back
-        gamma[at : at + m] = both[:, 1] / both.sum(1)
-        back[:, 1] *= emission[at : at + m]
-        before = alpha[begins[t - 1] : begins[t - 1] + m] if t else np.tile([1.0, 0.0], (m, 1))
-        both = before[:, :, None] * moves[None] * back[:, None, :]
-        pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
-        back = back @ moves.T
+    for m, at in zip(live[::-1], begins[::-1]):
+        back = np.concatenate([back, ending[len(back) : m]])
+        after[at : at + m] = back
+        back = (step[at : at + m] * (back * own[at : at + m])[:, None, :]).sum(2)
         back /= back.sum(1, keepdims=True)
-    return gamma, pairs
-
-
-def fit_runs(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Chain:
-    """As ``fit``, for chains of any lengths laid end to end: features (positions, k), states (positions,), lengths (chains,); nothing is padded."""
+    gamma = alpha * after
+    behind = before if gaps is None else (before[:, :, None] * rest.power(gaps)).sum(1)
+    both = behind[:, :, None] * moves[None] * (after * own)[:, None, :]
+    pairs = (both / both.sum((1, 2), keepdims=True)).sum(0)
+    unlisted = np.zeros((2, 2))
+    if gaps is not None:
+        unlisted = rest.pairs(before, (after * own) @ moves.T, gaps) + rest.pairs(last, np.ones_like(last), tails)
+    return gamma[:, 1] / gamma.sum(1), pairs, unlisted
+
+
+def fit(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, gaps: np.ndarray | None = None, tails: np.ndarray | None = None, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Chain:
+    """Penalised maximum likelihood by Adam, for chains of any lengths laid end to end; nothing is padded or cut.
+
+    features (positions, k), states (positions,), lengths (chains,). ``gaps`` may say
+    how many unlisted positions precede each listed one, and ``tails`` how many follow a
+    chain's last (or make up a chain of length 0). Unlisted positions are in state 0 and
+    have feature 0 alone, with value 1; they count in full, through powers of their matrix.
+    """
     lengths = np.asarray(lengths, np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    step = np.arange(len(states)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    order = np.lexsort((owner, -lengths[owner], step))
+    bare = np.zeros(0, np.int64)
+    if tails is not None:
+        bare, tails, lengths = np.asarray(tails)[lengths == 0], np.asarray(tails)[lengths > 0], lengths[lengths > 0]
+    order, live, begins = _layout(lengths)
     features, states = features[order], np.asarray(states)[order].astype(int)
-    live = np.bincount(step)
-    begins = np.cumsum(live) - live
     previous = np.zeros(len(states), int)
     for t in range(1, len(live)):
         previous[begins[t] : begins[t] + live[t]] = states[begins[t - 1] : begins[t - 1] + live[t]]
-    seen = np.bincount(previous * 2 + states, minlength=4).astype(float)
+    hidden = np.zeros((2, 2))
+    if gaps is not None:
+        gaps, tails = np.asarray(gaps)[order], tails[np.argsort(-lengths, kind="stable")]
+        final = np.zeros(len(lengths), int)
+        for m, at in zip(live, begins):
+            final[:m] = states[at : at + m]
+        for own, k in ((previous, gaps), (final, tails), (np.zeros(len(bare), int), bare)):
+            hidden[:, 0] += np.bincount(own[k > 0], minlength=2)
+            hidden[0, 0] += (k[k > 0] - 1).sum()
+        previous = np.where(gaps > 0, 0, previous)
+    seen = np.bincount(previous * 2 + states, minlength=4).reshape(2, 2) + hidden
+    total = max(1.0, seen.sum())
     weights, moves = np.zeros(features.shape[1]), np.zeros((2, 2))
     first, second = np.zeros(weights.size + 4), np.zeros(weights.size + 4)
     for k in range(1, steps + 1):
-        gamma, pairs = _runs(np.exp(np.clip(_dot(features, weights), -CLIP, CLIP)), np.exp(moves), live, begins)
+        rest = None if gaps is None else _Rest(np.exp(moves), float(weights[0]))
+        gamma, pairs, unlisted = _runs(np.exp(np.clip(_dot(features, weights), -CLIP, CLIP)), np.exp(moves), live, begins, rest, gaps, tails)
+        if len(bare):
+            unlisted += rest.pairs(np.tile([1.0, 0.0], (len(bare), 1)), np.ones((len(bare), 2)), bare)
         miss = states - gamma
-        slope = np.concatenate([sum(miss[i : i + (1 << 16)] @ features[i : i + (1 << 16)] for i in range(0, len(miss), 1 << 16)), seen - pairs.reshape(-1)]) / len(states)
-        slope -= penalty * np.concatenate([weights, moves.reshape(-1)])
+        slope = np.concatenate([sum((miss[i : i + (1 << 16)] @ features[i : i + (1 << 16)] for i in range(0, len(miss), 1 << 16)), np.zeros(len(weights))), (seen - pairs - unlisted).reshape(-1)])
+        slope[0] -= unlisted[:, 1].sum()
+        slope = slope / total - penalty * np.concatenate([weights, moves.reshape(-1)])
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         move = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
         weights, moves = weights + move[:-4], moves + move[-4:].reshape(2, 2)
@@ -124,19 +143,15 @@ def marginals(chain: Chain, emission: np.ndarray, lengths: np.ndarray, gaps: np.
 
     ``emission`` holds state 1's scores. ``gaps`` may say how many unlisted positions
     precede each listed one (``tails``: follow a chain's last); they all have the
-    score ``resting``, and their product of matrices is taken in closed form from the
-    two eigenvalues, so a long run costs as much as one position.
+    score ``resting``, and their product of matrices is taken in closed form, so a
+    long run costs as much as one position.
     """
     moves = np.exp(chain.moves)
     factor = np.exp(np.clip(emission, -CLIP, CLIP))
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     sorted_lengths = lengths[order]
-    run = moves * np.array([1.0, np.exp(np.clip(resting, -CLIP, CLIP))])
-    half, root = (run[0, 0] + run[1, 1]) / 2, np.sqrt(((run[0, 0] - run[1, 1]) / 2) ** 2 + run[0, 1] * run[1, 0])
-    main = (run - (half - root) * np.eye(2)) / (2 * root)
-    rest, ratio = np.eye(2) - main, (half - root) / (half + root)
-    power = lambda k: main[None] + (ratio ** k)[:, None, None] * rest[None]
+    power = _Rest(moves, resting).power
     alpha, out = np.empty((len(emission), 2)), np.empty(len(emission))
     longest = int(sorted_lengths[0]) if len(lengths) else 0
     now = np.tile([1.0, 0.0], (len(lengths), 1))
@@ -145,14 +160,14 @@ def marginals(chain: Chain, emission: np.ndarray, lengths: np.ndarray, gaps: np.
         at = starts[live] + t
         a = now[live]
         if gaps is not None:
-            a = np.einsum("ni,nij->nj", a, power(gaps[at].astype(float)))
+            a = np.einsum("ni,nij->nj", a, power(gaps[at]))
         a = a @ moves
         a[:, 1] *= factor[at]
         a /= a.sum(1, keepdims=True)
         now[live] = alpha[at] = a
     back = np.ones((len(lengths), 2))
     if tails is not None and len(lengths):
-        back = power(tails.astype(float)).sum(2)
+        back = power(tails).sum(2)
     for t in range(longest - 1, -1, -1):
         live = order[: np.searchsorted(-sorted_lengths, -t, "left")]
         at = starts[live] + t
@@ -162,7 +177,7 @@ def marginals(chain: Chain, emission: np.ndarray, lengths: np.ndarray, gaps: np.
         b[:, 1] *= factor[at]
         b = b @ moves.T
         if gaps is not None:
-            b = np.einsum("nij,nj->ni", power(gaps[at].astype(float)), b)
+            b = np.einsum("nij,nj->ni", power(gaps[at]), b)
         back[live] = b / b.sum(1, keepdims=True)
     return out
 

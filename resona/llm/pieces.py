@@ -32,7 +32,7 @@ pieces' bytes, turns the blank mark into a space and drops the first one.
 Defined results: a null or empty text has no pieces and decodes to the empty
 string; a text that itself holds the blank mark (U+2581) decodes with spaces in its
 place; repeated rows are encoded alike; a null doc_id passes through; an empty table gives no
-rows. Other columns pass through, except those that bear the name of a result.
+rows. Other columns pass through, except those that bear the name of a result in any case.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resona.llm.kernels import BASE, mix64, pieces, powers
-from resona.llm.tables import cut
+from resona.llm.tables import cut, without
 
 BLANK = "▁"
 CHUNK = 64
@@ -473,7 +473,7 @@ def _giant(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
 
 def _encode(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]], giant_chars: int, chunk_chars: int) -> DataFrame:
     added = [c for own in found.values() for c in own]
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = without(docs, *added)
     giant = F.coalesce(F.char_length("text") > giant_chars, F.lit(False))
     plain = _plain(docs.where(~giant), v, found)
     if docs.where(giant).isEmpty():
@@ -501,7 +501,7 @@ def encode_both(docs: DataFrame, vocabulary: Vocabulary, giant_chars: int = 1 <<
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
     """``encoded`` plus ``to`` (string) from its ``ids``."""
-    encoded = encoded.select(*[c for c in encoded.columns if c != to])
+    encoded = without(encoded, to)
     names = encoded.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 

@@ -15,7 +15,7 @@ Labels, lang, source and doc_id never enter a score. Defined results: a null or
 empty text is one empty line and is scored as such; repeated rows get equal
 scores; a null doc_id counts as not held out; without both classes among the labels every
 score is the share of good labels (0.5 without labels); an empty table gives no
-rows. Other columns pass through, except those that bear the name of a result.
+rows. Other columns pass through, except those that bear the name of a result in any case.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from resona.llm import crf, kernels
 from resona.llm.labelled import held_out, training_sample
+from resona.llm.tables import without
 
 LETTER, CAPITAL, DIGIT, POINT, SYMBOL, BAR = range(6)
 KINDS = np.zeros((256, 6), bool)
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         balance = np.where(states, 0.5 / max(1, states.sum()), 0.5 / max(1, (~states).sum())) * len(states)
         alone = crf.apply_logistic(crf.logistic(x, states.astype(float), balance), x)
         states = bad & (alone >= np.minimum(0.5, np.repeat(np.maximum.reduceat(alone, first), counts)))
-    chain = crf.fit_runs(x, states, counts)
+    chain = crf.fit(x, states, counts)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kernels.pieces(batches, "text"):
@@ -141,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` plus held_out, score and predicted."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted", "_held")])
-    names = [*docs.columns, "held_out", "score", "predicted"]
+    docs = without(docs, "held_out", "score", "predicted").withColumn("held_out", held_out())
+    names = [*docs.columns, "score", "predicted"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 [*(piece.column(i) for i in range(piece.num_columns)), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=names
             )
 
-    return docs.withColumn("_held", held_out()).mapInArrow(run, f"{schema}, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -4,12 +4,12 @@ Tokens are runs of letters (ASCII letters and all bytes from 0x80), lower-cased
 A-Z. Labels are per document, so tokens are labelled first: over the training rows the
 document frequencies of words, prefixes and suffixes in toxic and other documents
 give each feature a log-odds weight (its lower bound); a token of a toxic document whose strongest
-feature reaches ``STRONG`` is labelled toxic. The CRF is trained on windows of these
-labelled tokens with the token's own weight and its neighbours' as features.
+feature reaches ``STRONG`` is labelled toxic. The CRF is trained on all tokens of
+these rows, with the token's own weight and its neighbours' as features.
 
-Scoring runs over whole texts. Tokens without any weighted feature in reach are
-ordinary, and a run of them enters forward-backward as one matrix power, so a text
-of any length costs its word hashing and its few weighted tokens. The document
+Training and scoring run over whole texts. Tokens without any weighted feature in
+reach are ordinary, and a run of them enters forward-backward as one matrix power, so
+a text of any length costs its word hashing and its few weighted tokens. The document
 score is a logistic function, fitted on the training documents, of the tokens' summed and
 largest marginals.
 
@@ -17,7 +17,7 @@ Labels, lang, source and doc_id never enter a score. Defined results: null and
 empty texts get the score of a text without toxic tokens; repeated rows get equal
 scores; a null doc_id counts as not held out; without both classes among the labels
 every score is the share of toxic labels (0 if none); an empty table gives no rows.
-Other columns of the documents pass through, except those that bear the name of a result.
+Other columns of the documents pass through, except those that bear the name of a result in any case.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from resona.llm import crf, kernels
 from resona.llm.labelled import held_out, training_sample
+from resona.llm.tables import without
 
 PREFIXES, SUFFIXES = (4, 5, 6), (4, 5)
 STRONG = 1.5
 #: standard errors that a feature's log-odds must give up, so that chance finds weigh nothing
 CAUTION = 2.5
-WINDOW = 48
 OTHER = np.ones(256, bool)
 OTHER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -127,8 +127,8 @@ def _tag(model: Model, raw: np.ndarray, offsets: np.ndarray):
     return total, most, p, starts[at], ends[at], counts
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, features: int = 4096, min_docs: int = 5) -> Model:
-    """Learn from at most ``per_class`` rows of each class; keep at most ``features`` weighted features."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, min_docs: int = 5) -> Model:
+    """Learn from all tokens of at most ``per_class`` rows of each class; a weighted feature occurs in ``min_docs`` toxic ones at least, which bounds their number."""
     sample, sizes = training_sample(docs, labels, label, per_class)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(1 << 16, bool), None, None, share)
@@ -164,8 +164,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         .where(F.col("toxic") >= min_docs)
         .withColumn("odds", odds)
         .where(F.col("odds") > 1)
-        .orderBy(F.desc("toxic"), "feature")
-        .limit(features)
         .select("feature", "odds")
         .toPandas()
     )
@@ -177,30 +175,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     if not len(hashes):
         return nothing
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One window of weights per text, around its strongest token."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tokens of a text that differ from an ordinary one (row by row), with the runs of ordinary ones between them."""
         for piece in kernels.pieces(batches, "text"):
             raw, offsets = kernels.text_bytes(piece.column("text"))
             starts, ends, first = tokens(raw, offsets)
             odds = _odds(model, raw, starts, ends)
-            found = []
-            for i in range(piece.num_rows):
-                own = odds[first[i] : first[i + 1]]
-                middle = int(own.argmax()) if len(own) else 0
-                begin = max(0, min(middle - WINDOW // 2, len(own) - WINDOW))
-                found.append(own[begin : begin + WINDOW])
-            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(found, pa.list_(pa.float64()))], names=["y", "odds"])
-
-    rows = sample.select("text", "y").mapInArrow(windows, "y int, odds array<double>").toPandas()
-    n = len(rows)
-    x, states, mask = np.zeros((n, WINDOW, 5)), np.zeros((n, WINDOW), int), np.zeros((n, WINDOW), bool)
-    for i, (y, own) in enumerate(zip(rows["y"], rows["odds"], strict=True)):
-        own = np.asarray(own, float)
-        if len(own):
-            x[i, : len(own)] = _chain_features(own, np.array([0, len(own)]))
-            states[i, : len(own)] = (own >= STRONG) & (y == 1)
-            mask[i, : len(own)] = True
-    model.chain = crf.fit(x, states, mask)
+            x, at, counts, gaps, tails = _listed(odds, first)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            between = [gaps[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(rows, pa.binary()), pa.array(between, pa.binary()), pa.array(tails)], names=["y", "x", "gaps", "tail"])
+
+    rows = sample.select("text", "y").mapInArrow(listed, "y int, x binary, gaps binary, tail long").toPandas()
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, 5).astype(float)
+    gaps = np.frombuffer(b"".join(rows["gaps"]), np.int64)
+    lengths = rows["gaps"].map(len).to_numpy() // 8
+    states = (x[:, 1] >= STRONG) & (np.repeat(rows["y"].to_numpy(), lengths) == 1)
+    model.chain = crf.fit(x, states, lengths, gaps, rows["tail"].to_numpy())
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kernels.pieces(batches, "text"):
@@ -216,9 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` plus held_out, score, predicted and ``toxic_spans`` (code points, end exclusive) with marginals of 0.5 or more."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted", "toxic_spans", "_held")])
-    names = [*docs.columns, "held_out", "score", "predicted", "toxic_spans"]
-    fields = "held_out boolean, score double, predicted int, toxic_spans array<struct<start:int,end:int>>"
+    docs = without(docs, "held_out", "score", "predicted", "toxic_spans").withColumn("held_out", held_out())
+    names = [*docs.columns, "score", "predicted", "toxic_spans"]
+    fields = "score double, predicted int, toxic_spans array<struct<start:int,end:int>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -239,11 +231,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                     base = points[offsets[owner[k]]]
                     spans[owner[k]].append({"start": int(points[starts[k]] - base), "end": int(points[ends[k]] - base)})
             yield pa.RecordBatch.from_arrays(
-                [*(piece.column(i) for i in range(piece.num_columns - 1)), piece.column("_held"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, spans_type)],
+                [*piece.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, spans_type)],
                 names=names,
             )
 
-    return docs.withColumn("_held", held_out()).mapInArrow(run, f"{schema}, {fields}")
+    return docs.mapInArrow(run, f"{schema}, {fields}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
