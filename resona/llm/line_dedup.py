@@ -4,15 +4,15 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-
 lower-cased. Only the 128-bit hash of a key travels, with the document and the
 line's position; text never leaves its row.
 
-* The hashed lines are range-partitioned by (hash, doc_id) and sorted by hash,
-  document and position inside each partition. The range bounds run through a
-  common line's documents, so a line found in a third of all documents spans
-  many partitions.
-* Each sorted partition streams its first and last document per hash (partial
-  aggregation, one row per hash and partition), and one small merge gives every
-  repeated hash its first document.
-* Documents after the first get their lines' positions back, and these become a
-  keep bitmap per document, stored as run lengths.
+* The hashed lines are range-partitioned by (hash, part) and sorted by document and
+  position inside each hash and part. ``part`` is one of ``parts`` hashes of the
+  document, so a line found in a third of all documents spans many partitions, while
+  the parts of an ordinary line lie next to each other.
+* A window over each sorted stretch carries its first document along: later
+  documents drop the line, and only the first one's rows go on.
+* The firsts of a hash's parts, at most ``parts`` documents, meet once more in the
+  same way, and all but the first of them drop the line too.
+* The dropped positions become a keep bitmap per document, stored as run lengths.
 
 Defined results: a null or empty text is one empty line; keys under ``min_chars``
 code points always stay; a null doc_id is no document that could hold a line
@@ -23,7 +23,7 @@ besides doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.llm.tables import cut
@@ -40,7 +40,13 @@ def _key(line):
     return F.translate(F.btrim(line, F.lit(EDGES)), UPPER, LOWER)
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def _first_holders(sorted_by: list[str], lines: DataFrame) -> DataFrame:
+    """``lines`` with ``held_by``: the first document of the row's group in the order of document and position."""
+    stream = Window.partitionBy(*sorted_by).orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("held_by", F.first("doc_id").over(stream))
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = 10, parts: int = 4096) -> DataFrame:
     """doc_id, text_hash, n_lines, n_dropped, dropped_runs: a bitmap for each document that loses lines.
 
     ``dropped_runs`` is the bitmap in compressed form: an array of structs
@@ -54,17 +60,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    ordered = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    # cut, so that both sides of the join below are dealt anew and a common line's rows can be split
-    repeated = cut(
-        ordered.groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        .where(F.col("first_doc") < F.col("last_doc"))
-        .drop("last_doc")
-    )
+    spread = lines.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    # the range partitioning serves the window as it is: no second exchange
+    streamed = cut(_first_holders(["h1", "h2", "part"], spread.repartitionByRange("h1", "h2", "part")))
+    later = F.col("doc_id") > F.col("held_by")
+    firsts = _first_holders(["h1", "h2"], streamed.where(~later).drop("held_by", "part"))
+    position = ["doc_id", "text_hash", "pos"]
     dropped = (
-        lines.join(repeated, ["h1", "h2"])
-        .where(F.col("doc_id") > F.col("first_doc"))
+        streamed.where(later).select(position).union(firsts.where(later).select(position))
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     )
