@@ -18,7 +18,7 @@ OP10 = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(source, '') AS source_key, source IS NULL AS no_source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS order_key
   FROM documents),
 sources AS (
   SELECT no_source, source_key, CAST(sum(size) AS BIGINT) AS source_size,
@@ -44,7 +44,7 @@ quotas AS (
 placed AS (
   SELECT s.*, t.place, t.source_size, t.target,
          CAST('0x' || substr(order_key, 1, 8) AS BIGINT)
-           % CAST(greatest(1, ceil(t.source_size / 100000.0)) AS BIGINT) AS shard
+           % CAST(least(greatest(1, ceil(t.source_size / 100000.0)), 4096) AS BIGINT) AS shard
   FROM sized s JOIN targets t USING (no_source, source_key)),
 shards AS (
   SELECT place, source_key, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST((sum(size) + 15) // 16 AS BIGINT) AS blocks
