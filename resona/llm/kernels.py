@@ -93,3 +93,30 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
         out[at:to] = mix64(np.add.reduceat(values, begins) + length.astype(np.uint64)) if total else mix64(length.astype(np.uint64))
         at = to
     return out
+
+
+def pairs_within(keys: np.ndarray, inside: np.ndarray, second: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (left, right) of the pairs of each stretch of equal ``keys``, some ``most`` at a time.
+
+    Rows are sorted by key, then ``second``. Where ``inside`` holds, every two rows of a
+    stretch are a pair; elsewhere those of which just the right one is ``second``.
+    """
+    rows = len(keys)
+    if not rows:
+        return
+    new = np.ones(rows, bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(1)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], rows)
+    stretch = np.cumsum(new) - 1
+    firsts = np.add.reduceat((~second).astype(np.int64), begins)
+    low = np.where(inside, np.arange(rows) + 1, np.where(second, ends[stretch], begins[stretch] + firsts[stretch]))
+    count = ends[stretch] - low
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        left = np.repeat(np.arange(at, to), count[at:to])
+        if len(left):
+            yield left, low[left] + np.arange(len(left)) - (total[left] - total[at])
+        at = to

@@ -10,17 +10,25 @@
    collections agree: 1.6e-5 (3e-6 at 0.85).
    A collection's value that one class alone has can be in no shared key, so such
    values go first, with one row per collection instead of one per table.
-3. Members of a bucket are tied to its smallest member, and the ties' connected
-   components are the candidate clusters. Inside a cluster, blocks of ``block``
-   classes meet block by block in separate tasks, which compare full shingle sets by
-   one matrix product and return the spanning edges of their links. No pair is
-   emitted, no bucket is capped, and no candidate is left uncompared; a large
-   cluster costs its square in products, spread over its block pairs.
+3. Every class meets the first and the last class of each of its buckets. A 28-byte
+   sketch (one byte of each minhash) tells which pairs agree in ``AGREE`` hashes at least, which
+   a pair at similarity 0.8 misses with probability 3e-6; the likeliest of a class is
+   confirmed on the full sets. So a group of near copies becomes one component at a
+   cost that follows its size.
+4. Only buckets that still hold several components remain. Their classes meet by sketches,
+   in blocks of ``block``, where components differ. A bucket of more than ``block`` classes is
+   replaced by the buckets of its classes' rarest shingles: two sets at the threshold
+   share one of the ``size - least + 1`` rarest of each, where ``least`` is the
+   smallest overlap a link allows, so texts that share boilerplate alone never meet.
+   What the sketches let through is confirmed on the full sets, and the components of
+   all confirmed links are the groups. No bucket is capped, and no candidate is left out.
+
+Classes are told apart by 128 bits of their shingles' hashes and numbered for the graph.
 
 Defined results: a text with no words has an empty set and links with nothing; with
 fewer words than a shingle, the whole sequence is the one shingle; rows with equal
-sets are one class, whatever their doc_id; a null doc_id takes part, but a class's
-id is the smallest doc_id that is not null (null if there is none; such rows are kept); an empty table gives no rows.
+sets are one class, whatever their doc_id; a null doc_id takes part and ties texts together, but a group's
+id is its smallest doc_id that is not null (null if there is none; such rows are kept); an empty table gives no rows.
 Columns besides doc_id and text are ignored, whatever their names.
 """
 
@@ -38,6 +46,10 @@ from resona.llm import kernels
 from resona.llm.components import components
 from resona.llm.tables import cut
 
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: share of the minhashes that a pair must agree in before its full sets are compared
+AGREE = 12 / 28
+
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text back to back, and each text's first (one entry more than texts)."""
@@ -64,9 +76,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _set_hash(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _set_hash(values: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
     """One hash per set; sets are sorted and distinct, so the sum of scrambled members tells them apart."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix64(values ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernels.mix64(values ^ np.uint64(seed)), dtype=np.uint64)])
     return kernels.mix64(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
@@ -74,8 +86,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the two halves of the text's hash."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
 def signatures(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """doc_id, class_hash, n_shingles, minima (array of ``hashes`` longs; empty for empty sets)."""
+    """doc_id, t1, t2 (the text's hash), h1, h2 (the set's), n_shingles, minima (array of ``hashes`` longs; empty for empty sets)."""
     multipliers = kernels.mix64(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1)
     shifts = kernels.mix64(np.arange(1001, hashes + 1001, dtype=np.uint64))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -91,132 +109,146 @@ def signatures(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                 minima[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), bounds[:-1][filled]) if len(filled) else 0
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, hashes, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), _signed(_set_hash(values, bounds)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), _signed(minima.reshape(-1)))],
-                names=["doc_id", "class_hash", "n_shingles", "minima"],
+                [
+                    *(piece.column(c) for c in ("doc_id", "t1", "t2")),
+                    *(_signed(_set_hash(values, bounds, seed)) for seed in SEEDS),
+                    pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(ends), _signed(minima.reshape(-1))),
+                ],
+                names=["doc_id", "t1", "t2", "h1", "h2", "n_shingles", "minima"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, class_hash long, n_shingles long, minima array<long>")
+    return _texts(docs).mapInArrow(run, f"doc_id {id_type}, t1 long, t2 long, h1 long, h2 long, n_shingles long, minima array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """class_hash and its shingle hashes as bytes, for documents whose set's hash is the one asked for."""
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, members (its shingles' hashes) for ``nodes`` (node, first: the row that stands for it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kernels.pieces(batches, "text"):
             values, bounds = shingle_sets(*kernels.text_bytes(piece.column("text")), words)
-            found = _set_hash(values, bounds).view(np.int64)
-            right = np.flatnonzero(found == piece.column("asked").to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[right]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in right], pa.binary())], names=["class_hash", "members"]
-            )
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(values))], names=["node", "members"])
+
+    asked = nodes.select("node", F.col("first.t1").alias("t1"), F.col("first.t2").alias("t2"), F.col("first.doc_id").alias("first_id"))
+    found = _texts(docs).join(asked, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
+    return found.mapInArrow(run, "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
+
+
+def _agree(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, s_a, s_b) whose sizes allow a link and whose sketches agree often enough: (a, b, agree)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
+            agree = (a == b).sum(1) if batch.num_rows else np.zeros(0, np.int64)
+            near = pa.array(np.flatnonzero(agree >= AGREE * a.shape[1]) if batch.num_rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(near), batch.column("b").take(near), pa.array(agree.astype(np.int32)).take(near)], names=["a", "b", "agree"])
+
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return left.where(fits).select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, agree int")
 
-    return docs.select("text", "asked").mapInArrow(run, "class_hash long, members binary")
-
-
-def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set, by products over the shingles both sides hold."""
-    rows_l, rows_r = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
-    all_l, all_r = np.concatenate(left), np.concatenate(right)
-    common = np.intersect1d(all_l, all_r)
-    out = np.zeros((len(left), len(right)), np.float32)
-    if not len(common):
-        return out.astype(np.int64)
-    place_l, place_r = np.searchsorted(common, all_l), np.searchsorted(common, all_r)
-    in_l, in_r = common[np.minimum(place_l, len(common) - 1)] == all_l, common[np.minimum(place_r, len(common) - 1)] == all_r
-    rows_l, place_l, rows_r, place_r = rows_l[in_l], place_l[in_l], rows_r[in_r], place_r[in_r]
-    for at in range(0, len(common), 8192):
-        x, y = np.zeros((len(left), min(8192, len(common) - at)), np.float32), np.zeros((len(right), min(8192, len(common) - at)), np.float32)
-        mine, other = (place_l >= at) & (place_l < at + 8192), (place_r >= at) & (place_r < at + 8192)
-        x[rows_l[mine], place_l[mine] - at] = 1
-        y[rows_r[other], place_r[other] - at] = 1
-        out += x @ y.T
-    return out.astype(np.int64)
-
-
-def _spanning(left: pd.DataFrame, right: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links between left and right (None: inside left)."""
-    other = left if right is None else right
-    sets_l, sets_r = [np.frombuffer(x, np.uint64) for x in left["members"]], [np.frombuffer(x, np.uint64) for x in other["members"]]
-    sizes_l, sizes_r = np.array([len(x) for x in sets_l]), np.array([len(x) for x in sets_r])
-    same = _intersections(sets_l, sets_r)
-    linked = 100 * same >= percent * (sizes_l[:, None] + sizes_r[None] - same)
-    if right is None:
-        linked = np.triu(linked, 1)
-    names_l, names_r = left["class_hash"].to_numpy(), other["class_hash"].to_numpy()
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = int(names_l[i]), int(names_r[j])
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+
+def _meet(members: DataFrame, percent: int, block: int, tasks: int) -> DataFrame:
+    """members (bucket, node, comp, n, sketch): pairs (a, b) of a bucket whose components differ and whose sizes and sketches allow a link.
+
+    A bucket of more than ``block`` members meets block by block in separate tasks.
+    """
+    parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("parts"))
+    mine, other = F.pmod(F.xxhash64("node"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    placed = members.join(parts, "bucket").withColumn("mine", mine).withColumn("other", other)
+    p, q = F.least("mine", "other"), F.greatest("mine", "other")
+    placed = placed.select("bucket", "node", "comp", "n", "sketch", p.alias("p"), q.alias("q"), (F.col("mine") > F.col("other")).alias("second"))
+    placed = placed.withColumn("task", F.when(F.col("q") == 0, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.xxhash64("bucket", "p", "q")))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["bucket", "p", "q", "second"], kind="stable")
+        same = group[["bucket", "p", "q"]].to_numpy()
+        inside = (group["p"] == group["q"]).to_numpy()
+        out = []
+        node, comp, n = (group[c].to_numpy() for c in ("node", "comp", "n"))
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        for left, right in kernels.pairs_within(same, inside, group["second"].to_numpy()):
+            live = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+            left, right = left[live], right[live]
+            near = (sketch[left] == sketch[right]).sum(1) >= AGREE * sketch.shape[1]
+            out.append(np.column_stack([node[left[near]], node[right[near]]]))
+        found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return placed.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
+    side = lambda to: sets.select(F.col("node").alias(to), F.col("members").alias(f"m_{to}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    same = F.size(F.array_intersect("m_a", "m_b"))
+    return both.where(100 * same >= percent * (F.size("m_a") + F.size("m_b") - same)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 14, rows: int = 2, block: int = 256) -> DataFrame:
-    """Per document: doc_id, class_hash, n_shingles, component_id (smallest doc_id reachable), kept (it is that document).
+    """Per document: doc_id, t1, t2 (its text's hash), n_shingles, component_id (smallest doc_id reachable), kept (it is that document), keeper.
 
-    Linked: 100 * intersection >= percent * union of the shingle sets.
+    Linked: 100 * intersection >= percent * union of the shingle sets. ``keeper`` marks
+    one text under one doc_id in each group (the smallest doc_id, nulls last, and its
+    first text by hash), and every text without words.
     """
     signed = cut(signatures(docs, words, collections * rows))
-    classes = cut(
-        signed.where("n_shingles > 0").groupBy("class_hash").agg(F.min("doc_id").alias("first_doc"), F.first("minima").alias("minima"))
-    )
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(row).alias("first"), F.first("minima").alias("minima"), F.first("n_shingles").alias("n"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     small = F.transform(F.sequence(F.lit(0), F.lit(collections - 1)), lambda c: F.xxhash64(F.slice("minima", c * rows + 1, F.lit(rows))))
-    values = classes.select("class_hash", F.posexplode(small).alias("c", "value"))
+    values = classes.select("node", F.posexplode(small).alias("c", "value"))
     repeated = cut(values.groupBy("c", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    held = values.join(repeated, ["c", "value"]).groupBy("class_hash").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("held"))
+    held = values.join(repeated, ["c", "value"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("held"))
     pairs = F.expr("flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> xxhash64(x.c, y.c, x.value, y.value))))")
-    keyed = cut(held.where(F.size("held") > 1).select("class_hash", F.explode(pairs).alias("key")))
-    leaders = cut(keyed.groupBy("key").agg(F.min("class_hash").alias("leader"), F.max("class_hash").alias("last")).where("leader < last").drop("last"))
-    ties = keyed.join(leaders, "key").where("class_hash <> leader").select(F.col("leader").alias("a"), F.col("class_hash").alias("b"))
-    clusters = cut(components(ties).select(F.col("node").alias("class_hash"), F.col("component").alias("cluster")))
-    asked = clusters.join(classes, "class_hash").where(F.col("first_doc").isNotNull()).select("first_doc", F.col("class_hash").alias("asked"))
-    sets = (
-        _sets(docs.select(F.col("doc_id").alias("first_doc"), "text").join(asked, "first_doc").select("text", "asked"), words)
-        .groupBy("class_hash")
-        .agg(F.first("members").alias("members"))
-    )
-    tasks = max(1, clusters.count() // 500)
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("parts"))
-    placed = (
-        clusters.join(sizes, "cluster")
-        .withColumn("mine", F.pmod(F.xxhash64("class_hash"), "parts"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(
-            "class_hash",
-            "cluster",
-            F.least("mine", "other").alias("p"),
-            F.greatest("mine", "other").alias("q"),
-            (F.col("mine") > F.col("other")).alias("second"),
-        )
-        .withColumn("task", F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", "p", "q")))
-    )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for (_, p, q), own in group.groupby(["cluster", "p", "q"], sort=False):
-            if p == q:
-                out += _spanning(own, None, percent) if len(own) > 1 else []
-            elif own["second"].any() and not own["second"].all():
-                out += _spanning(own[~own["second"]], own[own["second"]], percent)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    links = placed.join(sets, "class_hash").groupBy("task").applyInPandas(compare, "a long, b long")
-    found = components(links)
-    ids = classes.join(found.select(F.col("node").alias("class_hash"), "component"), "class_hash", "left").select(
-        "class_hash", "first_doc", F.coalesce("component", "class_hash").alias("component")
-    )
-    least = ids.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = ids.join(least, "component").select("class_hash", "component_id")
-    out = signed.select("doc_id", "class_hash", "n_shingles").join(named, "class_hash", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "class_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    keyed = cut(held.where(F.size("held") > 1).select("node", F.explode(pairs).alias("bucket")))
+    edges = cut(keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low < high"))
+    shared = keyed.join(edges, "bucket")
+    sketch = F.unhex(F.array_join(F.transform("minima", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), ""))
+    brief = cut(shared.select("node").distinct().join(classes, "node").select("node", "n", "first", sketch.alias("sketch")))
+    side = lambda to: brief.select(F.col("node").alias(to), F.col("n").alias(f"n_{to}"), F.col("sketch").alias(f"s_{to}"))
+    stars = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    likely = _agree(stars.join(side("b"), "b").join(side("a"), "a"), percent)
+    likely = cut(likely.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")))
+    known = _sets_of(docs, likely, brief, words)
+    links = cut(_confirmed(likely, known, percent))
+    stars = cut(components(links))
+    comp = F.coalesce("component", "node").alias("comp")
+    placed = shared.join(stars, "node", "left").select("bucket", "node", "many", comp)
+    open_ = cut(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"))
+    left = cut(placed.join(open_, "bucket").join(brief.select("node", "n", "sketch"), "node"))
+    tasks = max(1, left.count() // 8192)
+    more = _meet(left.where(F.col("many") <= block).drop("many"), percent, block, tasks)
+    large = left.where(F.col("many") > block).select("node", "comp", "n", "sketch").distinct()
+    if not large.isEmpty():
+        more = more.union(_meet(_rarest(large, _sets(docs, large.join(brief.select("node", "first"), "node"), words), percent), percent, block, tasks)).distinct()
+    more = cut(more)
+    if not more.isEmpty():
+        links = _confirmed(more, _sets_of(docs, more, brief, words), percent)
+        stars = cut(components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+    ids = classes.select("h1", "h2", "node", "first").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ids.groupBy("component").agg(F.min("first").alias("least"))
+    named = ids.join(least, "component").select("h1", "h2", "least")
+    out = signed.select("doc_id", "t1", "t2", "h1", "h2", "n_shingles").join(named, ["h1", "h2"], "left")
+    filled = F.col("n_shingles") > 0
+    component = F.when(filled, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    keeper = ~filled | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2")))
+    return out.select("doc_id", "t1", "t2", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), keeper.alias("keeper"))
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, brief: DataFrame, words: int) -> DataFrame:
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return cut(_sets(docs, nodes.join(brief.select("node", "first"), "node"), words))
+
+
+def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes (node, ...) with ``bucket``: each of the shingles one of which every link of theirs must share."""
+    members = cut(sets.select("node", F.explode("members").alias("bucket")))
+    often = members.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1")
+    rank = F.array_sort(F.collect_list(F.struct("times", "bucket")))
+    # a shingle that one set alone has would be among the rarest: those are counted, not listed
+    listed = members.join(often, "bucket").groupBy("node").agg(rank.alias("rank"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("rank"))
+    rare = nodes.join(listed, "node").where(prefix > 0).select(*nodes.columns, F.explode(F.slice("rank", 1, prefix.cast("int"))).alias("own"))
+    return rare.select(F.col("own.bucket").alias("bucket"), *nodes.columns)
