@@ -7,13 +7,18 @@ sign bits with a correction factor c = <rotated, signs / sqrt(d)>. For a pair,
 confidence. Only pairs whose estimate plus bound reaches the threshold are
 recomputed, in double precision; only those at the threshold or above are links.
 
-Candidates are vectors of equal label that agree in one of ``tables`` bands of
-``band_bits`` sign bits (of as many rotations as that takes). At cosine 0.98 a pair
-misses all 24 bands of 16 bits with probability 3.5e-5, at 0.99 with 2e-7. A pair is
-counted in the first band it shares. Equal vectors are merged before anything is
-compared, and a bucket of more than ``block`` vectors is compared block against
-block in separate tasks; tasks return counts and the spanning edges of their own
-links, never pairs.
+Candidates are vectors of equal label that agree in one of the bands of sign bits (of
+as many rotations as that takes). A band has about log2 of the number of vectors plus
+two bits, so a bucket holds few strangers however many vectors there are, and there are as
+many bands as keep the probability that a pair at the threshold shares none below ``miss``
+(28 bands of 18 bits at 65,000 vectors and cosine 0.98). A pair is counted in the first band it shares.
+
+Vectors stay where they are: buckets get a code of some 200 bytes (sign bits, factor,
+rotated values in half precision, bands). Only the vectors of pairs that the estimates
+let through follow, and meet again in the bucket that found them. Equal vectors
+are merged before anything is compared, and a bucket of more than ``block`` vectors is
+compared block against block in separate tasks; tasks return counts and the
+spanning edges of their own links, never pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and rows with a null label or null vec_id, link with nothing; vectors
@@ -32,39 +37,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resona.llm import kernels
 from resona.llm.components import components
 from resona.llm.tables import cut
-from resona.llm.vectors import finite, matrix, rotation
+from resona.llm.vectors import finite, rotation
 
 EPSILON = 5.0
 
 
-def encode(classes: DataFrame, tables: int, band_bits: int) -> DataFrame:
-    """node, label_key, dim, copies, unit (float64 bytes), code (sign bits), factor, bands (one long per table)."""
+def bands_for(vectors: int, threshold: float, miss: float) -> tuple[int, int]:
+    """(number of bands, bits of a band) for so many vectors."""
+    bits = min(62, max(8, int(np.ceil(np.log2(max(vectors, 2)))) + 2))
+    agree = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    share = min(agree**bits, 1 - 1e-12)
+    return max(1, int(np.ceil(np.log(miss) / np.log1p(-share)))), bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.asarray(v, np.float64) for v in batch.column("embedding").to_pylist()]
-            units, codes, factors, bands = [], [], [], []
-            for v in rows:
-                unit = v / np.abs(v).max()
-                unit = unit / np.linalg.norm(unit)
-                d = len(unit)
-                bits = []
-                for k in range(-(-tables * band_bits // d)):
-                    turned = rotation_of(d, k) @ unit
-                    if k == 0:
-                        codes.append(np.packbits(turned > 0).tobytes())
-                        factors.append(float(np.abs(turned).sum() / np.sqrt(d)))
-                    bits.append(turned > 0)
-                bits = np.concatenate(bits)[: tables * band_bits].reshape(tables, band_bits)
-                bands.append(bits @ (1 << np.arange(band_bits, dtype=np.int64)))
-                units.append(unit.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("label_key"), pa.array([len(v) for v in rows], pa.int32()), batch.column("copies"), pa.array(units, pa.binary()), pa.array(codes, pa.binary()), pa.array(factors, pa.float64()), pa.array([b.tolist() for b in bands], pa.list_(pa.int64()))],
-                names=["node", "label_key", "dim", "copies", "unit", "code", "factor", "bands"],
-            )
 
+def encode(classes: DataFrame, tables: int, band_bits: int) -> DataFrame:
+    """node, dim, code (sign bits), factor, turned (half-precision rotated vector), bands (one long per table, as bytes)."""
     turns: dict = {}
 
     def rotation_of(d: int, k: int) -> np.ndarray:
@@ -72,57 +62,55 @@ def encode(classes: DataFrame, tables: int, band_bits: int) -> DataFrame:
             turns[d, k] = rotation(d, 11 + k)
         return turns[d, k]
 
-    return classes.select("node", "label_key", "copies", "embedding").mapInArrow(
-        run, "node long, label_key string, dim int, copies long, unit binary, code binary, factor double, bands array<long>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == d))
+                unit = _units(part.column("embedding"), d)
+                turned = unit @ rotation_of(d, 0).T
+                more = [unit @ rotation_of(d, k).T > 0 for k in range(1, -(-tables * band_bits // d))]
+                bits = np.concatenate([turned > 0, *more], axis=1)[:, : tables * band_bits].reshape(len(unit), tables, band_bits)
+                bands = bits @ (1 << np.arange(band_bits, dtype=np.int64))
+                codes, factors = np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(d)
+                as_bytes = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), part.column("label_key"), part.column("dim"), part.column("copies"), as_bytes(codes), pa.array(factors), as_bytes(turned.astype(np.float16)), as_bytes(bands)],
+                    names=["node", "label_key", "dim", "copies", "code", "factor", "turned", "bands"],
+                )
+
+    return classes.select("node", "label_key", "dim", "copies", "embedding").mapInArrow(
+        run, "node long, label_key string, dim int, copies long, code binary, factor double, turned binary, bands binary"
     )
 
 
-def _links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, table: int, dim: int) -> tuple[np.ndarray, list]:
-    """Links between the rows of left and right (None: inside left): weighted counts per row, and spanning edges by row number."""
-    a, b = matrix(left["unit"], dim), matrix(left["unit"] if right is None else right["unit"], dim)
-    other = left if right is None else right
-    signs = np.unpackbits(np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1), axis=1)[:, :dim].astype(np.float32) * 2 - 1
-    factor = left["factor"].to_numpy()
-    slack = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2) / np.sqrt(max(dim - 1, 1))
-    turned = (b @ rotation(dim).T).astype(np.float32)
-    bands_a, bands_b = np.stack(left["bands"].to_numpy())[:, :table], np.stack(other["bands"].to_numpy())[:, :table]
-    copies_a, copies_b = left["copies"].to_numpy(), other["copies"].to_numpy()
-    counts_a, counts_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    root = np.arange(len(a) + (0 if right is None else len(b)))
-    shift = 0 if right is None else len(a)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for at in range(0, len(a), 64):
-        part = slice(at, min(at + 64, len(a)))
-        estimate = (signs[part] @ turned.T) / (np.sqrt(dim) * factor[part, None])
-        near = estimate + slack[part, None] >= threshold
-        if right is None:
-            near &= np.arange(len(b))[None, :] > np.arange(part.start, part.stop)[:, None]
-        for t in range(table):  # counted in an earlier band already
-            near &= bands_a[part, t, None] != bands_b[None, :, t]
-        if not near.any():
-            continue
-        columns = np.flatnonzero(near.any(0))
-        exact = a[part] @ b[columns].T
-        hit = near[:, columns] & (exact >= threshold)
-        counts_a[part] += hit @ copies_b[columns]
-        np.add.at(counts_b, columns, copies_a[part] @ hit)
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            x, y = find(part.start + int(i)), find(shift + int(columns[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    nodes = left["node"].to_numpy() if right is None else np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
-    counts = counts_a + counts_b if right is None else np.concatenate([counts_a, counts_b])
-    top = np.array([find(i) for i in range(len(root))])
-    return nodes, counts, nodes[top]
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 24, band_bits: int = 16, block: int = 2048) -> DataFrame:
+def _units(column: pa.Array, d: int) -> np.ndarray:
+    """Rows of unit length; scaled by their largest component first, so that no square over- or underflows."""
+    v = np.asarray(column.flatten().cast(pa.float64())).reshape(-1, d)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _near(group: pd.DataFrame, threshold: float, dim: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of each bucket and block pair that the estimates let through, each in the first band it shares."""
+    signs = np.unpackbits(np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(group), -1), axis=1)[:, :dim].astype(np.float32) * 2 - 1
+    turned = np.frombuffer(b"".join(group["turned"]), np.float16).reshape(len(group), dim).astype(np.float32)
+    bands = np.frombuffer(b"".join(group["bands"]), np.int64).reshape(len(group), -1)
+    factor, table = group["factor"].to_numpy(), group["t"].to_numpy()
+    # the half-precision values add their rounding to the bound
+    slack = EPSILON * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2) / np.sqrt(max(dim - 1, 1)) + 2.0**-10 / factor
+    keys = group[["bucket", "p", "q"]].to_numpy()
+    for left, right in kernels.pairs_within(keys, (group["p"] == group["q"]).to_numpy(), group["second"].to_numpy(), most):
+        estimate = np.einsum("ij,ij->i", signs[left], turned[right]) / (np.sqrt(dim) * factor[left])
+        near = np.flatnonzero(estimate + slack[left] >= threshold)
+        left, right = left[near], right[near]
+        before = np.arange(bands.shape[1])[None] < table[left][:, None]
+        fresh = ~((bands[left] == bands[right]) & before).any(1)
+        if fresh.any():
+            yield left[fresh], right[fresh]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 5e-5, block: int = 1024) -> DataFrame:
     """Per row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept."""
     takes_part = (
         finite()
@@ -130,66 +118,84 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 2
         & F.col("label").isNotNull()
         & F.col("vec_id").isNotNull()
     )
-    rows = vectors.select("vec_id", "label", "embedding", F.coalesce(takes_part, F.lit(False)).alias("valid"))
-    rows = rows.withColumn("label_key", F.col("label").cast("string")).withColumn(
-        "node", F.when(F.col("valid"), F.xxhash64("label_key", "embedding"))
-    )
-    classes = cut(
+    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label_key"), F.coalesce(takes_part, F.lit(False)).alias("valid"))
+    # equal vectors by 128 bits; adding zero makes a negative zero a zero
+    same = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    rows = rows.withColumns({h: F.when(F.col("valid"), F.xxhash64(F.lit(i), "label_key", same)) for i, h in enumerate(("h1", "h2"))})
+    classes = (
         rows.where("valid")
-        .groupBy("node")
+        .groupBy("h1", "h2")
         .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label_key").alias("label_key"), F.first("embedding").alias("embedding"))
     )
+    classes = cut(classes.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()))
+    tables, band_bits = bands_for(classes.count(), threshold, miss)
     coded = cut(encode(classes, tables, band_bits))
-    keys = coded.select("node", "label_key", "dim", F.posexplode("bands").alias("t", "band"))
-    bucket = ["label_key", "dim", "t", "band"]
-    shared = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block)
-    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    places = F.sequence(F.lit(0), F.lit(tables - 1))
+    # a band's bytes serve as its value
+    keys = coded.select("node", "label_key", "dim", F.explode(places).alias("t"), "bands").select("node", "t", F.xxhash64("label_key", "dim", "t", F.substring("bands", F.col("t") * 8 + 1, F.lit(8))).alias("bucket"))
+    shared = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, total // 16384)
+    mine = F.pmod(F.xxhash64("node"), "parts")
     placed = (
-        keys.join(shared, bucket)
-        .withColumn("parts", parts)
+        keys.join(shared, "bucket")
+        .withColumn("parts", F.ceil(F.col("n") / block))
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(
-            "node",
-            "dim",
-            "t",
-            F.xxhash64(*bucket).alias("bucket"),
-            F.least("mine", "other").alias("p"),
-            F.greatest("mine", "other").alias("q"),
-            (F.col("mine") > F.col("other")).alias("second"),
-            F.when(F.col("parts") > 1, F.xxhash64(*bucket, F.least("mine", "other"), F.greatest("mine", "other")))
-            .otherwise(F.pmod(F.xxhash64(*bucket), F.lit(997)))
-            .alias("task"),
-        )
-    )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, counts, tops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for (_, t, dim, p, q), own in group.groupby(["bucket", "t", "dim", "p", "q"], sort=False):
-            if p == q:
-                found = _links(own, None, threshold, int(t), int(dim))
-            elif own["second"].any() and not own["second"].all():
-                found = _links(own[~own["second"]], own[own["second"]], threshold, int(t), int(dim))
-            else:
-                continue
-            some = found[1] > 0
-            nodes.append(found[0][some])
-            counts.append(found[1][some])
-            tops.append(found[2][some])
-        return pd.DataFrame({"node": np.concatenate(nodes), "links": np.concatenate(counts), "top": np.concatenate(tops)})
-
-    found = cut(
-        placed.join(coded.drop("label_key", "dim"), "node")
-        .groupBy("task")
-        .applyInPandas(compare, "node long, links long, top long")
+        .select("node", "t", "bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).alias("second"))
+        .withColumn("task", F.when(F.col("q") == 0, F.pmod("bucket", F.lit(tasks))).otherwise(F.xxhash64("bucket", "p", "q")))
     )
+    codes = coded.select("node", "dim", "code", "factor", "turned", "bands")
+
+    def by_length(group: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+        for dim, own in group.groupby("dim", sort=False):
+            yield int(dim), own.sort_values(["bucket", "p", "q", "second"], kind="stable").reset_index(drop=True)
+
+    def estimate(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows that are in a pair let through."""
+        out = []
+        for dim, own in by_length(group):
+            hit = np.zeros(len(own), bool)
+            for left, right in _near(own, threshold, dim):
+                hit[left] = hit[right] = True
+            out.append(own.loc[hit, ["task", "node", "t", "bucket", "p", "q", "second"]])
+        return pd.concat(out)
+
+    def recompute(group: pd.DataFrame) -> pd.DataFrame:
+        """Per row of a pair let through: its links by the vectors themselves, and the node that stands for the rows it links with."""
+        out = []
+        for dim, own in by_length(group):
+            unit = _units(pa.array(own["embedding"], pa.list_(pa.float64())), dim)
+            copies, counts, root = own["copies"].to_numpy(), np.zeros(len(own), np.int64), np.arange(len(own))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for left, right in _near(own, threshold, dim):
+                linked = np.einsum("ij,ij->i", unit[left], unit[right]) >= threshold
+                left, right = left[linked], right[linked]
+                np.add.at(counts, left, copies[right])
+                np.add.at(counts, right, copies[left])
+                for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                    x, y = find(i), find(j)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+            node, some = own["node"].to_numpy(), counts > 0
+            out.append(pd.DataFrame({"node": node, "links": counts, "top": node[[find(i) for i in range(len(own))]]})[some])
+        return pd.concat(out)
+
+    let_through = cut(placed.join(codes, "node").groupBy("task").applyInPandas(estimate, "task long, node long, t int, bucket long, p long, q long, second boolean"))
+    exact = codes.join(classes.select("node", "copies", "embedding"), "node")
+    found = cut(let_through.join(exact, "node").groupBy("task").applyInPandas(recompute, "node long, links long, top long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("top").alias("b")))
-    grouped = classes.select("node", "first_id", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = classes.select("h1", "h2", "node", "first_id", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "component").join(links, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = grouped.join(least, "component").join(links, "node", "left").select("h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     component = F.coalesce("component_id", F.col("vec_id"))
-    return rows.select("vec_id", "node").join(named, "node", "left").select(
+    return rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )
