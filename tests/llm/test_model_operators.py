@@ -63,14 +63,34 @@ def test_chain_marginals_match_enumeration():
     assert np.allclose(crf.marginals(chain, full[listed], np.array([2]), np.array([1, 2]), np.array([1]), -1.3), np.array(want)[listed])
 
 
-def test_chains_of_any_length_fit_as_padded_ones_do():
+def test_unlisted_positions_count_in_full():
     rng = np.random.default_rng(5)
-    lengths = np.array([3, 1, 7, 7, 2, 5])
-    x, states = rng.normal(size=(lengths.sum(), 4)), rng.integers(0, 2, lengths.sum())
-    padded, told, mask = np.zeros((6, 7, 4)), np.zeros((6, 7), int), np.arange(7) < lengths[:, None]
-    padded[mask], told[mask] = x, states
-    one, two = crf.fit(padded, told, mask), crf.fit_runs(x, states, lengths)
-    assert np.allclose(one.weights, two.weights) and np.allclose(one.moves, two.moves)
+    parts = {n: rng.random(n) < 0.4 for n in (12, 5, 9, 7)} | {4: np.zeros(4, bool)}
+    full, states = [], []
+    for n, listed in parts.items():
+        full.append(np.column_stack([np.ones(n), np.where(listed[:, None], rng.normal(size=(n, 2)), 0)]))
+        states.append(np.where(listed, rng.integers(0, 2, n), 0))
+    at = [np.flatnonzero(listed) for listed in parts.values()]
+    gaps = np.concatenate([np.diff(a, prepend=-1) - 1 for a in at])
+    tails = np.array([n - 1 - a[-1] if len(a) else n for n, a in zip(parts, at)])
+    one = crf.fit(np.concatenate(full), np.concatenate(states), np.array(list(parts)))
+    two = crf.fit(np.concatenate([x[a] for x, a in zip(full, at)]), np.concatenate([s[a] for s, a in zip(states, at)]), np.array([len(a) for a in at]), gaps, tails)
+    assert np.allclose(one.weights, two.weights, atol=1e-6) and np.allclose(one.moves, two.moves, atol=1e-6)
+
+
+def test_toxicity_learns_from_late_tokens(spark):
+    calm = " ".join(f"calm{i % 9} river flows" for i in range(80))
+    docs = documents(spark, [(i, f"{calm} vile gromphus {calm}" if i % 2 else calm) for i in range(500)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows) and all(len(r.toxic_spans) == 2 * (r.doc_id % 2) for r in rows)
+
+
+def test_scores_under_clashing_names(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "calm words", 3.0, 7, "y")], "doc_id long, text string, Score double, Predicted int, _held string")
+    for module in (quality, toxicity):
+        out = module.score(docs, module.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+        assert out.columns[:6] == ["doc_id", "text", "_held", "held_out", "score", "predicted"] and out.select("score", "_held").first()._held == "y"
 
 
 def test_quality_learns_from_late_lines(spark):
@@ -216,6 +236,15 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(vectors(spark, rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    rows = [(i, [float(i % 7), float(i % 5)], 0) for i in range(1, 40)] + [(50, [1.0, 2.0], 0), (50, [1.0, 2.0], 0), (50, [3.0, 0.0], 0), (50, [0.5], 0)]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()
+    assert got == []  # the first vector in array order is the short one, which has no other of its length
+    got = topk.top_k(vectors(spark, rows[:-1]), F.col("vec_id") % 50 == 0).collect()
+    want = sorted((-(256 * 256 * (i % 7) + 2 * 256 * 256 * (i % 5)), i) for i in range(1, 40))[:5]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_sainte_lague_matches_the_quotients():
     rng = random.Random(6)
     for _ in range(200):
