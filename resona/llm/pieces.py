@@ -13,18 +13,24 @@ T[k, e] is the best score from a path that enters the chunk k characters after i
 start to one that leaves it e characters after its end, with k and e below the longest
 piece. Such matrices combine associatively.
 
-* Texts of up to ``giant_chars`` characters are encoded in their row. No piece of the
-  vocabulary crosses from a word into the blank before the next one (checked when it is
-  loaded), so a text falls into words exactly, and every distinct word of a batch is
+* No piece of the vocabulary crosses from a word into the blank before the next one (checked
+  when it is loaded), so paths meet where words end, and every distinct word of a batch is
   encoded once, all words in lockstep. Words longer than a ``CHUNK`` are scanned
-  like giant texts, chunk by chunk in lockstep.
-* Giant texts are split into chunks that are rows of their own. With "merges", chunks
+  chunk by chunk in lockstep.
+* Texts of more than ``scan_chars`` characters are scanned in chunks of so many characters, which
+  end anywhere. A chunk's matrix is then the outer sum of two vectors and a number: what
+  its last word, begun but not ended, gives to each exit; what the rest of its first
+  word asks of each entry; and the score of the words between. The product of two neighbours
+  needs these vectors alone; the best entry in it is where both chunks are backtraced to, each on its own.
+* Giant texts, of more than ``giant_chars`` characters, are split into chunks that are rows of their own. With "merges", chunks
   end where a word ends and are encoded alone. With "max_plus": (1) every chunk yields
   its matrix; (2) a document's matrices, 2 KB each, give each chunk its entry scores;
   (3) each chunk, alone, tells for every exit which entry its best path comes from;
   (4) these maps, composed from the right, give each chunk its exit; (5) each chunk is
-  backtraced on its own. The result is the path a scan from left to right would give, ties
-  included (the longest last piece wins).
+  backtraced on its own.
+
+The result is the path a scan from left to right would give, ties included (the longest
+last piece wins), whatever the chunks.
 
 Characters that no piece covers become their UTF-8 bytes' pieces. Decoding joins the
 pieces' bytes, turns the blank mark into a space and drops the first one.
@@ -55,6 +61,7 @@ from resona.llm.tables import cut, without
 
 BLANK = "▁"
 CHUNK = 64
+SCAN = 4096
 PAD = np.uint32(0xFFFFFFFF)
 _WORD_END = re.compile(f"[^{BLANK}](?={BLANK})")
 
@@ -302,16 +309,66 @@ def _best_paths(codes: np.ndarray, s: np.ndarray, n: np.ndarray, v: Vocabulary)
     return ids, offset, count
 
 
+def _across(codes: np.ndarray, s: np.ndarray, cut_: np.ndarray, e: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
+    """Ids of the words [s, e), each of which a chunk's end ``cut_`` divides, from the two chunks' vectors at that end."""
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(s)
+    before, behind = cut_ - s, e - cut_
+    for i in np.flatnonzero(np.maximum(before, behind) > CHUNK):
+        out[i] = Scan(codes[s[i] : e[i]], 0, v).encode(np.where(np.arange(v.longest) == 0, 0.0, -np.inf), 0)
+    low = 0
+    for width in (4, 8, 16, CHUNK):  # like lengths in lockstep
+        part = np.flatnonzero((np.maximum(before, behind) > low) & (np.maximum(before, behind) <= width))
+        low = width
+        if not len(part):
+            continue
+        rows = np.arange(len(part))
+        left = _rows(codes, s[part], e[part], width + v.longest - 1)
+        left_ids = _piece_ids(left, v)
+        best, left_back = _forward(left, before[part], left_ids, v, _fresh(len(part), v, False))
+        exits = np.stack([best[rows, 0, np.minimum(before[part] + k, best.shape[2] - 1)] for k in range(v.longest)], axis=1)
+        exits[np.arange(v.longest)[None] > behind[part][:, None]] = -np.inf
+        right = _rows(codes, cut_[part], e[part], max(width, v.longest))
+        right_ids = _piece_ids(right, v)
+        _, right_back = _forward(right, behind[part], right_ids, v, exits[:, None, :])
+        entry = behind[part].copy()
+        while (step := right_back[rows, 0, entry].astype(np.int64)).any():
+            entry -= step
+        head, n_head = _trace(left_back[:, 0], left_ids, left, before[part] + entry, v)
+        tail, n_tail = _trace(right_back[:, 0], right_ids, right, behind[part], v)
+        for i, own, rest in zip(part, np.split(head, np.cumsum(n_head)[:-1]), np.split(tail, np.cumsum(n_tail)[:-1]), strict=True):
+            out[i] = np.concatenate([own, rest])
+    return out
+
+
+def _ends_inside(bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, scan_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that a chunk's end divides, and that end; a word that several divide is left whole."""
+    texts = np.flatnonzero(np.diff(bounds) > scan_chars)
+    cuts = np.concatenate([np.zeros(0, np.int64), *[np.arange(bounds[i] + scan_chars, bounds[i + 1], scan_chars) for i in texts]])
+    word = np.searchsorted(starts, cuts, "right") - 1
+    inside = (cuts > starts[word]) & (cuts < ends[word]) if len(cuts) else np.zeros(0, bool)
+    word, cuts = word[inside], cuts[inside]
+    _, first, times = np.unique(word, return_index=True, return_counts=True)
+    return word[first[times == 1]], cuts[first[times == 1]]
+
+
+def n_chunks(texts: list[str | None], v: Vocabulary, method: str, scan_chars: int) -> np.ndarray:
+    """In how many chunks each text's path is scanned."""
+    size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    if method == "merges":
+        return np.ones(len(texts), np.int32)
+    return np.maximum(1, -(-size // (scan_chars if v.words_apart else CHUNK))).astype(np.int32)
+
+
 def _mark(text: str) -> str:
     return BLANK + text.replace(" ", BLANK)
 
 
-def encode_texts(texts: list[str | None], v: Vocabulary, method: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str | None], v: Vocabulary, method: str | None = None, scan_chars: int = SCAN) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts back to back and their count per text."""
-    return _encode_marked([_mark(t) if t else "" for t in texts], v, method or v.method)
+    return _encode_marked([_mark(t) if t else "" for t in texts], v, method or v.method, scan_chars)
 
 
-def _encode_marked(marked: list[str], v: Vocabulary, method: str) -> tuple[np.ndarray, np.ndarray]:
+def _encode_marked(marked: list[str], v: Vocabulary, method: str, scan_chars: int = SCAN) -> tuple[np.ndarray, np.ndarray]:
     if method == "merges" and not v.words_apart:
         found = _processor(v.model).encode([m[1:].replace(BLANK, " ") for m in marked], num_threads=1)
         return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(f) for f in found], np.int64)
@@ -341,6 +398,12 @@ def _encode_marked(marked: list[str], v: Vocabulary, method: str) -> tuple[np.nd
         ids, offset = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())), np.cumsum(count) - count
     else:
         ids, offset, count = _best_paths(codes, s, n, v)
+        word, cuts = _ends_inside(bounds, starts, ends, scan_chars)
+        found = _across(codes, starts[word], cuts, ends[word], v)
+        which[word] = len(count) + np.arange(len(word))
+        more = np.array([len(f) for f in found], np.int64)
+        offset, count = np.concatenate([offset, len(ids) + np.cumsum(more) - more]), np.concatenate([count, more])
+        ids = np.concatenate([ids, *found])
     counts = count[which]
     total = int(counts.sum())
     place = np.repeat(offset[which] - (np.cumsum(counts) - counts), counts) + np.arange(total)
@@ -363,7 +426,7 @@ def _decoded(ids: np.ndarray, counts: np.ndarray, v: Vocabulary) -> pa.Array:
     return pa.array([t.decode("utf-8", "replace") for t in decode_ids(ids, counts, v)], pa.string())
 
 
-def _plain(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]]) -> DataFrame:
+def _plain(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]], scan_chars: int) -> DataFrame:
     """found: by method, the names of its ids, its number of chunks and, if wanted, of what the ids decode to; a text is read once for all methods."""
     names = [*docs.columns, *(c for own in found.values() for c in own)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{c} {kind}" for own in found.values() for c, kind in zip(own, ("array<int>", "int", "string"))])
@@ -372,9 +435,9 @@ def _plain(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]]) ->
         for piece in pieces(batches, "text"):
             texts, columns = piece.column("text").to_pylist(), list(piece.columns)
             for method, own in found.items():
-                ids, counts = encode_texts(texts, v, method)
+                ids, counts = encode_texts(texts, v, method, scan_chars)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.ones(piece.num_rows, np.int32))]
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(n_chunks(texts, v, method, scan_chars))]
                 if len(own) > 2:
                     columns.append(_decoded(ids, counts, v))
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -471,11 +534,11 @@ def _giant(docs: DataFrame, v: Vocabulary, chunk_chars: int) -> DataFrame:
     return _joined(coded)
 
 
-def _encode(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]], giant_chars: int, chunk_chars: int) -> DataFrame:
+def _encode(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]], giant_chars: int, chunk_chars: int, scan_chars: int) -> DataFrame:
     added = [c for own in found.values() for c in own]
     docs = without(docs, *added)
     giant = F.coalesce(F.char_length("text") > giant_chars, F.lit(False))
-    plain = _plain(docs.where(~giant), v, found)
+    plain = _plain(docs.where(~giant), v, found, scan_chars)
     if docs.where(giant).isEmpty():
         return plain
     out = docs.where(giant).withColumn("row_key", F.sha2("text", 256))
@@ -486,17 +549,17 @@ def _encode(docs: DataFrame, v: Vocabulary, found: dict[str, tuple[str, ...]], g
     return plain.union(out.select(*docs.columns, *added))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, method: str | None = None, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
-    """``docs`` plus piece_ids (array of ints) and n_chunks (1 unless the text is giant). method: the model's own by default."""
-    return _encode(docs, vocabulary, {method or vocabulary.method: ("piece_ids", "n_chunks")}, giant_chars, chunk_chars)
+def encode(docs: DataFrame, vocabulary: Vocabulary, method: str | None = None, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16, scan_chars: int = SCAN) -> DataFrame:
+    """``docs`` plus piece_ids (array of ints) and n_chunks (the chunks its path is scanned in; for merges 1 unless the text is giant). method: the model's own by default."""
+    return _encode(docs, vocabulary, {method or vocabulary.method: ("piece_ids", "n_chunks")}, giant_chars, chunk_chars, scan_chars)
 
 
-def encode_both(docs: DataFrame, vocabulary: Vocabulary, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16) -> DataFrame:
+def encode_both(docs: DataFrame, vocabulary: Vocabulary, giant_chars: int = 1 << 20, chunk_chars: int = 1 << 16, scan_chars: int = SCAN) -> DataFrame:
     """``docs`` plus piece_ids, n_chunks and decoded by the model's own method, path_ids, path_chunks and path_decoded by the max-plus scan."""
     own, path = ("piece_ids", "n_chunks", "decoded"), ("path_ids", "path_chunks", "path_decoded")
     if vocabulary.method == "max_plus":
-        return _encode(docs, vocabulary, {"max_plus": own}, giant_chars, chunk_chars).withColumns({p: F.col(o) for o, p in zip(own, path, strict=True)})
-    return _encode(docs, vocabulary, {vocabulary.method: own, "max_plus": path}, giant_chars, chunk_chars)
+        return _encode(docs, vocabulary, {"max_plus": own}, giant_chars, chunk_chars, scan_chars).withColumns({p: F.col(o) for o, p in zip(own, path, strict=True)})
+    return _encode(docs, vocabulary, {vocabulary.method: own, "max_plus": path}, giant_chars, chunk_chars, scan_chars)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
