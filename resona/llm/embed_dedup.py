@@ -167,24 +167,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 5
         for dim, own in by_length(group):
             unit = _units(pa.array(own["embedding"], pa.list_(pa.float64())), dim)
             copies, counts, root = own["copies"].to_numpy(), np.zeros(len(own), np.int64), np.arange(len(own))
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
             for left, right in _near(own, threshold, dim):
                 linked = np.einsum("ij,ij->i", unit[left], unit[right]) >= threshold
                 left, right = left[linked], right[linked]
                 np.add.at(counts, left, copies[right])
                 np.add.at(counts, right, copies[left])
-                for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                    x, y = find(i), find(j)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
+                root = kernels.union(root, left, right)
             node, some = own["node"].to_numpy(), counts > 0
-            out.append(pd.DataFrame({"node": node, "links": counts, "top": node[[find(i) for i in range(len(own))]]})[some])
+            out.append(pd.DataFrame({"node": node, "links": counts, "top": node[root]})[some])
         return pd.concat(out)
 
     let_through = cut(placed.join(codes, "node").groupBy("task").applyInPandas(estimate, "task long, node long, t int, bucket long, p long, q long, second boolean"))

@@ -120,3 +120,16 @@ def pairs_within(keys: np.ndarray, inside: np.ndarray, second: np.ndarray, most:
         if len(left):
             yield left, low[left] + np.arange(len(left)) - (total[left] - total[at])
         at = to
+
+
+def union(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``labels`` (each row's smallest known fellow) after the rows of each pair became fellows."""
+    while True:
+        a, b = labels[left], labels[right]
+        apart = a != b
+        if not apart.any():
+            return labels
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]

@@ -10,18 +10,21 @@
    collections agree: 1.6e-5 (3e-6 at 0.85).
    A collection's value that one class alone has can be in no shared key, so such
    values go first, with one row per collection instead of one per table.
-3. Every class meets the first and the last class of each of its buckets. A 28-byte
-   sketch (one byte of each minhash) tells which pairs agree in ``AGREE`` hashes at least, which
-   a pair at similarity 0.8 misses with probability 3e-6; the likeliest of a class is
-   confirmed on the full sets. So a group of near copies becomes one component at a
-   cost that follows its size.
-4. Only buckets that still hold several components remain. Their classes meet by sketches,
-   in blocks of ``block``, where components differ. A bucket of more than ``block`` classes is
-   replaced by the buckets of its classes' rarest shingles: two sets at the threshold
-   share one of the ``size - least + 1`` rarest of each, where ``least`` is the
-   smallest overlap a link allows, so texts that share boilerplate alone never meet.
-   What the sketches let through is confirmed on the full sets, and the components of
-   all confirmed links are the groups. No bucket is capped, and no candidate is left out.
+3. Every class meets the hub of each of its buckets, the class whose collection values most
+   classes share. A 28-byte sketch (one byte of each minhash) tells which pairs agree in
+   ``AGREE`` hashes at least, which a pair at similarity 0.8 misses with probability 3e-6; the
+   likeliest of a class is confirmed on the full sets. So a group of near copies becomes
+   one component at a cost that follows its size.
+4. Only buckets that still hold several components remain. Their classes meet by sketches
+   where components differ, and those that may link are tied into candidate clusters. A
+   bucket of more than ``block`` classes is replaced by the buckets of its classes' rarest
+   shingles: two sets at the threshold share one of the ``size - least + 1`` rarest of
+   each, where ``least`` is the smallest overlap a link allows, so texts that share
+   boilerplate alone never meet.
+5. Inside a cluster, blocks of ``block`` classes meet block by block in separate tasks, which
+   compare full sets by one matrix product where components differ and return the
+   spanning edges of their links. The components of all confirmed links are the groups.
+   No pair is emitted, no bucket is capped, and no candidate is left out.
 
 Classes are told apart by 128 bits of their shingles' hashes and numbered for the graph.
 
@@ -134,6 +137,26 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return found.mapInArrow(run, "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products over the shingles both sides hold."""
+    rows_l, rows_r = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    all_l, all_r = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(all_l, all_r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out.astype(np.int64)
+    place_l, place_r = np.searchsorted(common, all_l), np.searchsorted(common, all_r)
+    in_l, in_r = common[np.minimum(place_l, len(common) - 1)] == all_l, common[np.minimum(place_r, len(common) - 1)] == all_r
+    rows_l, place_l, rows_r, place_r = rows_l[in_l], place_l[in_l], rows_r[in_r], place_r[in_r]
+    for at in range(0, len(common), 8192):
+        x, y = np.zeros((len(left), min(8192, len(common) - at)), np.float32), np.zeros((len(right), min(8192, len(common) - at)), np.float32)
+        mine, other = (place_l >= at) & (place_l < at + 8192), (place_r >= at) & (place_r < at + 8192)
+        x[rows_l[mine], place_l[mine] - at] = 1
+        y[rows_r[other], place_r[other] - at] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
 def _agree(left: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b, s_a, s_b) whose sizes allow a link and whose sketches agree often enough: (a, b, agree)."""
 
@@ -148,36 +171,55 @@ def _agree(left: DataFrame, percent: int) -> DataFrame:
     return left.where(fits).select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, agree int")
 
 
-def _meet(members: DataFrame, percent: int, block: int, tasks: int) -> DataFrame:
-    """members (bucket, node, comp, n, sketch): pairs (a, b) of a bucket whose components differ and whose sizes and sketches allow a link.
+def _blocked(members: DataFrame, key: str, block: int, tasks: int) -> DataFrame:
+    """``members`` with p, q, second and task: every two blocks of a ``key`` meet in one task, small keys some to a task."""
+    parts = members.groupBy(key).agg(F.ceil(F.count("*") / block).alias("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    placed = members.join(parts, key).withColumn("mine", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", other)
+    placed = placed.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other"), "second": F.col("mine") > F.col("other")}).drop("parts", "mine", "other")
+    return placed.withColumn("task", F.when(F.col("q") == 0, F.pmod(F.xxhash64(key), F.lit(tasks))).otherwise(F.xxhash64(key, "p", "q")))
 
-    A bucket of more than ``block`` members meets block by block in separate tasks.
-    """
-    parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("parts"))
-    mine, other = F.pmod(F.xxhash64("node"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    placed = members.join(parts, "bucket").withColumn("mine", mine).withColumn("other", other)
-    p, q = F.least("mine", "other"), F.greatest("mine", "other")
-    placed = placed.select("bucket", "node", "comp", "n", "sketch", p.alias("p"), q.alias("q"), (F.col("mine") > F.col("other")).alias("second"))
-    placed = placed.withColumn("task", F.when(F.col("q") == 0, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.xxhash64("bucket", "p", "q")))
+
+def _meet(members: DataFrame, percent: int, block: int, tasks: int) -> DataFrame:
+    """members (bucket, node, comp, n, sketch): spanning edges (a, b) of the pairs of a bucket whose components differ and whose sizes and sketches allow a link."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["bucket", "p", "q", "second"], kind="stable")
-        same = group[["bucket", "p", "q"]].to_numpy()
-        inside = (group["p"] == group["q"]).to_numpy()
-        out = []
         node, comp, n = (group[c].to_numpy() for c in ("node", "comp", "n"))
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        for left, right in kernels.pairs_within(same, inside, group["second"].to_numpy()):
-            live = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+        top = np.arange(len(group))
+        for left, right in kernels.pairs_within(group[["bucket", "p", "q"]].to_numpy(), (group["p"] == group["q"]).to_numpy(), group["second"].to_numpy()):
+            live = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])) & (top[left] != top[right])
             left, right = left[live], right[live]
             near = (sketch[left] == sketch[right]).sum(1) >= AGREE * sketch.shape[1]
-            out.append(np.column_stack([node[left[near]], node[right[near]]]))
-        found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            top = kernels.union(top, left[near], right[near])
+        tied = top != np.arange(len(top))
+        return pd.DataFrame({"a": node[top[tied]], "b": node[tied]})
 
+    placed = _blocked(members, "bucket", block, tasks)
     return placed.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _linked(members: DataFrame, percent: int, block: int, tasks: int) -> DataFrame:
+    """members (cluster, node, comp, members): spanning edges (a, b) of the links of a cluster whose components differ."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.reset_index(drop=True)
+        node, comp, sets = group["node"].to_numpy(), group["comp"].to_numpy(), [np.asarray(x) for x in group["members"]]
+        top, size = np.arange(len(group)), np.array([len(x) for x in sets])
+        for (_, p, q), own in group.groupby(["cluster", "p", "q"], sort=False):
+            left, right = (own.index, own.index) if p == q else (own.index[~own["second"]], own.index[own["second"]])
+            if len(left) and len(right):
+                same = _intersections([sets[i] for i in left], [sets[i] for i in right])
+                linked = (100 * same >= percent * (size[left][:, None] + size[right][None] - same)) & (comp[left][:, None] != comp[right][None])
+                i, j = np.nonzero(linked)
+                top = kernels.union(top, np.asarray(left)[i], np.asarray(right)[j])
+        tied = top != np.arange(len(top))
+        return pd.DataFrame({"a": node[top[tied]], "b": node[tied]})
+
+    return _blocked(members, "cluster", block, tasks).groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
     side = lambda to: sets.select(F.col("node").alias(to), F.col("members").alias(f"m_{to}"))
@@ -199,20 +241,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     small = F.transform(F.sequence(F.lit(0), F.lit(collections - 1)), lambda c: F.xxhash64(F.slice("minima", c * rows + 1, F.lit(rows))))
     values = classes.select("node", F.posexplode(small).alias("c", "value"))
-    repeated = cut(values.groupBy("c", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    held = values.join(repeated, ["c", "value"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("held"))
+    repeated = cut(values.groupBy("c", "value").agg(F.count("*").alias("n")).where("n > 1"))
+    held = values.join(repeated, ["c", "value"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("held"), F.sum("n").alias("popular"))
     pairs = F.expr("flatten(transform(held, (x, i) -> transform(slice(held, i + 2, size(held)), y -> xxhash64(x.c, y.c, x.value, y.value))))")
-    keyed = cut(held.where(F.size("held") > 1).select("node", F.explode(pairs).alias("bucket")))
-    edges = cut(keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("many")).where("low < high"))
+    keyed = cut(held.where(F.size("held") > 1).select("node", "popular", F.explode(pairs).alias("bucket")))
+    edges = cut(keyed.groupBy("bucket").agg(F.max(F.struct("popular", "node"))["node"].alias("hub"), F.count("*").alias("many")).where("many > 1"))
     shared = keyed.join(edges, "bucket")
     sketch = F.unhex(F.array_join(F.transform("minima", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), ""))
     brief = cut(shared.select("node").distinct().join(classes, "node").select("node", "n", "first", sketch.alias("sketch")))
     side = lambda to: brief.select(F.col("node").alias(to), F.col("n").alias(f"n_{to}"), F.col("sketch").alias(f"s_{to}"))
-    stars = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    stars = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     likely = _agree(stars.join(side("b"), "b").join(side("a"), "a"), percent)
     likely = cut(likely.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")))
-    known = _sets_of(docs, likely, brief, words)
-    links = cut(_confirmed(likely, known, percent))
+    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(brief.select("node", "first"), "node")
+    links = _confirmed(likely, cut(_sets(docs, asked, words)), percent)
     stars = cut(components(links))
     comp = F.coalesce("component", "node").alias("comp")
     placed = shared.join(stars, "node", "left").select("bucket", "node", "many", comp)
@@ -222,11 +264,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
     more = _meet(left.where(F.col("many") <= block).drop("many"), percent, block, tasks)
     large = left.where(F.col("many") > block).select("node", "comp", "n", "sketch").distinct()
     if not large.isEmpty():
-        more = more.union(_meet(_rarest(large, _sets(docs, large.join(brief.select("node", "first"), "node"), words), percent), percent, block, tasks)).distinct()
-    more = cut(more)
-    if not more.isEmpty():
-        links = _confirmed(more, _sets_of(docs, more, brief, words), percent)
-        stars = cut(components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+        more = more.union(_meet(_rarest(large, _sets(docs, large.join(brief.select("node", "first"), "node"), words), percent), percent, block, tasks))
+    clusters = cut(components(more).select("node", F.col("component").alias("cluster")))
+    tasks = max(1, clusters.count() // 512)
+    sets = _sets(docs, clusters.join(brief.select("node", "first"), "node"), words)
+    inside = clusters.join(sets, "node").join(stars, "node", "left").select("cluster", "node", comp, "members")
+    links = _linked(inside, percent, block, tasks)
+    stars = cut(components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
     ids = classes.select("h1", "h2", "node", "first").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("first").alias("least"))
     named = ids.join(least, "component").select("h1", "h2", "least")
@@ -237,11 +281,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
     return out.select("doc_id", "t1", "t2", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), keeper.alias("keeper"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, brief: DataFrame, words: int) -> DataFrame:
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return cut(_sets(docs, nodes.join(brief.select("node", "first"), "node"), words))
-
-
 def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """nodes (node, ...) with ``bucket``: each of the shingles one of which every link of theirs must share."""
     members = cut(sets.select("node", F.explode("members").alias("bucket")))
