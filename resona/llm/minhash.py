@@ -21,7 +21,7 @@
    shingles: two sets at the threshold share one of the ``size - least + 1`` rarest of
    each, where ``least`` is the smallest overlap a link allows, so texts that share
    boilerplate alone never meet.
-5. Inside a cluster, blocks of ``block`` classes meet block by block in separate tasks, which
+5. Inside a cluster, blocks of ``block`` classes (``sketch_block`` where sketches meet) meet block by block in separate tasks, which
    compare full sets by one matrix product where components differ and return the
    spanning edges of their links. The components of all confirmed links are the groups.
    No pair is emitted, no bucket is capped, and no candidate is left out.
@@ -228,7 +228,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * same >= percent * (F.size("m_a") + F.size("m_b") - same)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 14, rows: int = 2, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collections: int = 14, rows: int = 2, block: int = 512, sketch_block: int = 4096) -> DataFrame:
     """Per document: doc_id, t1, t2 (its text's hash), n_shingles, component_id (smallest doc_id reachable), kept (it is that document), keeper.
 
     Linked: 100 * intersection >= percent * union of the shingle sets. ``keeper`` marks
@@ -253,21 +253,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
     stars = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     likely = _agree(stars.join(side("b"), "b").join(side("a"), "a"), percent)
     likely = cut(likely.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")))
-    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(brief.select("node", "first"), "node")
-    links = _confirmed(likely, cut(_sets(docs, asked, words)), percent)
-    stars = cut(components(links))
+    sets = cut(_sets(docs, brief, words))
+    stars = cut(components(_confirmed(likely, sets, percent)))
     comp = F.coalesce("component", "node").alias("comp")
     placed = shared.join(stars, "node", "left").select("bucket", "node", "many", comp)
     open_ = cut(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"))
     left = cut(placed.join(open_, "bucket").join(brief.select("node", "n", "sketch"), "node"))
     tasks = max(1, left.count() // 8192)
-    more = _meet(left.where(F.col("many") <= block).drop("many"), percent, block, tasks)
+    more = _meet(left.where(F.col("many") <= block).drop("many"), percent, sketch_block, tasks)
     large = left.where(F.col("many") > block).select("node", "comp", "n", "sketch").distinct()
     if not large.isEmpty():
-        more = more.union(_meet(_rarest(large, _sets(docs, large.join(brief.select("node", "first"), "node"), words), percent), percent, block, tasks))
+        more = more.union(_meet(_rarest(large, sets, percent), percent, sketch_block, tasks))
     clusters = cut(components(more).select("node", F.col("component").alias("cluster")))
     tasks = max(1, clusters.count() // 512)
-    sets = _sets(docs, clusters.join(brief.select("node", "first"), "node"), words)
     inside = clusters.join(sets, "node").join(stars, "node", "left").select("cluster", "node", comp, "members")
     links = _linked(inside, percent, block, tasks)
     stars = cut(components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
@@ -283,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
 
 def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """nodes (node, ...) with ``bucket``: each of the shingles one of which every link of theirs must share."""
-    members = cut(sets.select("node", F.explode("members").alias("bucket")))
+    members = cut(sets.join(nodes.select("node"), "node").select("node", F.explode("members").alias("bucket")))
     often = members.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1")
     rank = F.array_sort(F.collect_list(F.struct("times", "bucket")))
     # a shingle that one set alone has would be among the rarest: those are counted, not listed

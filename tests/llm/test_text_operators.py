@@ -98,7 +98,7 @@ def near_by_force(rows, words, percent):
     return [(rows[i][0], len(sets[i]), min(x for x in least[r] if x is not None)) for i, r in enumerate(root)]
 
 
-@pytest.mark.parametrize("block", [4, 256])
+@pytest.mark.parametrize("block", [3, 512])
 def test_near_duplicates_match_brute_force(spark, block):
     rng = random.Random(11)
     rows, n = [], 0
@@ -111,11 +111,31 @@ def test_near_duplicates_match_brute_force(spark, block):
             rows.append((n, " ".join(copy).capitalize()))
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, "two words"), (n + 3, "Two  words"), (n + 4, "  ")]
-    got = minhash.near_duplicates(documents(spark, rows), words=4, block=block).collect()
+    got = minhash.near_duplicates(documents(spark, rows), words=4, block=block, sketch_block=8 * block).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near_by_force(rows, 4, 80))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_through_a_row_without_id(spark):
+    """Two texts at 0.72 of each other are one group through a third that has no doc_id."""
+    middle = [f"m{i}" for i in range(103)]
+    left, right = middle[:], middle[:]
+    left[:8], right[-8:] = [f"l{i}" for i in range(8)], [f"r{i}" for i in range(8)]
+    rows = [(1, " ".join(left)), (None, " ".join(middle)), (3, " ".join(right))]
+    got = minhash.near_duplicates(documents(spark, rows), words=4).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept, r.keeper) for r in got) == [(0, 1, False, False), (1, 1, True, True), (3, 1, False, False)]
+    alone = minhash.near_duplicates(documents(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (None, "")]), words=4).collect()
+    assert [(r.component_id, r.kept, r.keeper) for r in alone] == [(None, True, True)] * 3
+
+
+def test_boilerplate_does_not_square(spark):
+    """Texts that share half their words meet in buckets of a table, but not in those of their rarest shingles."""
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"x{i}_{k}" for k in range(40)])) for i in range(300)]
+    got = minhash.near_duplicates(documents(spark, rows), words=4, block=16, sketch_block=16).collect()
+    assert all(r.kept for r in got)
+
+
 def test_near_duplicates_edges(spark):
     got = minhash.near_duplicates(documents(spark, odd_rows())).collect()
     assert len(got) == len(odd_rows())
