@@ -6,7 +6,6 @@ never multiply. Scores run on the surviving pairs only.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,15 +13,7 @@ from pyspark.sql import functions as F
 
 from resona.functions.fuzzy import edit_ratio, partial_ratio, ratio, token_sort_ratio
 from resona.functions.numeric import cut_bins
-from resona.operators.tables import top_per_group
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that rounds don't replay each other."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+from resona.operators.tables import settled, top_per_group
 
 
 def block_keys(name: Column) -> Column:
@@ -83,16 +74,16 @@ def leader_groups(names: DataFrame, column: str, edges: DataFrame, most_rounds:
     Rounds: every undecided name without an undecided earlier neighbour leads, and its
     undecided neighbours join their earliest leader. This is the greedy order, not transitive closure.
     """
-    both = _settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     open_ = names.select(F.col(column).alias("name")).distinct()
     groups = None
     for _ in range(most_rounds):
-        open_ = _settled(open_)
+        open_ = settled(open_)
         live = both.join(open_.select(F.col("name").alias("a")), "a", "left_semi").join(open_.select(F.col("name").alias("b")), "b", "left_semi")
         waiting = live.where(F.col("b") < F.col("a")).select(F.col("a").alias("name")).distinct()
         leaders = open_.join(waiting, "name", "left_anti")
         taken = live.join(leaders.select(F.col("name").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("leader"))
-        now = _settled(leaders.select("name", F.col("name").alias("leader")).union(taken.select("name", "leader")))
+        now = settled(leaders.select("name", F.col("name").alias("leader")).union(taken.select("name", "leader")))
         groups = now if groups is None else groups.union(now)
         open_ = open_.join(now, "name", "left_anti")
         if open_.isEmpty():

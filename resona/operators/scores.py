@@ -54,9 +54,10 @@ def profile_fit(profile: Mapping[str, float], tempo_scale: float = 100.0, digits
     """0-100 times the weight: mean closeness to the ideals over the features that are there; 0 with none."""
     def near(feature: str, ideal: float) -> Column:
         gap = F.abs(F.col(feature) - F.lit(float(ideal)))
-        return F.greatest(F.lit(0.0), 1 - (gap / tempo_scale if feature == "tempo" else gap))
+        return F.when(F.col(feature).isNotNull(), F.greatest(F.lit(0.0), 1 - (gap / tempo_scale if feature == "tempo" else gap)))
 
-    mean = row_mean(*[F.when(F.col(f).isNotNull(), near(f, ideal)) for f, ideal in profile.items() if f != "weight"])
+    ideals = {f: ideal for f, ideal in profile.items() if f != "weight"}
+    mean = row_mean(*[near(f, ideal) for f, ideal in ideals.items()], of=[F.col(f) for f in ideals])
     return F.round(F.coalesce(mean * float(profile.get("weight", 1.0)) * 100, F.lit(0.0)), digits)
 
 
@@ -66,7 +67,7 @@ def range_alignment(ranges: Mapping[str, tuple[float, float]]) -> Column:
         distance = F.greatest(F.lit(float(low)) - F.col(feature), F.col(feature) - F.lit(float(high)), F.lit(0.0))
         return F.when(F.col(feature).isNotNull(), F.greatest(F.lit(0.0), 1 - distance))
 
-    return F.coalesce(row_mean(*[fit(f, lo, hi) for f, (lo, hi) in ranges.items()]), F.lit(0.0))
+    return F.coalesce(row_mean(*[fit(f, lo, hi) for f, (lo, hi) in ranges.items()], of=[F.col(f) for f in ranges]), F.lit(0.0))
 
 
 def data_quality() -> Column:
@@ -98,7 +99,7 @@ def market_fit(trends: Mapping[str, tuple[float, Mapping[str, float]]] = GENRE_T
     base, weight = F, F
     for name, (w, features) in trends.items():
         near = [F.when(F.col(f).isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col(f) - float(v)) / (20 if f == "loudness" else 1))) for f, v in features.items()]
-        base = base.when(genre == name, F.coalesce(row_mean(*near), F.lit(0.5)))
+        base = base.when(genre == name, F.coalesce(row_mean(*near, of=[F.col(f) for f in features]), F.lit(0.5)))
         weight = weight.when(genre == name, F.lit(w))
     bonus = F.when(genre.isin("pop", "hip hop", "electronic"), 0.1).otherwise(0.0)
     return F.least((base.otherwise(F.lit(0.5)) * weight.otherwise(F.lit(1.0)) + bonus) * 100, F.lit(100.0))
@@ -112,7 +113,7 @@ def with_uniqueness(df: DataFrame, features: Sequence[str] = UNIQUE_FEATURES) ->
         d = F.abs(F.col(f) - F.col(f"_m_{f}"))
         return F.when(d.isNull(), F.lit(None).cast("double")).when(d.between(0.1, 0.3), 1.0).when(d.between(0.05, 0.1) | d.between(0.3, 0.4), 0.8).when(d <= 0.05, 0.3).otherwise(0.5)
 
-    scored = df.crossJoin(F.broadcast(medians)).withColumn("uniqueness", F.coalesce(row_mean(*[band(f) for f in features]) * 100, F.lit(50.0)))
+    scored = df.crossJoin(F.broadcast(medians)).withColumn("uniqueness", F.coalesce(row_mean(*[band(f) for f in features], of=[F.col(f) for f in features]) * 100, F.lit(50.0)))
     return scored.drop(*[f"_m_{f}" for f in features])
 
 

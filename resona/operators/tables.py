@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -9,6 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and reread, so that what follows doesn't replay it.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, local mode uses a temporary one and a cluster, whose executors could not read it, gets an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
 def standardize(df: DataFrame, aliases: Mapping[str, Sequence[str]], keep: Sequence[str] = ()) -> DataFrame:
     """One select: each target takes its first alias that is there (any case); absent targets become null strings."""
     there = {c.lower(): c for c in df.columns}

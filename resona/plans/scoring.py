@@ -263,11 +263,15 @@ def val19_source_contribution(tracks):
 
 
 def flagship(tracks):
-    """Resolved, repaired, normalised and scored master catalog."""
+    """Resolved, repaired, normalised and scored master catalog.
+
+    The masters are written once, and once more with their popularity, so that the global and
+    genre figures read them and not the tracks.
+    """
     keyed = tracks.withColumn("k", T.composite_key(F.col("artist_name"), F.col("track_name")))
     masters = catalog.with_master_id(catalog.merge_groups(keyed, "k", ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"]), "k")
-    fixed = catalog.fill_popularity(catalog.platform_popularity(catalog.repair_platforms(masters)))
-    return scores.with_ar_scores(fixed.withColumn("genre", catalog.infer_genre()))
+    normalized = tables.settled(catalog.platform_popularity(catalog.repair_platforms(tables.settled(masters))))
+    return scores.with_ar_scores(catalog.fill_popularity(normalized).withColumn("genre", catalog.infer_genre()))
 
 
 @query("tracks")
