@@ -1,7 +1,7 @@
 """Record linkage: blocking, scored pairs, leader groups, top matches and search.
 
-Pairs come from equi-joins on block keys over DISTINCT names, so copies of a name
-never multiply. Scores run on the surviving pairs only.
+Pairs come from equi-joins over DISTINCT names, on keys that a match must share, so
+copies of a name never multiply and none is lost. Scores run on the surviving pairs only.
 """
 
 from __future__ import annotations
@@ -11,27 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resona.functions.fuzzy import edit_ratio, partial_ratio, ratio, token_sort_ratio
+from resona.functions.fuzzy import all_scores, edit_ratio, likely_match, partial_ratio, ratio, token_sort_ratio, weighted
 from resona.functions.numeric import cut_bins
 from resona.operators.tables import settled, top_per_group
 
 
-def block_keys(name: Column) -> Column:
-    """Array of block keys: each of the name's tokens of three characters or more, with the initial of the whole name."""
-    words = F.filter(F.split(F.lower(name), r"\s+"), lambda w: F.char_length(w) >= 3)
-    return F.array_distinct(F.transform(words, lambda w: F.concat(F.substring(F.lower(name), 1, 1), F.lit(":"), w)))
-
-
-def candidate_pairs(names: DataFrame, column: str, keys: Column | None = None, length_ratio: float = 0.5) -> DataFrame:
-    """(a, b) with a < b: distinct names that share a block key (``keys``: an array column over ``name``) and whose lengths differ by at most ``length_ratio`` of the longer."""
-    named = names.select(F.col(column).alias("name")).distinct()
-    blocked = named.select("name", F.explode(block_keys(F.col("name")) if keys is None else keys).alias("block"))
-    other = blocked.select(F.col("name").alias("b"), "block")
-    size = lambda c: F.char_length(c)
-    fits = F.abs(size("name") - size("b")) <= F.greatest(size("name"), size("b")) * length_ratio
-    return blocked.join(other, "block").where((F.col("name") < F.col("b")) & fits).select(F.col("name").alias("a"), "b").distinct()
-
-
 def _prefix(name: Column, least: float, metric: str) -> Column:
     """The numbered, padded character pairs of a name, in one order for all names, as many as a match at ``least`` must share one of.
 
@@ -112,16 +96,30 @@ def match_report(matches: DataFrame) -> DataFrame:
         F.count("*").alias("matches"), F.countDistinct("a").alias("left_names"), F.countDistinct("b").alias("right_names"), F.avg("score").alias("mean"), F.median("score").alias("middle"))
 
 
-def search(catalog: DataFrame, queries: DataFrame, columns: list[str], rank_by: str, least: float = 60, limit: int = 10) -> DataFrame:
+def likely_pairs(songs: DataFrame, least: float = 70, threshold: float = 85) -> DataFrame:
+    """Every two songs (artist, track) whose sorted-token ratios both reach ``least``: both scores, the tracks' weighted score, and whether they are the same song by each predicate.
+
+    Artists and tracks are paired apart, over distinct names and without loss, and meet by two joins.
+    """
+    near = lambda c: near_pairs(songs, songs, c, least, "token_sort").withColumn("score", token_sort_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    side = lambda to: songs.select(F.col("artist").alias(f"artist_{to}"), F.col("track").alias(f"track_{to}"))
+    artists = near("artist").select(F.col("a").alias("artist_a"), F.col("b").alias("artist_b"), F.col("score").alias("artist_score"))
+    tracks = near("track").withColumn("all", all_scores(F.col("a"), F.col("b"))).select(F.col("a").alias("track_a"), F.col("b").alias("track_b"), F.col("score").alias("track_score"), weighted(F.col("all")).alias("weighted"))
+    met = side("a").join(tracks, "track_a").join(side("b"), "track_b").join(artists, ["artist_a", "artist_b"]).where("(artist_a, track_a) < (artist_b, track_b)")
+    both = F.col("artist_score"), F.col("track_score")
+    return met.withColumns({"strict": likely_match(*both, threshold), "lenient": likely_match(*both, threshold, strict=False)})
+
+
+def search(catalog: DataFrame, queries: DataFrame, columns: list[str], rank_by: str, least: float = 60, limit: int = 10, block: int = 256) -> DataFrame:
     """Per query (column q) the catalog rows whose best partial ratio over ``columns`` exceeds ``least``.
 
-    A row's name must share a token with the query. Distinct names are scored, not rows,
-    and query texts are joined by token, so neither side is collected.
+    The stated queries meet all distinct names, in blocks of ``block`` queries: a partial ratio
+    this low allows no key that both must share. Distinct names are scored, not rows.
     """
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
     names = catalog.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct()
-    asked = queries.select("q").distinct().select("q", F.explode(words(F.col("q"))).alias("word"))
-    pairs = names.select("name", F.explode(words(F.col("name"))).alias("word")).join(asked, "word").select("q", "name").distinct()
+    asked = queries.select("q").where("q IS NOT NULL").distinct()
+    blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-asked.count() // block))))).agg(F.collect_list("q").alias("qs"))
+    pairs = names.crossJoin(blocks.select("qs")).select("name", F.explode("qs").alias("q"))
     hits = pairs.withColumn("score", partial_ratio(F.col("q"), F.lower("name"))).where(F.col("score") > least)
     rows = catalog.select(*columns, rank_by).distinct()
     found = [rows.join(hits, rows[c] == hits["name"]).drop("name") for c in columns]

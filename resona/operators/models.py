@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -93,11 +93,13 @@ def forest_regressor(df: DataFrame, columns: Sequence[str], label: str, trees: i
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip"), forest]).fit(df)
 
 
-def audience_models(df: DataFrame, columns: Sequence[str], targets: Sequence[str], trees: int = 200, depth: int = 15):
-    """One forest per target column of strings, with its classes: {target: (model, classes)}. Classes are read with a bound of 1,000."""
+def audience_models(df: DataFrame, columns: Sequence[str], targets: Sequence[str], trees: int = 200, depth: int = 15, most: int = 1000):
+    """One forest per target column of strings, with its classes: {target: (model, classes)}. More than ``most`` classes are an error."""
     out = {}
     for target in targets:
-        classes = [r[target] for r in df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy(target).limit(1000).collect()]
+        classes = [r[target] for r in df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy(target).limit(most + 1).collect()]
+        if len(classes) > most:
+            raise ValueError(f"{target} has more than {most} classes")
         numbered = df.withColumn("_label", F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target)).cast("double") - 1).where("_label >= 0")
         out[target] = (forest_classifier(numbered, columns, "_label", trees, depth), classes)
     return out
@@ -135,39 +137,25 @@ def unit(column: Column) -> Column:
     return F.transform(column, lambda x: x.cast("double") / F.when(norm > 0, norm))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+def similar(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
+    """Per query the ``k`` items of largest cosine (query, item, rank, similarity), itself excluded, exactly: products of blocks, each giving its best ``k``, merged per query.
 
-
-def similar(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, most_queries: int = 1000) -> DataFrame:
-    """Per query the ``k`` items of largest cosine, itself excluded.
-
-    Up to ``most_queries`` queries are broadcast; more must come in as several calls
-    or go through ``top_similar``.
-    """
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; use top_similar")
-    asked = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
-    scored = items.select(F.col(key).alias("item"), unit(F.col(vector)).alias("_v")).join(F.broadcast(asked), F.col("item") != F.col("query"))
-    scored = scored.select("query", "item", dot(F.col("_q"), F.col("_v")).alias("similarity"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item")))
-    return ranked.where(F.col("rank") <= k)
-
-
-def top_similar(items: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
-    """Per item the ``k`` others of largest cosine (query, item, rank, similarity), exactly: products of blocks, each giving its best ``k``, merged per item.
-
-    Similarities are rounded to 12 digits; ties go to the smaller key. Items without a vector of positive length are left out.
+    Queries and items are dealt into blocks of about ``block`` rows; every two meet in a task, so neither side is held whole anywhere.
+    Similarities are rounded to 12 digits; ties go to the smaller key. Rows without a vector of positive length are left out.
     """
     import numpy as np
     import pandas as pd
 
     kind = items.schema[key].dataType.simpleString()
-    ready = items.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    n = max(1, -(-ready.count() // block))
-    packed = ready.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("rows"))
-    packed = packed.select("block", F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("values"))
-    pairs = packed.repartition(n, "block").select(F.col("keys").alias("q_keys"), F.col("values").alias("q_values")).crossJoin(packed.drop("block"))
+
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
+        ready = df.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+        n = max(1, -(-ready.count() // block))
+        rows = ready.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("rows"))
+        return rows.select("block", F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("values")), n
+
+    (asked, n), (sides, _) = packed(queries), packed(items)
+    pairs = asked.repartition(n, "block").select(F.col("keys").alias("q_keys"), F.col("values").alias("q_values")).crossJoin(sides.drop("block"))
 
     def best(frames):
         for frame in frames:
@@ -185,6 +173,27 @@ def top_similar(items: DataFrame, key: str, vector: str, k: int = 5, block: int
     return ranked.where(F.col("rank") <= k).select("query", "item", "rank", "similarity")
 
 
+def top_similar(items: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
+    """Per item the ``k`` others of largest cosine, as ``similar``."""
+    return similar(items, items, key, vector, k, block)
+
+
+def similar_by_best(items: DataFrame, key: str, scores: Mapping[str, Column], k: int = 5) -> DataFrame:
+    """Per item (query, best, item, score, rank): the ``k`` others with the highest value of the score that is its own best, the first of equals.
+
+    Only ``k + 1`` rows of each score reach every task.
+    """
+    listed = F.array(*[F.struct(F.lit(n).alias("best"), c.alias("score")) for n, c in scores.items()])
+    highest = F.array_max(F.transform(listed, lambda x: x["score"]))
+    scored = items.select(key, listed.alias("scores"), highest.alias("most"))
+    own = scored.select(F.col(key).alias("query"), F.filter("scores", lambda x: x["score"] == F.col("most"))[0]["best"].alias("best"))
+    order = Window.partitionBy("best").orderBy(F.desc("score"), "item")
+    lists = scored.select(F.col(key).alias("item"), F.inline("scores")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
+    met = own.join(F.broadcast(lists), "best").where(F.col("item") != F.col("query"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")))
+    return ranked.where(F.col("rank") <= k).select("query", "best", "item", "score", "rank")
+
+
 def key_similarities(columns: Sequence[str], other: str = "other_", k: int = 3) -> Column:
     """The ``k`` features nearest between a row and its counterpart's columns, closeness above .8."""
     near = [F.struct((F.abs(F.col(c) - F.col(other + c)) - 1).alias("minus"), F.lit(c).alias("feature"), F.round(1 - F.abs(F.col(c) - F.col(other + c)), 6).alias("closeness")) for c in columns]

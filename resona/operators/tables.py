@@ -90,6 +90,26 @@ def not_blank(column: str) -> Column:
     return F.trim(column) != ""
 
 
+def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows where none of the critical columns is null; columns that are absent are no condition."""
+    return df.na.drop("any", subset=[c for c in columns if c in df.columns])
+
+
+def label_encode(df: DataFrame, column: str, to: str) -> DataFrame:
+    """Adds ``to``: the place of the value among the column's distinct values, from 0; null for null."""
+    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(to, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
+    return df.join(codes, column, "left")
+
+
+def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
+    """Adds <column>_<value> as 0 or 1 for each value, by default those the column has; more than ``most`` are an error."""
+    if values is None:
+        values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} values")
+    return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int") for v in values})
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first in a stable order."""
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
@@ -106,19 +126,24 @@ def top_fraction(df: DataFrame, group: str, order: Sequence[Column], parts: int
     return counted.where(F.col("_n") <= F.floor(F.col("_all") / parts)).drop("_n", "_all")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A hash of key and seed, the same in every engine."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, rows: int, strata: int, seed: int | None = 42) -> DataFrame:
     """rows // strata rows of each stratum, by hash of the key and the seed (by key without a seed)."""
-    order = F.col(key) if seed is None else F.xxhash64(F.col(key), F.lit(seed))
+    order = F.col(key) if seed is None else seeded(key, seed)
     return top_per_group(df, [stratum], [order, F.col(key)], rows // strata, "_r").drop("_r")
 
 
 def uniform_sample(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(rows)
+    return df.orderBy(seeded(key, seed), key).limit(rows)
 
 
 def split_by_hash(df: DataFrame, key: str, train_percent: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and test rows; a row's side depends on its key alone."""
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    part = F.pmod(F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("long"), F.lit(100))
     return df.where(part < train_percent), df.where(part >= train_percent)
 
 

@@ -183,17 +183,27 @@ def prj3_prj5_prj13_rename_and_select(tracks):
     return tables.select_present(tables.with_defaults(named, {"platform_popularity": 0.5}), ["rec_id", "title", "genre", "not_there", "platform_popularity"])
 
 
-@query("songs", """
+_GENRES = ("country", "electronic", "hip hop", "jazz", "pop", "rock", "unknown")
+_TIER = "CASE WHEN normalized_popularity IS NULL THEN 'unknown' WHEN normalized_popularity >= 60 THEN 'high' WHEN normalized_popularity >= 20 THEN 'medium' ELSE 'low' END"
+
+
+@query("songs", f"""
 SELECT rec_id, CASE WHEN spotify THEN 'spotify' WHEN youtube THEN 'youtube' WHEN tiktok THEN 'tiktok' ELSE 'unknown' END AS primary_platform,
   CAST(spotify AS INT) + CAST(tiktok AS INT) + CAST(youtube AS INT) AS platform_count, (CAST(spotify AS INT) + CAST(tiktok AS INT) + CAST(youtube AS INT)) > 1 AS multi,
-  CAST(dense_rank() OVER (ORDER BY genre) - 1 AS INT) AS genre_code, CAST(genre = 'pop' AS INT) AS genre_pop, CAST(genre = 'rock' AS INT) AS genre_rock FROM songs""")
+  CAST(dense_rank() OVER (ORDER BY genre) - 1 AS INT) AS genre_code, {', '.join(f"CAST(genre = '{g}' AS INT) AS " + '"genre_' + g + '"' for g in _GENRES)},
+  {', '.join(f"CAST({_TIER} = '{t}' AS INT) AS tier_{t}" for t in ("high", "medium", "low", "unknown"))} FROM songs""")
 def enc1_enc4_encodings(songs):
-    names = songs.select("genre").distinct()
-    codes = names.join(names.select(F.col("genre").alias("g2")), F.col("g2") < F.col("genre"), "left").groupBy("genre").agg(F.count("g2").cast("int").alias("genre_code"))
+    tier = N.tiers(F.col("normalized_popularity"), [(60, "high"), (20, "medium")], "low")
+    coded = tables.one_hot(tables.one_hot(tables.label_encode(songs.withColumn("tier", tier), "genre", "genre_code"), "genre"), "tier", ["high", "medium", "low", "unknown"])
     count = F.col("spotify").cast("int") + F.col("tiktok").cast("int") + F.col("youtube").cast("int")
-    return songs.join(codes, "genre").select(
+    return coded.select(
         "rec_id", F.when(F.col("spotify"), "spotify").when(F.col("youtube"), "youtube").when(F.col("tiktok"), "tiktok").otherwise("unknown").alias("primary_platform"),
-        count.alias("platform_count"), (count > 1).alias("multi"), "genre_code", *[(F.col("genre") == g).cast("int").alias(f"genre_{g}") for g in ("pop", "rock")])
+        count.alias("platform_count"), (count > 1).alias("multi"), "genre_code", *[F.col(f"`{c}`") for c in coded.columns if c.startswith(("genre_", "tier_")) and c != "genre_code"])
+
+
+@query("songs", "SELECT rec_id, energy, danceability FROM songs WHERE energy IS NOT NULL AND danceability IS NOT NULL")
+def flt2_complete_rows(songs):
+    return tables.drop_incomplete(songs, ["energy", "danceability"]).select("rec_id", "energy", "danceability")
 
 
 @query("tracks", """
@@ -220,9 +230,19 @@ def flt9_set4_unknown_platforms(social_trends):
     return tables.unknown_values(social_trends, "platform", ["IG", "tiktok", "Instagram  Reels", "snap!"])
 
 
-@query("tracks")
+_COLUMNS = ("rec_id", "source_dataset", "source_priority", "track_name", "artist_name", "genre", "danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness", "popularity_score", "observed_at")
+
+
+@query("tracks", f"""
+SELECT 'isrc' AS "column", 'missing' AS state, NULL AS rows
+UNION ALL SELECT c, 'extra', NULL FROM (SELECT unnest([{', '.join(f"'{c}'" for c in _COLUMNS)}]) AS c) WHERE c NOT IN ('rec_id', 'track_name')
+UNION ALL SELECT 'energy', CASE WHEN any_value(typeof(energy)) IN ('DOUBLE', 'FLOAT', 'INTEGER', 'BIGINT') THEN 'PASS' ELSE 'FAIL' END, NULL FROM tracks
+UNION ALL SELECT 'genre', CASE WHEN any_value(typeof(genre)) = 'VARCHAR' THEN 'PASS' ELSE 'FAIL' END, NULL FROM tracks
+UNION ALL SELECT 'tempo', CASE WHEN any_value(typeof(tempo)) = 'VARCHAR' THEN 'PASS' ELSE 'FAIL' END, NULL FROM tracks
+UNION ALL SELECT 'tracks', 'energy,tempo / pitch', count(*) FROM tracks""")
 def flt11_prj4_val17_val24_schema_checks(tracks):
     wanted = tables.column_check(tables.drop_repeated_columns(tracks), ["rec_id", "track_name", "isrc"])
     typed = tables.type_check(tracks, {"energy": "numeric", "genre": "string", "tempo": "string"})
     shapes = tables.shape({"tracks": tracks}, ["energy", "tempo", "pitch"])
-    return tables.union_all(wanted.select("column", "state"), typed.select("column", "state"), shapes.select(F.col("dataset").alias("column"), F.concat("present", F.lit(" / "), "missing").alias("state")))
+    none = F.lit(None).cast("long").alias("rows")
+    return tables.union_all(wanted.select("column", "state", none), typed.select("column", "state", none), shapes.select(F.col("dataset").alias("column"), F.concat("present", F.lit(" / "), "missing").alias("state"), "rows"))

@@ -73,12 +73,14 @@ def ds6_platform_training_table(songs):
 
 
 @query("songs", """
-WITH v AS (SELECT track_name, artist_name, max(normalized_popularity) AS peak, count(DISTINCT platform) AS platforms FROM songs GROUP BY ALL)
-SELECT rec_id, peak, platforms > 1 AS is_cross_platform, CASE WHEN tempo > 0 AND tempo <= 100 THEN 'slow' WHEN tempo > 100 AND tempo <= 300 THEN 'fast' END AS pace FROM songs JOIN v USING (track_name, artist_name)""")
+WITH v AS (SELECT track_name, artist_name, max(normalized_popularity) AS peak, count(DISTINCT platform) AS platforms FROM songs GROUP BY ALL),
+a AS (SELECT artist_name, count(DISTINCT platform) AS artist_platforms FROM songs GROUP BY 1)
+SELECT rec_id, peak, platforms > 1 AS is_cross_platform, artist_platforms, artist_platforms > 1 AS artist_is_cross_platform, CASE WHEN tempo > 0 AND tempo <= 100 THEN 'slow' WHEN tempo > 100 AND tempo <= 300 THEN 'fast' END AS pace FROM songs JOIN v USING (track_name, artist_name) JOIN a USING (artist_name)""")
 def ds9_comprehensive_features(songs):
     v = songs.groupBy("track_name", "artist_name").agg(F.max("normalized_popularity").alias("peak"), F.countDistinct("platform").alias("platforms"))
-    joined = tables.enrich(songs, v, ["track_name", "artist_name"])
-    return joined.select("rec_id", "peak", (F.col("platforms") > 1).alias("is_cross_platform"), N.cut_bins(F.col("tempo"), [0, 100, 300], ["slow", "fast"]).alias("pace"))
+    per_artist = songs.groupBy("artist_name").agg(F.countDistinct("platform").alias("artist_platforms"))
+    joined = tables.enrich(tables.enrich(songs, v, ["track_name", "artist_name"]), per_artist, ["artist_name"])
+    return joined.select("rec_id", "peak", (F.col("platforms") > 1).alias("is_cross_platform"), "artist_platforms", (F.col("artist_platforms") > 1).alias("artist_is_cross_platform"), N.cut_bins(F.col("tempo"), [0, 100, 300], ["slow", "fast"]).alias("pace"))
 
 
 @query("songs", f"""

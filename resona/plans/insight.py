@@ -8,6 +8,7 @@ from resona.functions import fuzzy
 from resona.functions import text as T
 from resona.operators import audio, insights, matching, models, scores, stats, tables
 from resona.plans.query import query
+from resona.plans.scoring import _fit
 from resona.streaming import status
 
 FEATURES = ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness"]
@@ -19,19 +20,12 @@ def _ready(songs):
     return songs.where(_COMPLETE).withColumn("audio_appeal", scores.audio_appeal())
 
 
-_EDGES = """
-names AS (SELECT DISTINCT p_name AS name FROM part),
-blocked AS (SELECT name, unnest(list_distinct(list_transform(list_filter(string_split(lower(name), ' '), lambda w: length(w) >= 3), lambda w: substr(lower(name), 1, 1) || ':' || w))) AS block FROM names),
-pairs AS (SELECT DISTINCT x.name AS a, y.name AS b FROM blocked x JOIN blocked y ON x.block = y.block AND x.name < y.name
-  WHERE abs(length(x.name) - length(y.name)) <= greatest(length(x.name), length(y.name)) * 0.5),
-edges AS (SELECT a, b FROM pairs WHERE (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) * 100 >= 70)
-"""
-
-
-@query("part", f"WITH {_EDGES} SELECT a, b FROM edges")
+@query("part", """
+WITH names AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON x.name < y.name WHERE (1 - levenshtein(x.name, y.name)::DOUBLE / greatest(length(x.name), length(y.name))) * 100 >= 70""")
 def er2_er3_blocked_edit_pairs(part):
     names = part.select(F.col("p_name").alias("name"))
-    return matching.scored_pairs(matching.candidate_pairs(names, "name"), 70, "edit").select("a", "b")
+    return matching.scored_pairs(matching.near_pairs(names, names, "name", 70, "edit").where("a < b"), 70, "edit").select("a", "b")
 
 
 @query("part")
@@ -50,17 +44,16 @@ def er4_er6_er7_er15_jn9_jn10_win3_best_matches(part, supplier):
     return matching.mutual_best(forward, backward).select("a", "b", "score").union(report)
 
 
-@query("tracks")
-def er4_er8_score_pairs(tracks):
-    names = tracks.select("artist_name").distinct()
-    pairs = matching.candidate_pairs(names, "artist_name").union(matching.near_pairs(names, names, "artist_name", 90, "token_sort").where("a < b")).distinct()
-    scored = pairs.withColumn("s", fuzzy.all_scores(F.col("a"), F.col("b")))
-    return scored.select("a", "b", fuzzy.weighted(F.col("s")).alias("weighted"), fuzzy.likely_match(F.col("s.token_sort"), F.lit(90.0)).alias("likely"))
+@query("part")
+def er4_er8_score_pairs(part):
+    """Brands stand for artists: every two songs whose artists and tracks both reach 70, with both predicates."""
+    songs = part.select(F.col("p_brand").alias("artist"), F.col("p_name").alias("track")).distinct()
+    return matching.likely_pairs(songs).select("artist_a", "track_a", "artist_b", "track_b", F.round("weighted", 6).alias("weighted"), "strict", "lenient")
 
 
 @query("tracks part")
 def er16_fuzzy_search(tracks, part):
-    asked = part.where("p_partkey <= 5").select(F.lower("p_name").alias("q"))
+    asked = part.where("p_partkey % 100 = 0").select(F.lower("p_name").alias("q"))
     return matching.search(tracks.select("track_name", "artist_name", "popularity_score"), asked, ["track_name", "artist_name"], "popularity_score").select("q", "track_name", "artist_name", "score", "rank")
 
 
@@ -148,17 +141,17 @@ def ml29_ins11_weighted_prediction(songs):
 @query("songs", """
 WITH g AS (SELECT artist_name, arg_min(genre, (-n, genre)) AS genre FROM (SELECT artist_name, genre, count(*) AS n FROM songs GROUP BY ALL) GROUP BY 1),
 p AS (SELECT artist_name, arg_min(platform, (-n, platform)) AS platform FROM (SELECT artist_name, platform, count(*) AS n FROM songs GROUP BY ALL) GROUP BY 1)
-SELECT artist_name, round(avg(energy), 6) AS energy, round(avg(valence), 6) AS valence, any_value(g.genre) AS genre, any_value(p.platform) AS platform, round(avg(normalized_popularity), 4) AS popularity, count(*) AS tracks, count(DISTINCT songs.platform) > 1 AS multi
+SELECT artist_name, round(avg(energy), 9) AS energy, round(avg(valence), 9) AS valence, any_value(g.genre) AS genre, any_value(p.platform) AS platform, round(avg(normalized_popularity), 9) AS popularity, count(*) AS tracks, count(DISTINCT songs.platform) > 1 AS multi
 FROM songs JOIN g USING (artist_name) JOIN p USING (artist_name) GROUP BY 1""")
 def sim1_sim6_artist_profiles(songs):
-    return models.artist_profiles(songs, ["energy", "valence"]).withColumns({"energy": F.round("energy", 6), "valence": F.round("valence", 6), "popularity": F.round("popularity", 4)})
+    return models.artist_profiles(songs, ["energy", "valence"]).withColumns({c: F.round(c, 9) for c in ("energy", "valence", "popularity")})
 
 
 @query("embeddings", """
 WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank FROM s) SELECT query, item, CAST(rank AS INT) AS rank, round(similarity, 6) AS similarity FROM r WHERE rank <= 5""")
 def sim2_sim4_cosine_neighbours(embeddings):
-    found = models.similar(embeddings, embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", most_queries=10_000)
+    found = models.similar(embeddings, embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding")
     return found.select("query", "item", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -167,6 +160,21 @@ def sim3_similar_pairs(embeddings):
     return models.top_similar(embeddings, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
 
 
+_FITS = {n: _fit(p) for n, p in scores.AGE_PROFILES.items()}
+_MOST = f"greatest({', '.join(_FITS.values())})"
+
+
+@query("songs", f"""
+WITH q AS (SELECT rec_id, CASE {' '.join(f"WHEN {fit} = {_MOST} THEN '{n}'" for n, fit in _FITS.items())} END AS audience FROM songs),
+f AS ({' UNION ALL '.join(f"SELECT '{n}' AS audience, rec_id AS item, {fit} AS score FROM songs" for n, fit in _FITS.items())}),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY audience ORDER BY score DESC, item) AS place FROM f) WHERE place <= 6),
+r AS (SELECT q.rec_id AS query, audience, item, score, row_number() OVER (PARTITION BY q.rec_id ORDER BY score DESC, item) AS rank FROM q JOIN t USING (audience) WHERE item <> q.rec_id)
+SELECT query, audience, item, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+def sim7_similar_by_audience(songs):
+    fits = {n: scores.profile_fit(p, digits=4) for n, p in scores.AGE_PROFILES.items()}
+    return models.similar_by_best(songs, "rec_id", fits, k=5).withColumnRenamed("best", "audience")
+
+
 @query("songs", """
 SELECT a.rec_id AS rec_id, list_transform(list_sort(list_filter([{'m': abs(a.energy - b.energy) - 1, 'f': 'energy'}, {'m': abs(a.valence - b.valence) - 1, 'f': 'valence'}, {'m': abs(a.danceability - b.danceability) - 1, 'f': 'danceability'}], lambda x: x.m < -0.8)), lambda x: x.f)[1:2] AS alike
 FROM songs a JOIN songs b ON a.rec_id < b.rec_id AND a.track_name = b.track_name WHERE a.energy IS NOT NULL AND b.energy IS NOT NULL AND a.danceability IS NOT NULL AND b.danceability IS NOT NULL""")

@@ -251,7 +251,9 @@ def src8_stratified_sample(songs):
     return tables.stratified_sample(songs, "platform", "rec_id", 100, 4, seed=None).select("rec_id", "platform")
 
 
-@query("songs")
+@query("songs", """
+SELECT rec_id, 'uniform' AS kind FROM (SELECT rec_id FROM songs ORDER BY md5(rec_id || ':42'), rec_id LIMIT 200)
+UNION ALL SELECT rec_id, CASE WHEN CAST('0x' || substr(md5(rec_id || ':42'), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END FROM songs""")
 def src7_src9_ml22_samples(songs):
     train, test = tables.split_by_hash(songs, "rec_id")
     return tables.union_all(

@@ -342,10 +342,21 @@ def val20_val26_recommendation_rules(songs):
     return metrics.join(F.broadcast(rules), "metric").where("value < below").select("metric", "priority")
 
 
-@query("tracks", "SELECT source_dataset, rec_id, track_name AS track_clean, artist_name AS artist_clean, popularity_score, CASE WHEN contains(source_dataset, 'tiktok') THEN 'tiktok' WHEN contains(source_dataset, 'youtube') THEN 'youtube' ELSE 'spotify' END AS platform FROM tracks WHERE source_dataset <> 'music_info'")
+#: how each source names what all tables must have
+_SOURCES = {s: {"track_clean": ["track_name"], "artist_clean": ["artist_name"], "popularity_score": ["popularity_score"], "energy": ["energy"], "rec_id": ["rec_id"]} for s in ("music_info", "spotify_main", "spotify_secondary", "youtube", "tiktok_2021", "tiktok_2022")}
+
+
+@query("tracks", """
+SELECT source_dataset, rec_id, track_name AS track_clean, artist_name AS artist_clean, coalesce(popularity_score, (SELECT median(popularity_score) FROM tracks)) AS popularity_score, round(coalesce(energy, (SELECT median(energy) FROM tracks)), 9) AS energy,
+  CASE WHEN contains(source_dataset, 'tiktok') THEN 'tiktok' WHEN contains(source_dataset, 'youtube') THEN 'youtube' WHEN contains(source_dataset, 'spotify') THEN 'spotify' ELSE 'catalog' END AS platform FROM tracks""")
 def ds8_ds10_unified_table(tracks):
     parts = []
-    for source, platform in (("tiktok_2021", "tiktok"), ("tiktok_2022", "tiktok"), ("youtube", "youtube"), ("spotify_main", "spotify"), ("spotify_secondary", "spotify")):
-        own = tracks.where(F.col("source_dataset") == source).select("source_dataset", "rec_id", F.col("track_name").alias("track_clean"), F.col("artist_name").alias("artist_clean"), "popularity_score")
-        parts.append(own.withColumn("platform", F.lit(platform)))
-    return tables.union_all(*parts)
+    for source, names in _SOURCES.items():
+        own = tables.standardize(tracks.where(F.col("source_dataset") == source), names, keep=["source_dataset"])
+        parts.append(own.withColumn("platform", F.lit(next((p for p in scores.PLATFORMS if p in source), "catalog"))))
+    return catalog.fill_median(tables.union_all(*parts), ["popularity_score", "energy"]).withColumn("energy", F.round("energy", 9))
+
+
+@query("songs", f"SELECT rec_id, track_name, {_QUALITY} AS data_quality_score FROM songs")
+def top8_sort_by_quality(songs):
+    return songs.select("rec_id", "track_name", scores.data_quality().alias("data_quality_score")).orderBy(F.desc("data_quality_score"), "rec_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resona.operators.insights import song_insights
@@ -49,3 +49,18 @@ def analyze_uploads(songs: DataFrame, analysis: str, failures: str, checkpoint:
         batch.where(~ready).select("rec_id", F.lit("failed").alias("processing_status")).write.mode("overwrite").parquet(f"{failures}/batch={batch_id}")
 
     return songs.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batch_results(stream: DataFrame, path: str, checkpoint: str):
+    """Start a query that saves every micro-batch's analysis under its own batch folder; a replayed batch overwrites itself."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        song_insights(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def combined(spark: SparkSession, path: str, final: str) -> DataFrame:
+    """All saved batches as one table, written to ``final``: the newest batch of each song counts."""
+    saved = spark.read.option("basePath", path).parquet(path)
+    current(saved, "rec_id", ["batch"]).drop("batch").write.mode("overwrite").parquet(final)
+    return spark.read.parquet(final)

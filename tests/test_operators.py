@@ -165,6 +165,59 @@ def test_stream_scores_uploads(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/analysis").count() + spark.read.parquet(f"{tmp_path}/failures").count() == 50
 
 
+def test_stream_saves_batches_and_combines_them(spark, sf_dir, tmp_path):
+    from resona.operators.scores import audio_appeal
+    from resona.sources.fixtures import view
+
+    songs = view(spark, sf_dir, "songs").withColumn("audio_appeal", audio_appeal())
+    songs.limit(30).repartition(3).write.parquet(f"{tmp_path}/songs")
+    stream = spark.readStream.schema(songs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/songs")
+    status.batch_results(stream, f"{tmp_path}/batches", f"{tmp_path}/c").awaitTermination(120)
+    final = status.combined(spark, f"{tmp_path}/batches", f"{tmp_path}/final")
+    assert final.count() == final.select("rec_id").distinct().count() == songs.limit(30).count() and "batch" not in final.columns
+
+
+def partial_by_force(a, b):
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    return max(200.0 * lcs(short, c) / (n + len(c)) for c in {long[max(0, i) : i + n] for i in range(1 - n, len(long))} if c)
+
+
+def test_search_matches_brute_force(spark):
+    rows = [("old plate", "x", 3.0), ("cold plate", "plato", 2.0), ("blue ring", None, 1.0), ("zzz", "olt plxte", None)]
+    catalog = spark.createDataFrame(rows, "t string, a string, p double")
+    queries = spark.createDataFrame([("old plate",), ("ring",), (None,)], "q string")
+    got = {(r.q, r.t): r.score for r in matching.search(catalog, queries, ["t", "a"], "p", block=1).collect()}
+    want = {(q, t): best for q in ("old plate", "ring") for t, a, _ in rows if (best := max(partial_by_force(q, c) for c in (t, a) if c)) > 60}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_likely_pairs_match_brute_force(spark):
+    songs = [("Brand#12", "old plate"), ("Brand#12", "cold plate"), ("Brand#13", "old plate"), ("Other", "old plate"), ("Brand#12", "plate old"), ("Brand#12", "ring")]
+    got = {(r.artist_a, r.track_a, r.artist_b, r.track_b): (r.strict, r.lenient) for r in matching.likely_pairs(spark.createDataFrame(songs, "artist string, track string")).collect()}
+    ratio = lambda x, y: fuzzy.ratio_of(" ".join(sorted(x.split())), " ".join(sorted(y.split())))
+    want = {}
+    for x, y in combinations(sorted(songs), 2):
+        artist, track = ratio(x[0], y[0]), ratio(x[1], y[1])
+        if artist >= 70 and track >= 70:
+            want[(*x, *y)] = (artist >= 90 and track >= 85, artist * 0.6 + track * 0.4 >= 85)
+    assert got == want and any(s for s, _ in want.values())
+
+
+def test_cosine_neighbours_of_some(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(60)] + [(60, None), (61, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r.query, r["rank"]): r.item for r in models.similar(df, df.where("id % 10 = 0"), "id", "v", k=3, block=16).collect()}
+    x = np.array([v for _, v in rows[:60]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        order = sorted((i for i in range(60) if i != q), key=lambda i: -(x[q] @ x[i]))[:3]
+        assert [got[q, k + 1] for k in range(3)] == order
+
+
 def test_samples_follow_their_keys(spark, sf_dir):
     from resona.sources.fixtures import view
 
