@@ -34,8 +34,7 @@ def powers(n: int) -> np.ndarray:
     """BASE ** 0 .. n-1 modulo 2**64."""
     global _powers
     if len(_powers) < n:
-        n = max(n, 4096)
-        _powers = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, BASE, np.uint64))])
+        _powers = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(max(n, 4096) - 1, BASE, np.uint64))])
     return _powers[:n]
 
 

@@ -52,7 +52,8 @@ def op3_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

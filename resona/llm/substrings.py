@@ -20,7 +20,8 @@ Texts that are equal count as one text with copies, which are repeated in full.
 ``gsaca.repeated_starts`` finds the same windows by a linear suffix array; the README
 says why that does not run over whole tables.
 
-Windows are compared by 64-bit hashes of all their bytes. Defined results: a null or
+Windows are compared by 64-bit hashes of all their bytes. Texts are numbered by 64 bits of their
+SHA-256, and those few that share a number get another, so none is mistaken for another. Defined results: a null or
 empty text has no bytes; texts shorter than ``length`` keep all; matches never cross
 texts; a null doc_id takes part like any other; rows repeated with equal text are copies of each other, whatever their doc_id; an
 empty table gives no rows. Columns besides doc_id and text are ignored, whatever
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resona.llm import kernels
@@ -154,12 +155,23 @@ def _spans(owner: np.ndarray, start: np.ndarray, length: int):
     return owner[first], start[first], start[last] + length
 
 
+def _text_key(sha256: Column, salt: int) -> Column:
+    return F.xxhash64(sha256) if salt == 0 else F.xxhash64(sha256, F.lit(salt))
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, spans, texts): doc_id with its text_key, n_bytes, copies and text_sha256; the stretches to remove per text_key, unmerged; the texts that have any."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
-    keyed = keyed.withColumn("text_key", F.xxhash64("text_sha256"))
+    keyed = keyed.withColumn("text_key", _text_key(F.col("text_sha256"), 0))
     documents = cut(keyed.select("doc_id", "text_key", "text_sha256", F.octet_length("text").cast("long").alias("n_bytes")))
+    copies = cut(documents.groupBy("text_key", "text_sha256").agg(F.count("*").alias("copies")))
+    shared = copies.groupBy("text_key").agg(F.count("*").alias("n"), F.min("text_sha256").alias("first_sha256")).where("n > 1").drop("n")
+    clash = copies.join(shared, "text_key").where("text_sha256 <> first_sha256").select("text_sha256", F.lit(True).alias("again"))
+    if not clash.isEmpty():
+        renumbered = F.when(F.col("again"), _text_key(F.col("text_sha256"), 1)).otherwise(F.col("text_key"))
+        again = lambda df: df.join(clash, "text_sha256", "left").withColumn("text_key", renumbered).drop("again")
+        keyed, documents, copies = again(keyed), cut(again(documents)), again(copies)
     found = _all_runs(keyed.where(F.octet_length("text") >= length).select("text_key", "text"), length, gram)
     place = F.xxhash64("text_key", "span")
     grams = cut(found.select("gram", place.alias("at")).groupBy("gram").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("gram"))
@@ -239,45 +251,55 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 40, hot: int
     spans = parts[0]
     for part in parts[1:]:
         spans = spans.union(part)
-    copies = documents.groupBy("text_key").agg(F.count("*").alias("copies"))
-    return documents.join(copies, "text_key"), spans, texts
+    return documents.join(copies.select("text_sha256", "copies"), "text_sha256"), spans, texts
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 40, hot: int = 20_000) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes; null where text stays whole)."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and ``removed``, the runs as structs (start, end) of bytes.
+
+    ``kept_bytes`` applies the runs to a text.
+    """
     documents, spans, texts = repeated_spans(docs, length, gram, hot)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, number, digest = [], [], []
+            digest, merged = [], []
             for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                kept, at, runs_, gone = [], 0, 0, 0
-                for span in sorted((s["start"], s["end"]) for s in found.as_py()):
-                    start, end = span
-                    if start > at or not runs_:
+                kept, at, gone = [], 0, []
+                for start, end in sorted((x["start"], x["end"]) for x in found.as_py()):
+                    if start > at or not gone:
                         kept.append(raw[at:start])
-                        runs_ += 1
-                        gone += end - start
+                        gone.append({"start": start, "end": end})
                         at = end
                     elif end > at:
-                        gone += end - at
-                        at = end
+                        gone[-1]["end"] = at = end
                 kept.append(raw[at:])
-                removed.append(gone)
-                number.append(runs_)
+                merged.append(gone)
                 digest.append(hashlib.sha256(b"".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("text_key"), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(digest)], names=["text_key", "removed", "number", "digest"]
-            )
+            runs_ = pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(digest), runs_], names=["text_key", "digest", "removed"])
 
     gathered = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    stripped = texts.join(gathered, "text_key").mapInArrow(strip, "text_key long, removed long, number long, digest string")
+    stripped = texts.join(gathered, "text_key").mapInArrow(strip, "text_key long, digest string, removed array<struct<start:long,end:long>>")
     full = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return documents.join(stripped, "text_key", "left").select(
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    found = documents.join(stripped, "text_key", "left").withColumn("removed", F.when(full, whole).otherwise(F.coalesce("removed", none)))
+    return found.select(
         "doc_id",
         "n_bytes",
-        F.when(full, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(full, F.lit(1)).otherwise(F.coalesce("number", F.lit(0))).cast("long").alias("n_spans"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
         F.when(full, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("digest", "text_sha256")).alias("kept_sha256"),
+        "removed",
     )
+
+
+def kept_bytes(text: Column, removed: Column) -> Column:
+    """The UTF-8 bytes of ``text`` outside the runs ``removed``; empty for null."""
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    part = lambda start, end: F.substring(raw, (start + 1).cast("int"), (end - start).cast("int"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("out"))
+    kept = F.aggregate(removed, begin, lambda a, r: F.struct(r["end"].alias("at"), F.concat(a["out"], part(a["at"], r["start"])).alias("out")))
+    return F.concat(kept["out"], part(kept["at"], F.octet_length(raw).cast("long")))
