@@ -23,6 +23,7 @@ GENRE_AUDIENCES = {
     "r&b": ("25-49", "18-34"),
     "soul": ("35-64", "25-49"),
 }
+# Popularity by platform where nothing else is known.
 PLATFORM_DEFAULTS = {"spotify": 45.0, "youtube": 35.0, "tiktok": 55.0}
 
 

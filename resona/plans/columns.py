@@ -12,15 +12,16 @@ from resona.operators import tables
 from resona.plans.query import query
 
 
-def _chain(column: str, *steps: tuple[str, str]) -> str:
-    return reduce(lambda s, p: f"regexp_replace({s}, '{p[0]}', '{p[1]}', 'g')", steps, column)
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
-_BRACKETS = (r"\(.*?\)", ""), (r"\[.*?\]", "")
-_KEY = lambda c: "trim(" + _chain(f"lower({c})", *_BRACKETS, (r"feat\.?\s*", " "), (r"ft\.?\s*", " "), (r"featuring\s*", " "), ("&", "and"), ("[''\"]", ""), (r"[^\w\s]", " "), (r"\s+", " ")) + ")"
-_ARTIST = "trim(" + _chain("lower(artist_name)", (r"^(the|a|an)\s+", ""), (r"\s*(feat\.|ft\.|featuring|with|x|&|\+)\s+.*", ""), (r"\s*(official|music|band|group|the|crew)$", ""), (r"[^\w\s]", ""), (r"\s+", " ")) + ")"
-_VERSIONS = r"explicit|radio\s+edit|clean\s+version|instrumental|acoustic|live|remix|remaster|extended|original|official"
-_TRACK = "trim(" + _chain("lower(track_name)", (r"\s*[\(\[].*?[\)\]]", ""), (rf"\s*[-–—\s]+({_VERSIONS}).*$", ""), (r"\s*(feat\.|ft\.|featuring)\s+.*", ""), (r"[^\w\s]", ""), (r"\s+", " ")) + ")"
+def _chain(column: str, steps) -> str:
+    """SQL for the replacements of a key, trimmed."""
+    return "trim(" + reduce(lambda s, p: f"regexp_replace({s}, '{_quoted(p[0])}', '{p[1]}', 'g')", steps, f"lower({column})") + ")"
+
+
+_KEY = lambda c: _chain(c, [*T.MATCH_STEPS, T.AMPERSAND_STEP, *T.MATCH_LAST_STEPS])
 
 
 @query("tracks", f"SELECT rec_id, {_KEY('track_name')} AS track_key, {_KEY('artist_name')} || '||' || {_KEY('track_name')} AS composite FROM tracks")
@@ -28,12 +29,12 @@ def str1_str4_match_keys(tracks):
     return tracks.select("rec_id", T.match_key(F.col("track_name")).alias("track_key"), T.composite_key(F.col("artist_name"), F.col("track_name")).alias("composite"))
 
 
-@query("tracks", "SELECT rec_id, trim(" + _chain("lower(track_name)", *_BRACKETS, (r"feat\.?\s*", " "), (r"ft\.?\s*", " "), (r"featuring\s*", " "), ("[''\"]", ""), (r"[^\w\s]", " "), (r"\s+", " ")) + ") AS k2, trim(" + _chain("lower(track_name)", *_BRACKETS, (r"feat\.?\s*.*$", ""), (r"ft\.?\s*.*$", ""), (r"featuring\s*.*$", ""), (r"with\s+.*$", ""), ("&.*$", ""), (r"[^\w\s]", " "), (r"\s+", " ")) + ") AS k3 FROM tracks")
+@query("tracks", f"SELECT rec_id, {_chain('track_name', [*T.MATCH_STEPS, *T.MATCH_LAST_STEPS])} AS k2, {_chain('track_name', T.DEDUP_STEPS)} AS k3 FROM tracks")
 def str2_str3_short_keys(tracks):
     return tracks.select("rec_id", T.match_key(F.col("track_name"), ampersand=False).alias("k2"), T.dedup_key(F.col("track_name")).alias("k3"))
 
 
-@query("tracks", f"SELECT rec_id, {_ARTIST} AS artist_clean, {_TRACK} AS track_clean FROM tracks")
+@query("tracks", f"SELECT rec_id, {_chain('artist_name', T.ARTIST_STEPS)} AS artist_clean, {_chain('track_name', T.TRACK_STEPS)} AS track_clean FROM tracks")
 def str5_str6_clean_names(tracks):
     return tracks.select("rec_id", T.clean_artist(F.col("artist_name")).alias("artist_clean"), T.clean_track(F.col("track_name")).alias("track_clean"))
 
@@ -51,9 +52,9 @@ def str8_str9_str16_str17_str18_lists(tracks):
         F.format_string("%s by %s (%s)", "track_name", "artist_name", "genre").alias("headline"))
 
 
-@query("tracks", r"""
-SELECT rec_id, regexp_extract(track_name, '(?i)\s*(feat\.|ft\.|featuring|with|x|&|\+)\s+(.+)', 2) <> '' AS has_featured,
-  len(list_filter(regexp_split_to_array(regexp_extract(track_name, '(?i)\s*(feat\.|ft\.|featuring|with|x|&|\+)\s+(.+)', 2), '\s*[,&\+]\s*|\s+and\s+|\s+x\s+'), lambda p: trim(p) <> '')) AS n_featured
+@query("tracks", f"""
+SELECT rec_id, regexp_extract(track_name, '{T.FEATURED}', 2) <> '' AS has_featured,
+  len(list_filter(regexp_split_to_array(regexp_extract(track_name, '{T.FEATURED}', 2), '{T.FEATURED_SPLIT}'), lambda p: trim(p) <> '')) AS n_featured
 FROM tracks""")
 def str7_featured_artists(tracks):
     parts = T.featured_artists(F.col("track_name"))

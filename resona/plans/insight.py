@@ -303,6 +303,6 @@ def snk6_current_rows(song_status):
 
 
 @query("tracks", f"""
-SELECT rec_id, trim(regexp_replace(regexp_replace(lower(artist_name), '^(the|a|an)\\s+', ''), '[^\\w\\s]', '', 'g')) AS artist_clean, regexp_matches(track_name, '(?i)\\s*(feat\\.|ft\\.|featuring|with|x|&|\\+)\\s+(.+)') AS has_featured FROM tracks""")
+SELECT rec_id, trim(regexp_replace(regexp_replace(lower(artist_name), '^(the|a|an)\\s+', ''), '[^\\w\\s]', '', 'g')) AS artist_clean, regexp_matches(track_name, '{T.FEATURED}') AS has_featured FROM tracks""")
 def ds12_normalized_names(tracks):
     return tracks.select("rec_id", T.clean_artist(F.col("artist_name")).alias("artist_clean"), (F.size(T.featured_artists(F.col("track_name"))["featured"]) > 0).alias("has_featured"))

@@ -46,6 +46,17 @@ def test_name_cases(spark):
     assert got[0].f.featured == ["daft punk"] and got[2].f.featured == []
 
 
+def test_folding_is_compatibility_decomposition(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(9)
+    texts = ["Beyoncé", "ﬁancé ½ ㎏ …", "Tiếng Việt", "ｆｕｌｌ", "日本 e\u0301", "𝐁old", "plain", ""]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0x3000), rng.randrange(0xF900, 0xFFFE)])) for _ in range(12)) for _ in range(300)]
+    got = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.fold_accents(F.col("t")).alias("f")).collect()]
+    assert got == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+
+
 def test_leader_groups_follow_the_greedy_order(spark):
     names = [f"n{i:02d}" for i in range(12)]
     edges = [(a, b) for a, b in combinations(names, 2) if (int(a[1:]) * 7 + int(b[1:]) * 3) % 4 == 0]
