@@ -287,6 +287,68 @@ def test_pipeline_stages(spark):
     assert last.count() == docs.count() and last.where("n_pieces = 0").count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empties, one doc_id for two texts, repeated rows, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i} flows" for i in range(40))
+    full = [(1, text("a")), (1, text("b")), (2, None), (3, ""), (4, text("c")), (4, text("c")), (None, text("d")), (None, text("d")), (5, text("a") + " end"), (6, "  \n ")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, Score double, Piece_IDs string, _words string, _size string, _id string, row string, n_lines long, held_out string"
+    rows = [(i, t, "en", None if i == 4 else "s", None if t is None else len(t), 1.5, "p", "w", "z", "i", "r", 7, "h") for i, t in full]
+    docs = spark.createDataFrame(rows, names)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf_dir).count() == 0
+        kept[name] = out.collect()
+        assert all((r.Score, r.Piece_IDs, r._words, r._size, r._id, r.row, r.n_lines, r.held_out) == (1.5, "p", "w", "z", "i", "r", 7, "h") for r in kept[name])
+    pairs = lambda name: sorted((r.doc_id or 0, r.text or "") for r in kept[name])
+    assert pairs("toxicity") == sorted((i or 0, t or "") for i, t in full)
+    assert len(kept["line dedup"]) == len(full)
+    # the two texts of doc_id 1 both stay, the copies of 4 and of the row without id stay once, 5 is a near copy
+    assert pairs("minhash near-dedup") == sorted([(1, text("a")), (1, text("b")), (2, ""), (3, ""), (4, text("c")), (0, text("d")), (6, "  \n ")])
+    taken = sum(len(r.text.split()) for r in kept["source mix"])
+    assert abs(taken - sum(len((t or "").split()) for _, t in full)) <= 40 and all(r.n_chars == len(r.text) for r in kept["source mix"])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert len(last) == len(full) and all((r.n_pieces == 0) == (r.doc_id in (2, 3)) for r in last)
+
+
+def test_the_mix_is_what_it_says(spark):
+    """The texts that ``take`` gives hold the words that ``mix`` counts, as stretches of the documents."""
+    rng = random.Random(12)
+    rows = [(i, "  ".join(f"d{i}w{k}\n" for k in range(rng.randrange(1, 70))), rng.choice("abc")) for i in range(300)] + [(None, "x y z", "a")] * 40
+    docs = documents(spark, rows)
+    taken = mixing.mix(docs).groupBy("source").agg(F.sum("taken")).collect()
+    texts = mixing.take(docs).collect()
+    assert {r.source: r[1] for r in taken} == {s: sum(len(r.text.split()) for r in texts if r.source == s) for s in "abc"}
+    whole = {(r[0], r[1]) for r in rows}
+    by_id = {r[0]: r[1] for r in rows}
+    assert all(r.text in by_id[r.doc_id] for r in texts) and sum((r.doc_id, r.text) not in whole for r in texts) <= 9  # the ends of a run, and of a block
+
+
+def test_many_sources_and_rows_without_id(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, "w " * rng.randrange(1, 30), f"s{i % 40}") for i in range(400)] + [(None, "u v", "s1")] * 300
+    docs = documents(spark, rows)
+    key = lambda df: sorted((r.doc_id or -1, r.source, r.size, r.taken) for r in df.collect())
+    one = key(mixing.mix(docs, shard_words=100, most_shards=4))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert one == key(mixing.mix(docs.repartition(5), shard_words=100, most_shards=4)) and len(one) == len(rows)
+
+
+def test_embedding_recall(spark):
+    """Against all pairs of sf0.1."""
+    import duckdb
+
+    from resona.llm import oracle
+
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    want = {r[0]: r[1] for r in duck.sql(f"SELECT vec_id, n_links FROM ({oracle.OP5})").fetchall()}
+    got = {r.vec_id: r.n_links for r in registry.op5_embedding_dedup(spark, "/root/testdata/sf0.1").collect()}
+    assert got.keys() == want.keys() and sum(got.values()) >= 0.99 * sum(want.values()) and all(got[k] <= want[k] for k in want)
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without the subpackage and the pipeline, the entry imports and offers the other queries."""
     import shutil
