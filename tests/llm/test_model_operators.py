@@ -336,6 +336,21 @@ def test_many_sources_and_rows_without_id(spark, monkeypatch):
     assert one == key(mixing.mix(docs.repartition(5), shard_words=100, most_shards=4)) and len(one) == len(rows)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_match_union_find(spark, few):
+    from resona.llm.components import components
+
+    rng = random.Random(14)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(7, 7)]
+    root = {}
+    for a, b in edges:
+        if a != b:
+            both = root.get(a, {a}) | root.get(b, {b})
+            root.update({n: both for n in both})
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+    assert got == {n: min(s) for n, s in root.items()}
+
+
 def test_embedding_recall(spark):
     """Against all pairs of sf0.1."""
     import duckdb
