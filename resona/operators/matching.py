@@ -75,6 +75,14 @@ def leader_groups(names: DataFrame, column: str, edges: DataFrame, most_rounds:
     raise RuntimeError(f"leaders did not settle in {most_rounds} rounds")
 
 
+def resolve(df: DataFrame, key: str, least: float = 85) -> DataFrame:
+    """``df`` with each row's key replaced by the leader of its group of similar keys; null keys stay."""
+    names = df.select(key).where(F.col(key).isNotNull()).distinct()
+    edges = scored_pairs(near_pairs(names, names, key, least).where("a < b"), least)
+    groups = leader_groups(names, key, edges).select(F.col("name").alias("_name"), "leader")
+    return df.join(groups, df[key] == F.col("_name"), "left").withColumn(key, F.coalesce("leader", key)).drop("_name", "leader")
+
+
 CONFIDENCE = ([0, 70, 85, 95, 100], ["low", "medium", "high", "exact"])
 
 

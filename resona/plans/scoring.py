@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from resona.functions import numeric as N
 from resona.functions import text as T
-from resona.operators import catalog, scores, stats, tables
+from resona.operators import catalog, matching, scores, stats, tables
 from resona.plans.query import query
 
 _QUALITY = """round((CAST(danceability IS NOT NULL AS INT) + CAST(energy IS NOT NULL AS INT) + CAST(valence IS NOT NULL AS INT) + CAST(acousticness IS NOT NULL AS INT) + CAST(instrumentalness IS NOT NULL AS INT)) / 5.0 * 40
@@ -262,13 +262,15 @@ def val19_source_contribution(tracks):
     return tracks.groupBy("source_dataset").agg(F.min("source_priority").alias("priority"), F.count("*").alias("rows"), F.round((F.count("energy") + F.count("danceability")) * 50 / F.count("*"), 6).alias("completeness"))
 
 
-def flagship(tracks):
-    """Resolved, repaired, normalised and scored master catalog.
+def flagship(tracks, least=None):
+    """Resolved, repaired, normalised and scored master catalog; ``least`` also merges composite keys at that ratio.
 
     The masters are written once, and once more with their popularity, so that the global and
     genre figures read them and not the tracks.
     """
     keyed = tracks.withColumn("k", T.composite_key(F.col("artist_name"), F.col("track_name")))
+    if least is not None:
+        keyed = matching.resolve(keyed, "k", least)
     masters = catalog.with_master_id(catalog.merge_groups(keyed, "k", ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"]), "k")
     normalized = tables.settled(catalog.platform_popularity(catalog.repair_platforms(tables.settled(masters))))
     return scores.with_ar_scores(catalog.fill_popularity(normalized).withColumn("genre", catalog.infer_genre()))

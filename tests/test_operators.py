@@ -215,6 +215,19 @@ def test_likely_pairs_match_brute_force(spark):
     assert got == want and any(s for s, _ in want.values())
 
 
+def test_integration_merges_spelling_variants(spark, sf_dir):
+    from resona.plans import scoring
+    from resona.sources.fixtures import view
+
+    tracks = view(spark, sf_dir, "tracks").limit(40).withColumn("n", F.pmod(F.hash("rec_id"), F.lit(4)))
+    names = F.array(*[F.lit(x) for x in ("Midnight Riverside", "Midnight Riversides", "Midnigt Riverside", "Quite Another Song")])
+    tracks = tracks.withColumns({"track_name": F.element_at(names, F.col("n") + 1), "artist_name": F.lit("The Gleam")}).drop("n")
+    tracks = spark.createDataFrame(tracks.collect(), tracks.schema)
+    exact, fuzzy_ = scoring.flagship(tracks), scoring.flagship(tracks, least=85)
+    assert exact.count() == tracks.select("track_name").distinct().count() == 4
+    assert fuzzy_.count() == 2 and fuzzy_.agg(F.sum("record_count")).first()[0] == tracks.count()
+
+
 def test_cosine_neighbours_of_some(spark):
     import numpy as np
 
