@@ -220,6 +220,7 @@ def _case(group) -> str:
 _SOUND = ", ".join(_case(g) for g in insights.SOUND_RULES)
 _STRENGTH = ", ".join(_case(g) for g in insights.STRENGTH_RULES)
 _ACTIONS = ", ".join(_case(g) for g in insights.ACTION_RULES)
+_FOCUS = ", ".join(_case(g) for g in insights.FOCUS_RULES)
 
 
 @query("songs", f"""
@@ -235,7 +236,19 @@ def ins1_ins2_ins3_ins5_song_texts(songs):
         F.concat(actions[0], F.lit("; "), F.array_join(F.slice(actions, 2, 7), "; ")).alias("actions"))
 
 
-@query("songs")
+def _first_best(fits: dict[str, str]) -> str:
+    """SQL for the name of the largest score, the first of equals."""
+    most = f"greatest({', '.join(fits.values())})"
+    return "CASE " + " ".join(f"WHEN {fit} = {most} THEN '{n}'" for n, fit in fits.items()) + " END"
+
+
+_LINEAR = {"tiktok": "least(danceability * 40 + energy * 35 + valence * 25, 100.0)", "spotify": "least(valence * 30 + energy * 25 + audio_appeal * 0.45, 100.0)", "youtube": "least(energy * 35 + valence * 30 + (1 - instrumentalness) * 35, 100.0)"}
+
+
+@query("songs", f"""
+SELECT rec_id, {_first_best({n: _fit(p, 2) for n, p in scores.AGE_PROFILES.items()})} AS audience, {_first_best(_LINEAR)} AS top_platform, {_first_best({n: _fit(p, 2) for n, p in scores.PLATFORM_PROFILES.items()})} AS best_profile,
+  CASE WHEN len(list_filter([{_SOUND}], lambda x: x IS NOT NULL)) = 0 THEN 'balanced' ELSE array_to_string(list_filter([{_SOUND}], lambda x: x IS NOT NULL)[1:4], ', ') END AS sound,
+  CAST(1 + len(list_filter([{_ACTIONS}], lambda x: x IS NOT NULL)) AS INT) AS n_actions, array_to_string(list_filter([{_FOCUS}], lambda x: x IS NOT NULL), ',') AS focus FROM {_APPEAL}""")
 def ins6_ins9_ins15_ins16_song_insights(songs):
     found = insights.song_insights(_ready(songs))
     return found.select("rec_id", "audience", "top_platform", "best_profile", F.col("insights.sound").alias("sound"), F.size("insights.actions").alias("n_actions"), F.array_join("insights.focus", ",").alias("focus"))

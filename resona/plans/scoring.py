@@ -18,9 +18,9 @@ def _mean(*terms: str) -> str:
     return f"(({' + '.join(f'coalesce({t}, 0)' for t in terms)}) / nullif({' + '.join(f'CAST(({t}) IS NOT NULL AS INT)' for t in terms)}, 0))"
 
 
-def _fit(profile: dict) -> str:
+def _fit(profile: dict, digits: int = 4) -> str:
     near = [f"CASE WHEN {f} IS NOT NULL THEN greatest(0.0, 1 - abs({f} - {float(v)}) / {100.0 if f == 'tempo' else 1.0}) END" for f, v in profile.items() if f != "weight"]
-    return f"round(coalesce({_mean(*near)} * {float(profile.get('weight', 1.0))} * 100, 0), 4)"
+    return f"round(coalesce({_mean(*near)} * {float(profile.get('weight', 1.0))} * 100, 0), {digits})"
 
 
 def _align(ranges: dict) -> str:
