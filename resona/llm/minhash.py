@@ -187,14 +187,15 @@ def _meet(members: DataFrame, percent: int, block: int, tasks: int) -> DataFrame
         group = group.sort_values(["bucket", "p", "q", "second"], kind="stable")
         node, comp, n = (group[c].to_numpy() for c in ("node", "comp", "n"))
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        top = np.arange(len(group))
+        names, own = np.unique(node, return_inverse=True)  # a class is in many of the task's buckets, and is tied once
+        top = np.arange(len(names))
         for left, right in kernels.pairs_within(group[["bucket", "p", "q"]].to_numpy(), (group["p"] == group["q"]).to_numpy(), group["second"].to_numpy()):
-            live = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])) & (top[left] != top[right])
+            live = (comp[left] != comp[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])) & (top[own[left]] != top[own[right]])
             left, right = left[live], right[live]
             near = (sketch[left] == sketch[right]).sum(1) >= AGREE * sketch.shape[1]
-            top = kernels.union(top, left[near], right[near])
+            top = kernels.union(top, own[left[near]], own[right[near]])
         tied = top != np.arange(len(top))
-        return pd.DataFrame({"a": node[top[tied]], "b": node[tied]})
+        return pd.DataFrame({"a": names[top[tied]], "b": names[tied]})
 
     placed = _blocked(members, "bucket", block, tasks)
     return placed.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, collecti
     placed = shared.join(stars, "node", "left").select("bucket", "node", "many", comp)
     open_ = cut(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"))
     left = cut(placed.join(open_, "bucket").join(brief.select("node", "n", "sketch"), "node"))
-    tasks = max(1, left.count() // 8192)
+    tasks = max(1, left.count() // 32768)
     more = _meet(left.where(F.col("many") <= block).drop("many"), percent, sketch_block, tasks)
     large = left.where(F.col("many") > block).select("node", "comp", "n", "sketch").distinct()
     if not large.isEmpty():
