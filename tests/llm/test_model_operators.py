@@ -142,6 +142,15 @@ def test_pieces_match_brute_force(vocabulary):
     assert [t.decode() for t in pieces.decode_ids(ids, counts, vocabulary)] == [t or "" for t in texts]
 
 
+@pytest.mark.parametrize("scan_chars", [5, 64, 700])
+def test_chunks_end_anywhere(vocabulary, scan_chars):
+    rng = random.Random(15)
+    texts = ["", None, "日本語テキスト" * 60, "x" * 900 + " y", "   " * 90, *["".join(rng.choice("abcdefgh  日é😀") for _ in range(rng.randrange(3000))) for _ in range(12)]]
+    whole, chunked = (pieces.encode_texts(texts, vocabulary, "max_plus", n) for n in (1 << 40, scan_chars))
+    assert np.array_equal(whole[0], chunked[0]) and np.array_equal(whole[1], chunked[1])
+    assert pieces.n_chunks(texts, vocabulary, "max_plus", scan_chars).max() > 1
+
+
 def test_merges_are_the_library_s(spark, sf_dir, vocabulary):
     from sentencepiece import SentencePieceProcessor
 
