@@ -120,7 +120,7 @@ def fit(features: np.ndarray, states: np.ndarray, lengths: np.ndarray, gaps: np.
             hidden[0, 0] += (k[k > 0] - 1).sum()
         previous = np.where(gaps > 0, 0, previous)
     seen = np.bincount(previous * 2 + states, minlength=4).reshape(2, 2) + hidden
-    total = max(1.0, seen.sum())
+    total = max(1, len(states))  # the penalty is weighed against listed positions: ordinary ones are many and alike
     weights, moves = np.zeros(features.shape[1]), np.zeros((2, 2))
     first, second = np.zeros(weights.size + 4), np.zeros(weights.size + 4)
     for k in range(1, steps + 1):
