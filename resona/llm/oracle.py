@@ -134,3 +134,91 @@ SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS
        sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM hexed LEFT JOIN kept USING (doc_id)
 """
+
+
+def _op11() -> str:
+    """Lloyd rounds as unrolled tables: a(r) assigns every part by the entries e(r), e(r + 1) has the means."""
+    apart = "list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(7):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, arg_min(e.entry, {apart} * 16 + e.entry) AS entry, min({apart}) AS error
+  FROM parts p JOIN e{r} e ON p.part = e.part GROUP BY p.vec_id, p.part)""")
+        if r < 6:
+            steps.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT part, entry, list(mean ORDER BY k) AS v FROM (
+    SELECT part, entry, k, CAST(sum(x) AS BIGINT) // count(*) - CASE WHEN sum(x) < 0 AND sum(x) % count(*) <> 0 THEN 1 ELSE 0 END AS mean
+    FROM (SELECT a.part, a.entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS k FROM a{r} a JOIN parts p ON a.vec_id = p.vec_id AND a.part = p.part)
+    GROUP BY part, entry, k) GROUP BY part, entry),
+e{r + 1} AS MATERIALIZED (SELECT e.part, e.entry, coalesce(m.v, e.v) AS v FROM e{r} e LEFT JOIN m{r} m ON e.part = m.part AND e.entry = m.entry)""")
+    return f"""
+WITH valid AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS v FROM (SELECT vec_id, v, unnest(range(8)) AS part FROM valid)),
+first16 AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM valid),
+e0 AS MATERIALIZED (SELECT part, entry, v FROM parts JOIN first16 USING (vec_id) WHERE entry < 16),
+{",".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+book AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS k FROM e6))
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded c JOIN valid v ON c.vec_id = v.vec_id CROSS JOIN book
+"""
+
+
+OP11 = _op11()
+
+OP12 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM words GROUP BY text),
+flags AS (
+  SELECT w.doc_id, part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * len(w.text),
+          'D': regexp_matches(w.text, '[#$%&*|]'), 'E': coalesce(w.doc_id > first_id, false)} AS f
+  FROM words w JOIN firsts USING (text)),
+marked AS (
+  SELECT part, [f.A, f.B, f.C, f.D, f.E] AS f, l.quality = 1 AS good, l.toxic = 1 AS toxic FROM flags LEFT JOIN labels l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS letter, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS before
+          FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+counted AS (SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM marked GROUP BY part, f),
+judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, f[letter] AS fails, len(list_filter(before, lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS many
+  FROM counted, steps),
+told AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, letter,
+         coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails AND many = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM told
+"""
+
+OP13 = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+placed AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT doc_id, i, p.n, item_id FROM placed p JOIN windows w ON p.s = w.s AND p.n = w.n),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import embed_dedup, line_dedup, minhash, mixing, oracle, pieces, quality, secrets, substrings, topk, toxicity
+from resona.llm import audit, codes, decontam, embed_dedup, line_dedup, minhash, mixing, oracle, pieces, quality, secrets, substrings, topk, toxicity
 from resona.llm.tables import table
 
 
@@ -84,6 +84,20 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, _ = codes.compress(table(spark, sf_dir, "embeddings"), rounds=6)
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -96,6 +110,9 @@ def queries():
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_source_mix": op10_source_mix,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -107,4 +124,7 @@ def oracle_sql():
         "op7_line_dedup": oracle.OP7,
         "op8_minhash_dedup": oracle.OP8,
         "op10_source_mix": oracle.OP10,
+        "op11_vector_codes": oracle.OP11,
+        "op12_filter_audit": oracle.OP12,
+        "op13_decontamination": oracle.OP13,
     }
