@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resona.operators.quantiles import group_quantiles, quantile_row
 from resona.operators.scores import PLATFORMS, data_quality
+from resona.operators.tables import settled
 
 # Default audiences by genre word, in order.
 GENRE_AUDIENCES = {
@@ -29,7 +31,7 @@ PLATFORM_DEFAULTS = {"spotify": 45.0, "youtube": 35.0, "tiktok": 55.0}
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Gaps take the column's exact median."""
-    row = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    row = quantile_row(df, columns, (0.5,)).select(*[F.col(c)[0].alias(f"_m_{c}") for c in columns])
     return df.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
@@ -39,10 +41,14 @@ def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
-def fill_by_group(df: DataFrame, group: str, columns: Sequence[str], how=F.median) -> DataFrame:
-    """Gaps take their group's figure, then the overall one. Both come from the original values."""
-    groups = df.groupBy(group).agg(*[how(c).alias(f"_g_{c}") for c in columns]).withColumnRenamed(group, "_group")
-    row = df.agg(*[how(c).alias(f"_a_{c}") for c in columns])
+def fill_by_group(df: DataFrame, group: str, columns: Sequence[str], how=None) -> DataFrame:
+    """Gaps take their group's figure (the exact median, or the aggregate ``how``), then the overall one. Both come from the original values."""
+    if how is None:
+        groups = group_quantiles(df, group, columns, (0.5,)).select(F.col(group).alias("_group"), *[F.col(c)[0].alias(f"_g_{c}") for c in columns])
+        row = quantile_row(df, columns, (0.5,)).select(*[F.col(c)[0].alias(f"_a_{c}") for c in columns])
+    else:
+        groups = df.groupBy(group).agg(*[how(c).alias(f"_g_{c}") for c in columns]).withColumnRenamed(group, "_group")
+        row = df.agg(*[how(c).alias(f"_a_{c}") for c in columns])
     out = df.join(groups, df[group] == F.col("_group"), "left").crossJoin(F.broadcast(row))
     return out.withColumns({c: F.coalesce(c, f"_g_{c}", f"_a_{c}") for c in columns}).drop("_group", *[f"_g_{c}" for c in columns], *[f"_a_{c}" for c in columns])
 
@@ -50,7 +56,7 @@ def fill_by_group(df: DataFrame, group: str, columns: Sequence[str], how=F.media
 def replace_invalid(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Values outside [low, high] take the median of those inside."""
     valid = F.col(column).between(low, high)
-    row = df.agg(F.median(F.when(valid, F.col(column))).alias("_m"))
+    row = quantile_row(df.where(valid), [column], (0.5,)).select(F.col(column)[0].alias("_m"))
     return df.crossJoin(F.broadcast(row)).withColumn(column, F.when(valid, F.col(column)).otherwise(F.col("_m"))).drop("_m")
 
 
@@ -83,9 +89,8 @@ def platform_popularity(df: DataFrame) -> DataFrame:
     """Adds normalized_popularity from avg_popularity by platform: tiktok before youtube before spotify; null elsewhere."""
     value = F.col("avg_popularity").cast("double")
     log = F.log10(F.when(value == 0, 1.0).otherwise(value))
-    row = df.agg(
-        F.percentile(F.when(F.col("youtube"), log), F.lit(0.01)).alias("_y1"), F.percentile(F.when(F.col("youtube"), log), F.lit(0.99)).alias("_y99"),
-        F.min(F.when(F.col("tiktok"), value)).alias("_t0"), F.max(F.when(F.col("tiktok"), value)).alias("_t1"))
+    ends = quantile_row(df.where("youtube").select(log.alias("log")), ["log"], (0.01, 0.99)).select(F.col("log")[0].alias("_y1"), F.col("log")[1].alias("_y99"))
+    row = df.agg(F.min(F.when(F.col("tiktok"), value)).alias("_t0"), F.max(F.when(F.col("tiktok"), value)).alias("_t1")).crossJoin(F.broadcast(ends))
     score = (
         F.when(value.isNull(), F.lit(None).cast("double"))
         .when(F.col("tiktok"), F.when(F.col("_t1") <= 100, value).otherwise((value - F.col("_t0")) / (F.col("_t1") - F.col("_t0")) * 100))
@@ -131,21 +136,63 @@ def engagement_popularity(df: DataFrame, weights: Mapping[str, float]) -> DataFr
     return df.crossJoin(F.broadcast(row)).withColumn("engagement_popularity", reduce(lambda a, b: a + b, scaled) * 100).drop(*[f"_{n}_{c}" for c in weights for n in ("lo", "hi")])
 
 
-def merge_groups(df: DataFrame, group: str, features: Sequence[str], base: Sequence[str] = ("track_name", "artist_name")) -> DataFrame:
-    """One master row per group in a single shuffle: base fields by priority, median features, popularity, modal known genre, sources and flags."""
+#: rows up to which a group's medians and modes are taken inside the group
+MOST_GATHERED = 10_000
+
+
+def _median_in(rows: Column, field: str) -> Column:
+    """The exact median of a field of an array of structs; null without values."""
+    values = F.array_sort(F.filter(F.transform(rows, lambda r: r[field].cast("double")), lambda x: x.isNotNull()))
+    n = F.size(values)
+    low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, F.when(low == high, low).otherwise((low + high) / 2))
+
+
+def _mode_in(rows: Column, field: str) -> Column:
+    """The most frequent known value of a field of an array of structs, the smallest of equals; 'unknown' without one."""
+    values = F.filter(F.transform(rows, lambda r: r[field]), lambda x: x.isNotNull() & (x != "unknown"))
+    counted = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("minus"), v.alias("v")))
+    return F.coalesce(F.get(F.array_sort(counted), F.lit(0))["v"], F.lit("unknown"))
+
+
+def _merged(df: DataFrame, group: str, aggregates: Sequence[Column], features: Sequence[str], few: int) -> DataFrame:
+    """Per group: ``aggregates``, the medians of its features and its modal known genre.
+
+    A group of at most ``few`` rows is gathered in one buffer; larger ones, at most one
+    in ``few`` rows, have their medians selected and their genres counted.
+    """
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(group).agg(*aggregates, F.collect_list(F.struct(*features, "genre")).alias("_rows"))
+        figures = {f: _median_in(F.col("_rows"), f) for f in features} | {"genre": _mode_in(F.col("_rows"), "genre")}
+        return found.withColumns(figures).drop("_rows")
+
+    large = settled(df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(group))
+    if large.isEmpty():
+        return gathered(df)
+    hot = df.join(large, group, "left_semi")
+    medians = group_quantiles(hot, group, features, (0.5,)).select(group, *[F.col(f)[0].alias(f) for f in features])
+    counted = hot.where("genre <> 'unknown'").groupBy(group, "genre").agg(F.count("*").alias("_n"))
+    genres = counted.groupBy(group).agg(F.min_by("genre", F.struct(-F.col("_n"), "genre")).alias("genre"))
+    found = hot.groupBy(group).agg(*aggregates).join(medians, group, "left").join(genres, group, "left")
+    return gathered(df.join(large, group, "left_anti")).unionByName(found.withColumn("genre", F.coalesce("genre", F.lit("unknown"))))
+
+
+def merge_groups(df: DataFrame, group: str, features: Sequence[str], base: Sequence[str] = ("track_name", "artist_name"), few: int = MOST_GATHERED) -> DataFrame:
+    """One master row per group: base fields by priority, median features, popularity, modal known genre, sources and flags. Rows without a group are left out."""
     order = F.struct("source_priority", "source_dataset", "rec_id")
-    return df.groupBy(group).agg(
-        *[F.min_by(c, order).alias(c) for c in base],
-        F.min_by("source_dataset", order).alias("primary_source"),
+    aggregates = [
+        F.min(F.struct(order.alias("order"), *base, "source_dataset")).alias("first"),
         F.count("*").alias("record_count"),
-        F.size(F.collect_set("source_dataset")).cast("long").alias("source_count"),  # a distinct count would aggregate twice as often
         F.sort_array(F.collect_set("source_dataset")).alias("all_sources"),
-        *[F.median(f).alias(f) for f in features],
         F.avg("popularity_score").alias("avg_popularity"),
         F.max("popularity_score").alias("max_popularity"),
-        F.coalesce(F.mode(F.when(F.col("genre") != "unknown", F.col("genre")), True), F.lit("unknown")).alias("genre"),
-        *[F.bool_or(F.col("source_dataset").contains(p)).alias(p) for p in PLATFORMS],
-    )
+    ]
+    met = _merged(df.where(F.col(group).isNotNull()), group, aggregates, features, few)
+    return met.select(
+        group, *[F.col("first")[c].alias(c) for c in base], F.col("first.source_dataset").alias("primary_source"), "record_count",
+        F.size("all_sources").cast("long").alias("source_count"), "all_sources", *features, "avg_popularity", "max_popularity", "genre",
+        *[F.expr(f"exists(all_sources, s -> contains(s, '{p}'))").alias(p) for p in PLATFORMS])
 
 
 def with_master_id(masters: DataFrame, group: str) -> DataFrame:
@@ -158,11 +205,11 @@ def id_mapping(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(F.sha2(F.col(group), 256).alias("master_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("source_dataset").alias("source"), F.col("rec_id").alias("record")))).alias("records"))
 
 
-def merge_duplicates(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+def merge_duplicates(df: DataFrame, keys: Sequence[str], features: Sequence[str], few: int = MOST_GATHERED) -> DataFrame:
     """Rows with equal keys merged around the best-scored one, and scored again."""
-    best = F.max_by(F.struct("rec_id", "source_dataset"), F.struct(data_quality(), "rec_id"))
-    out = df.groupBy(*keys).agg(
-        best.alias("best"), F.count("*").alias("merged"), *[F.median(f).alias(f) for f in features], F.max("normalized_popularity").alias("normalized_popularity"),
-        F.coalesce(F.mode(F.when(F.col("genre") != "unknown", F.col("genre")), True), F.lit("unknown")).alias("genre"),
-        F.max("source_count").alias("source_count"), *[F.bool_or(p).alias(p) for p in PLATFORMS])
+    aggregates = [
+        F.max_by(F.struct("rec_id", "source_dataset"), F.struct(data_quality(), "rec_id")).alias("best"), F.count("*").alias("merged"), F.max("normalized_popularity").alias("normalized_popularity"),
+        F.max("source_count").alias("source_count"), *[F.bool_or(p).alias(p) for p in PLATFORMS]]
+    out = _merged(df.withColumn("_key", F.struct(*keys)), "_key", aggregates, features, few)
+    out = out.select("_key.*", *[c for c in out.columns if c != "_key"])
     return out.withColumn("rec_id", F.col("best.rec_id")).drop("best").withColumn("data_quality_score", data_quality())

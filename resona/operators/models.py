@@ -14,6 +14,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resona.operators.quantiles import quantile_row
+
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds <c>_scaled: mean 0 and population deviation 1; nulls become 0."""
@@ -24,7 +26,7 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds <c>_scaled: distance from the median in interquartile ranges."""
-    row = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
+    row = quantile_row(df, columns, (0.25, 0.5, 0.75)).select(*[F.col(c).alias(f"_q_{c}") for c in columns])
     scaled = {f"{c}_scaled": (F.col(c) - F.col(f"_q_{c}")[1]) / F.nullif(F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0], F.lit(0.0)) for c in columns}
     return df.crossJoin(F.broadcast(row)).withColumns(scaled).drop(*[f"_q_{c}" for c in columns])
 

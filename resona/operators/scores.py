@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resona.functions.numeric import clip, cut_bins, min_max, row_mean
+from resona.operators.quantiles import quantile_row
 
 # Ideal features, scales and weights of the profiles.
 AGE_PROFILES = {
@@ -107,7 +108,7 @@ def market_fit(trends: Mapping[str, tuple[float, Mapping[str, float]]] = GENRE_T
 
 def with_uniqueness(df: DataFrame, features: Sequence[str] = UNIQUE_FEATURES) -> DataFrame:
     """Adds ``uniqueness``: bands of the distance from the global medians, which come as one broadcast row."""
-    medians = df.agg(*[F.median(f).alias(f"_m_{f}") for f in features])
+    medians = quantile_row(df, features, (0.5,)).select(*[F.col(f)[0].alias(f"_m_{f}") for f in features])
 
     def band(f: str) -> Column:
         d = F.abs(F.col(f) - F.col(f"_m_{f}"))

@@ -9,7 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resona.operators.tables import top_per_group, unpivot
+from resona.operators.quantiles import quantiles
+from resona.operators.tables import settled, top_per_group, unpivot
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -38,18 +39,19 @@ def pivot_mean(df: DataFrame, keys: Sequence[str], column: str, values: Sequence
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per feature: count, mean, std, min, quartiles, max, skewness, excess kurtosis, missing."""
-    return unpivot(df, [], columns).groupBy("feature").agg(
+    """Per feature: count, mean, std, min, quartiles, max, skewness, excess kurtosis, missing. The quartiles come by selection, a row per column."""
+    quarters = quantiles(df, columns, (0.25, 0.5, 0.75)).select("feature", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))])
+    moments = unpivot(df, [], columns).groupBy("feature").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("least"),
-        *[F.percentile("value", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
         F.max("value").alias("most"),
         F.skewness("value").alias("skew"),
         F.kurtosis("value").alias("kurt"),
         F.count_if(F.col("value").isNull()).alias("missing"),
     )
+    return moments.join(F.broadcast(quarters), "feature", "left").select("feature", "n", "mean", "std", "least", "p25", "p50", "p75", "most", "skew", "kurt", "missing")
 
 
 def correlations(df: DataFrame, group: Sequence[str], features: Sequence[str], target: str, least: int = 10) -> DataFrame:
@@ -102,8 +104,7 @@ def percent_rank_nonzero(df: DataFrame, key: str, column: str) -> DataFrame:
     """
     valued = df.where(F.col(column) > 0)
     counts = valued.groupBy(column).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = settled(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("n").alias("size"), F.min(column).alias("low"))
     before = totals.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("size").over(Window.partitionBy()))
     run = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +126,7 @@ def range_violations(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows outside the quartiles by 1.5 interquartile ranges, per feature."""
     long = unpivot(df, [], columns).where(F.col("value").isNotNull())
-    q = long.groupBy("feature").agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    q = quantiles(df, columns, (0.25, 0.75)).select("feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * 1.5
     outside = (F.col("value") < F.col("q1") - spread) | (F.col("value") > F.col("q3") + spread)
     out = long.join(F.broadcast(q), "feature").groupBy("feature").agg(F.count_if(outside).alias("outliers"), F.count("*").alias("n"))

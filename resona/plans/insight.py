@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from resona.functions import fuzzy
 from resona.functions import text as T
-from resona.operators import audio, insights, matching, models, scores, stats, tables
+from resona.operators import audio, insights, matching, models, quantiles, scores, stats, tables
 from resona.plans.query import query
 from resona.plans.scoring import _fit
 from resona.streaming import status
@@ -122,7 +122,7 @@ def ml27_success_tiers(songs):
 WITH q AS (SELECT quantile_cont(avg_popularity, 0.8) AS cut FROM songs)
 SELECT platform, count(*) AS n, round(avg(energy), 6) AS energy, round(median(valence), 6) AS valence, round(stddev_samp(tempo), 6) AS tempo_spread FROM songs, q WHERE avg_popularity >= cut GROUP BY 1 HAVING count(*) > 5""")
 def ml28_success_patterns(songs):
-    cut = songs.agg(F.percentile("avg_popularity", F.lit(0.8)).alias("cut"))
+    cut = quantiles.quantile_row(songs, ["avg_popularity"], (0.8,)).select(F.col("avg_popularity")[0].alias("cut"))
     top = songs.crossJoin(F.broadcast(cut)).where("avg_popularity >= cut")
     return top.groupBy("platform").agg(F.count("*").alias("n"), F.round(F.avg("energy"), 6).alias("energy"), F.round(F.median("valence"), 6).alias("valence"), F.round(F.stddev_samp("tempo"), 6).alias("tempo_spread")).where("n > 5")
 

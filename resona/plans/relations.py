@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from resona.operators import stats, tables
+from resona.operators import quantiles, stats, tables
 from resona.plans.query import query
 
 FEATURES = ["danceability", "energy", "valence", "acousticness", "speechiness"]
@@ -44,7 +44,7 @@ WITH a AS (SELECT artist_name, avg(energy) AS m FROM songs GROUP BY 1)
 SELECT rec_id FROM songs WHERE artist_name IN (SELECT artist_name FROM a WHERE m >= (SELECT quantile_cont(m, 0.8) FROM a))""")
 def jn5_jn6_top_quintile_members(songs):
     means = songs.groupBy("artist_name").agg(F.avg("energy").alias("m"))
-    cut = means.agg(F.percentile("m", F.lit(0.8)).alias("q"))
+    cut = quantiles.quantile_row(means, ["m"], (0.8,)).select(F.col("m")[0].alias("q"))
     top = means.crossJoin(F.broadcast(cut)).where("m >= q").select("artist_name")
     return songs.join(top, "artist_name", "left_semi").select("rec_id")
 
@@ -198,7 +198,8 @@ WITH g AS (SELECT genre, avg(energy) AS mean FROM songs GROUP BY 1), a AS (SELEC
 SELECT rec_id, round(coalesce(energy, mean), 6) AS energy, round((tempo - lo) / (hi - lo), 6) AS tempo_scaled, round(abs(valence - mid), 6) AS off_median FROM songs JOIN g USING (genre), a""")
 def win6_win7_group_figures(songs):
     groups = songs.groupBy("genre").agg(F.avg("energy").alias("mean"))
-    row = songs.agg(F.min("tempo").alias("lo"), F.max("tempo").alias("hi"), F.median("valence").alias("mid"))
+    middle = quantiles.quantile_row(songs, ["valence"], (0.5,)).select(F.col("valence")[0].alias("mid"))
+    row = songs.agg(F.min("tempo").alias("lo"), F.max("tempo").alias("hi")).crossJoin(F.broadcast(middle))
     return songs.join(groups, "genre").crossJoin(F.broadcast(row)).select(
         "rec_id", F.round(F.coalesce("energy", "mean"), 6).alias("energy"), F.round((F.col("tempo") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("tempo_scaled"), F.round(F.abs(F.col("valence") - F.col("mid")), 6).alias("off_median"))
 

@@ -271,6 +271,7 @@ def flagship(tracks, least=None):
     keyed = tracks.withColumn("k", T.composite_key(F.col("artist_name"), F.col("track_name")))
     if least is not None:
         keyed = matching.resolve(keyed, "k", least)
+    keyed = tables.settled(keyed)  # cleaning the names costs more than all that follows
     masters = catalog.with_master_id(catalog.merge_groups(keyed, "k", ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"]), "k")
     normalized = tables.settled(catalog.platform_popularity(catalog.repair_platforms(tables.settled(masters))))
     return scores.with_ar_scores(catalog.fill_popularity(normalized).withColumn("genre", catalog.infer_genre()))
