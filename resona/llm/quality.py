@@ -119,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
     rows = sample.select("text", "y").mapInArrow(gather, "y int, x binary").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, width)
-    counts = rows.pop("x").map(len).to_numpy() // (4 * width)
+    if rows["y"].nunique() < 2:  # the labelled rows are not among the documents
+        return Model(None, None, sizes.get(1, 0) / sum(sizes.values()))
+    counts = np.array([len(x) for x in rows.pop("x")], np.int64) // (4 * width)
     first = np.cumsum(counts) - counts
     bad = np.repeat(rows["y"].to_numpy() == 0, counts)
     states = bad.copy()

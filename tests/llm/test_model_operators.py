@@ -37,6 +37,9 @@ def test_classifier_edges(spark, sf_dir, label):
     assert module.score(docs.limit(0), model).count() == 0
     none = module.classify(docs, labels.limit(0)).collect()
     assert len({r.score for r in none}) == 1
+    assert module.classify(docs.limit(0), labels).count() == 0
+    far = documents(spark, [(10**9 + i, f"calm river {i}") for i in range(3)])  # no labelled row among the documents
+    assert len({r.score for r in module.classify(far, labels).collect()}) == 1
     spread = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, None, None)], labels.schema))
     assert module.classify(docs, spread).count() == len(odd_rows())
 
