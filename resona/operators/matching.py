@@ -6,6 +6,7 @@ copies of a name never multiply and none is lost. Scores run on the surviving pa
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from resona.functions.fuzzy import all_scores, edit_ratio, likely_match, partial_ratio, ratio, token_sort_ratio, weighted
 from resona.functions.numeric import cut_bins
+from resona.operators.catalog import merge_duplicates
 from resona.operators.tables import settled, top_per_group
 
 
@@ -52,27 +54,74 @@ def scored_pairs(pairs: DataFrame, least: float, metric: str = "ratio") -> DataF
     return pairs.withColumn("score", score).where(F.col("score") >= least)
 
 
-def leader_groups(names: DataFrame, column: str, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _leads_in_one_task(known: DataFrame) -> DataFrame:
+    """(node, leads) of the open names by their order, from known (node, on, neg, leads: of ``on``, null while open). Its size has been checked."""
+    import pandas as pd
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, bool] = {}
+        for node, own in group.sort_values("node").groupby("node", sort=True):
+            found[node] = all((found[on] if state is None else bool(state)) != neg for on, neg, state in zip(own["on"], own["neg"], own["leads"], strict=True))
+        return pd.DataFrame({"node": list(found), "leads": list(found.values())})
+
+    return known.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(decide, "node string, leads boolean")
+
+
+def leaders(names: DataFrame, edges: DataFrame, few: int = 500_000) -> DataFrame:
+    """(node, leads) for every name of ``names`` (node): a name leads unless an earlier neighbour in ``edges`` (b before a) does.
+
+    A name that waits for just one other takes that one's state or its opposite, so stretches of
+    such names are pointer chains: they are contracted by doubling, in about log2(longest) joins, and the
+    names that wait for several then wait for the heads of the chains alone. What two opposite
+    states of one head demand can't be, and is decided at once. Each turn decides
+    the first name left at least, so every graph settles. Up to ``few`` open edges are decided in one task.
+    """
+    deps = settled(edges.select(F.col("a").alias("node"), F.col("b").alias("on"), F.lit(True).alias("neg")).distinct())
+    decided = settled(names.join(deps.select("node").distinct(), "node", "left_anti").select("node", F.lit(True).alias("leads")))
+    chains = []  # names that follow one head, oldest first
+    while not deps.isEmpty():
+        if deps.count() <= few:
+            known = deps.join(decided.withColumnRenamed("node", "on"), "on", "left").select("node", "on", "neg", "leads")
+            decided = settled(decided.unionByName(_leads_in_one_task(known)))
+            break
+        single = deps.groupBy("node").agg(F.count("*").alias("n"), F.first("on").alias("on"), F.first("neg").alias("neg")).where("n = 1").drop("n")
+        single = settled(single)
+        while True:  # pointers double
+            ahead = single.select(F.col("node").alias("on"), F.col("on").alias("on2"), F.col("neg").alias("neg2"))
+            met = settled(single.join(ahead, "on", "left").select("node", F.coalesce("on2", "on").alias("on"), (F.col("neg") != F.coalesce("neg2", F.lit(False))).alias("neg"), F.col("on2").isNotNull().alias("moved")))
+            single = met.drop("moved")
+            if met.where("moved").isEmpty():
+                break
+        chains.append(single)
+        heads = single.select(F.col("node").alias("on"), F.col("on").alias("on2"), F.col("neg").alias("neg2"))
+        many = deps.join(single.select("node"), "node", "left_anti").join(heads, "on", "left")
+        many = many.select("node", F.coalesce("on2", "on").alias("on"), (F.col("neg") != F.coalesce("neg2", F.lit(False))).alias("neg")).distinct()
+        known = settled(many.join(decided.withColumnRenamed("node", "on"), "on", "left"))
+        opposed = known.groupBy("node", "on").agg(F.count("*").alias("n")).where("n = 2").select("node")
+        never = known.where(F.col("leads") == F.col("neg")).select("node").union(opposed).distinct()
+        live = known.join(never, "node", "left_anti")
+        waiting = live.where("leads IS NULL").select("node", "on", "neg")
+        free = live.select("node").distinct().join(waiting.select("node").distinct(), "node", "left_anti")
+        decided = settled(decided.unionByName(never.select("node", F.lit(False).alias("leads"))).unionByName(free.select("node", F.lit(True).alias("leads"))))
+        deps = settled(waiting)
+    for single in reversed(chains):
+        heads = decided.select(F.col("node").alias("on"), "leads")
+        decided = settled(decided.unionByName(single.join(heads, "on").select("node", (F.col("leads") != F.col("neg")).alias("leads"))))
+    return decided
+
+
+def leader_groups(names: DataFrame, column: str, edges: DataFrame, few: int = 500_000) -> DataFrame:
     """(name, leader): names in order; a name that no earlier leader took leads, and takes its unclaimed neighbours.
 
-    Rounds: every undecided name without an undecided earlier neighbour leads, and its
-    undecided neighbours join their earliest leader. This is the greedy order, not transitive closure.
+    This is the greedy order, not transitive closure; any graph settles (see ``leaders``).
     """
-    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    open_ = names.select(F.col(column).alias("name")).distinct()
-    groups = None
-    for _ in range(most_rounds):
-        open_ = settled(open_)
-        live = both.join(open_.select(F.col("name").alias("a")), "a", "left_semi").join(open_.select(F.col("name").alias("b")), "b", "left_semi")
-        waiting = live.where(F.col("b") < F.col("a")).select(F.col("a").alias("name")).distinct()
-        leaders = open_.join(waiting, "name", "left_anti")
-        taken = live.join(leaders.select(F.col("name").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("leader"))
-        now = settled(leaders.select("name", F.col("name").alias("leader")).union(taken.select("name", "leader")))
-        groups = now if groups is None else groups.union(now)
-        open_ = open_.join(now, "name", "left_anti")
-        if open_.isEmpty():
-            return groups
-    raise RuntimeError(f"leaders did not settle in {most_rounds} rounds")
+    nodes = settled(names.select(F.col(column).alias("node")).where("node IS NOT NULL").distinct())
+    before = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    found = leaders(nodes, before, few)
+    first = found.where("leads").select("node")
+    # whoever does not lead has an earlier neighbour that does
+    taken = before.join(first.withColumnRenamed("node", "b"), "b", "left_semi").join(first.withColumnRenamed("node", "a"), "a", "left_anti").groupBy(F.col("a").alias("name")).agg(F.min("b").alias("leader"))
+    return first.select(F.col("node").alias("name"), F.col("node").alias("leader")).unionByName(taken)
 
 
 def resolve(df: DataFrame, key: str, least: float = 85) -> DataFrame:
@@ -83,6 +132,11 @@ def resolve(df: DataFrame, key: str, least: float = 85) -> DataFrame:
     return df.join(groups, df[key] == F.col("_name"), "left").withColumn(key, F.coalesce("leader", key)).drop("_name", "leader")
 
 
+def merge_similar(df: DataFrame, key: str, features: Sequence[str], least: float = 95) -> DataFrame:
+    """Rows whose keys fall to one leader at ``least`` merged into one; the leader names the merged row. Rows without a key stay apart from them, as one."""
+    return merge_duplicates(resolve(df, key, least), [key], features)
+
+
 CONFIDENCE = ([0, 70, 85, 95, 100], ["low", "medium", "high", "exact"])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.operators.quantiles import quantile_row
+from resona.operators.tables import settled
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -139,45 +142,162 @@ def unit(column: Column) -> Column:
     return F.transform(column, lambda x: x.cast("double") / F.when(norm > 0, norm))
 
 
+def _unit_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, v) of the rows with a vector of positive length, scaled to 1."""
+    ready = df.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v"))
+    return ready.where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _best_of(q, x, i, y, k: int):
+    """The ``k`` rows of largest cosine among (i, y) for each of (q, x), as a frame; no row meets its own key."""
+    near = np.round(x @ y.T, 12)
+    near[q[:, None] == i[None]] = -np.inf
+    sort = np.argsort(i, kind="stable")
+    near, i = near[:, sort], i[sort]
+    order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+    value = np.take_along_axis(near, order, 1).reshape(-1)
+    out = pd.DataFrame({"query": np.repeat(q, order.shape[1]), "item": i[order].reshape(-1), "similarity": value})
+    return out[value > -np.inf]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item")))
+    return ranked.where(F.col("rank") <= k).select("query", "item", "rank", "similarity")
+
+
 def similar(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
-    """Per query the ``k`` items of largest cosine (query, item, rank, similarity), itself excluded, exactly: products of blocks, each giving its best ``k``, merged per query.
+    """Per query the ``k`` items of largest cosine (query, item, rank, similarity), itself excluded, exactly.
 
-    Queries and items are dealt into blocks of about ``block`` rows; every two meet in a task, so neither side is held whole anywhere.
+    Up to ``block`` queries go to every task, whose batches of items give each query their best ``k``.
+    More queries are dealt into blocks, and items too; every two blocks meet in a task, so neither side is held whole anywhere.
     Similarities are rounded to 12 digits; ties go to the smaller key. Rows without a vector of positive length are left out.
     """
-    import numpy as np
-    import pandas as pd
-
     kind = items.schema[key].dataType.simpleString()
-
-    def packed(df: DataFrame) -> tuple[DataFrame, int]:
-        ready = df.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-        n = max(1, -(-ready.count() // block))
-        rows = ready.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("rows"))
-        return rows.select("block", F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("values")), n
-
-    (asked, n), (sides, _) = packed(queries), packed(items)
+    asked_rows, item_rows = _unit_rows(queries, key, vector), _unit_rows(items, key, vector)
+    few = asked_rows.limit(block + 1).collect()
+    if not few:
+        return asked_rows.select(F.col("key").alias("query"), F.col("key").alias("item"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"))
+    if len(few) <= block:
+        q, x = np.array([r["key"] for r in few]), np.array([r["v"] for r in few])
+
+        def scan(frames):
+            for frame in frames:
+                if len(frame):
+                    yield _best_of(q, x, frame["key"].to_numpy(), np.stack(frame["v"]), k)
+
+        return _ranked(item_rows.mapInPandas(scan, f"query {kind}, item {kind}, similarity double"), k)
+
+    def packed(rows: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // block))
+        blocks = rows.groupBy(F.pmod(F.xxhash64("key", "v"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("key", "v")).alias("rows"))
+        return blocks.select("block", F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("values")), n
+
+    (asked, n), (sides, _) = packed(asked_rows), packed(item_rows)
     pairs = asked.repartition(n, "block").select(F.col("keys").alias("q_keys"), F.col("values").alias("q_values")).crossJoin(sides.drop("block"))
 
     def best(frames):
         for frame in frames:
             for q, x, i, y in zip(frame["q_keys"], frame["q_values"], frame["keys"], frame["values"], strict=True):
                 q, i = np.asarray(q), np.asarray(i)
-                near = np.round(np.asarray(x).reshape(len(q), -1) @ np.asarray(y).reshape(len(i), -1).T, 12)
-                near[q[:, None] == i[None]] = -np.inf
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(near, order, 1).reshape(-1)
-                out = pd.DataFrame({"query": np.repeat(q, order.shape[1]), "item": i[order].reshape(-1), "similarity": value})
-                yield out[value > -np.inf]
-
-    found = pairs.mapInPandas(best, f"query {kind}, item {kind}, similarity double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "item")))
-    return ranked.where(F.col("rank") <= k).select("query", "item", "rank", "similarity")
+                yield _best_of(q, np.asarray(x).reshape(len(q), -1), i, np.asarray(y).reshape(len(i), -1), k)
+
+    return _ranked(pairs.mapInPandas(best, f"query {kind}, item {kind}, similarity double"), k)
+
+
+#: how far rounding may move a bound
+SLACK = 1e-9
+
 
+def _reach(x, centres, radii):
+    """The largest cosine that a vector of each cap (centre, angle) can have with each row of ``x``."""
+    angle = np.arccos(np.clip(x @ centres.T, -1, 1)) - radii[None]
+    return np.cos(np.maximum(angle, 0)) + SLACK
 
-def top_similar(items: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
-    """Per item the ``k`` others of largest cosine, as ``similar``."""
-    return similar(items, items, key, vector, k, block)
+
+def caps(items: DataFrame, key: str, vector: str, block: int = 256, most_blocks: int = 20_000) -> DataFrame:
+    """Blocks of neighbouring unit vectors: block, keys, values, centre, radius (the largest angle between centre and member).
+
+    Vectors go to the nearest of n / ``block`` pivots (a sample by hash, at most ``most_blocks``); a block of more than four times
+    ``block`` rows is dealt into several with about the same cap.
+    """
+    rows = settled(_unit_rows(items, key, vector).withColumn("row", F.monotonically_increasing_id()))
+    n = max(1, min(most_blocks, -(-rows.count() // block)))
+    sample = rows.orderBy(F.xxhash64("key"), "row").limit(n).select("v").collect()
+    pivots = np.array([r["v"] for r in sample]) if sample else np.zeros((1, 1))
+
+    def place(frames):
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(near=(np.stack(frame["v"]) @ pivots.T).argmax(1))
+
+    kind = rows.schema["key"].dataType.simpleString()
+    placed = settled(rows.mapInPandas(place, f"key {kind}, v array<double>, row long, near long"))
+    parts = placed.groupBy("near").agg(F.ceil(F.count("*") / (4 * block)).alias("parts"))
+    dealt = placed.join(F.broadcast(parts), "near").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))  # one row for each pivot
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(own["v"])
+        centre = x.mean(0)
+        centre = centre / length if (length := np.linalg.norm(centre)) > 1e-12 else x[0]
+        radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+        number = int(own["near"].iloc[0]) * (1 << 31) + int(own["part"].iloc[0])
+        return pd.DataFrame({"block": [number], "keys": [own["key"].to_numpy()], "values": [x.reshape(-1)], "centre": [centre], "radius": [radius]})
+
+    return settled(dealt.groupBy("near", "part").applyInPandas(pack, f"block long, keys array<{kind}>, `values` array<double>, centre array<double>, radius double"))
+
+
+def top_similar(items: DataFrame, key: str, vector: str, k: int = 5, block: int = 256, first: int = 4, most_blocks: int = 20_000, pairs_seen: list | None = None) -> DataFrame:
+    """Per item the ``k`` others of largest cosine, exactly, as ``similar``; block pairs that can't hold one are skipped.
+
+    A block's vectors lie in a cap around its centre, so the angle between a vector and the centre, less the cap's, bounds all its cosines.
+    Each block first meets the ``first`` blocks of the highest bounds; then every row asks for the
+    blocks whose bound still reaches its own k-th score. Only the caps (at most some
+    ``most_blocks`` of them) go to every task. ``pairs_seen`` gets the numbers of block pairs met and of all.
+    """
+    kind = items.schema[key].dataType.simpleString()
+    blocks = caps(items, key, vector, block, most_blocks)
+    listed = blocks.select("block", "centre", "radius").orderBy("block").collect()
+    if not listed:
+        return similar(items, items, key, vector, k)
+    number, centres, radii = np.array([r["block"] for r in listed]), np.array([r["centre"] for r in listed]), np.array([r["radius"] for r in listed])
+
+    def open_first(frames):
+        for frame in frames:
+            for own, centre, radius in zip(frame["block"], frame["centre"], frame["radius"], strict=True):
+                bound = _reach(np.asarray(centre)[None], centres, radii + radius)[0]
+                bound[number == own] = 2  # its own block comes first
+                yield pd.DataFrame({"block": own, "other": number[np.argsort(-bound, kind="stable")[:first]]})
+
+    def meet(asked: DataFrame) -> DataFrame:
+        side = blocks.select(F.col("block").alias("other"), F.col("keys").alias("o_keys"), F.col("values").alias("o_values"))
+        met = asked.join(blocks.select("block", "keys", "values"), "block").join(side, "other")
+
+        def best(frames):
+            for frame in frames:
+                for q, x, i, y in zip(frame["keys"], frame["values"], frame["o_keys"], frame["o_values"], strict=True):
+                    q, i = np.asarray(q), np.asarray(i)
+                    yield _best_of(q, np.asarray(x).reshape(len(q), -1), i, np.asarray(y).reshape(len(i), -1), k)
+
+        return met.select("keys", "values", "o_keys", "o_values").mapInPandas(best, f"query {kind}, item {kind}, similarity double")
+
+    begun = settled(blocks.select("block", "centre", "radius").mapInPandas(open_first, "block long, other long"))
+    found = settled(_ranked(meet(begun), k).drop("rank"))
+    beat = found.groupBy("query").agg(F.when(F.count("*") == k, F.min("similarity")).alias("beat"))
+    rows = blocks.select("block", F.posexplode("keys").alias("at", "key"), (F.size("values") / F.size("keys")).cast("int").alias("dim"), "values")
+    rows = rows.select("block", "key", F.slice("values", F.col("at") * F.col("dim") + 1, F.col("dim")).alias("v")).join(beat, F.col("key") == F.col("query"), "left")
+
+    def open_rest(frames):
+        for frame in frames:
+            if len(frame):
+                reach = _reach(np.stack(frame["v"]), centres, radii) >= frame["beat"].fillna(-2).to_numpy(float)[:, None]
+                row, column = np.nonzero(reach)
+                yield pd.DataFrame({"block": frame["block"].to_numpy()[row], "other": number[column]}).drop_duplicates()
+
+    rest = rows.select("block", "v", "beat").mapInPandas(open_rest, "block long, other long").distinct().join(begun, ["block", "other"], "left_anti")
+    rest = settled(rest)
+    if pairs_seen is not None:
+        pairs_seen += [begun.count() + rest.count(), len(number) ** 2]
+    return _ranked(found.unionByName(meet(rest)), k)
 
 
 def similar_by_best(items: DataFrame, key: str, scores: Mapping[str, Column], k: int = 5) -> DataFrame:

@@ -29,12 +29,21 @@ def er2_er3_blocked_edit_pairs(part):
 
 
 @query("part")
-def er5_er12_leader_groups(part):
+def er5_leader_groups(part):
     names = part.select(F.col("p_name").alias("name"))
     edges = matching.scored_pairs(matching.near_pairs(names, names, "name", 85).where("a < b"), 85, "ratio")
     return matching.leader_groups(names, "name", edges)
 
 
+@query("songs")
+def er12_merged_spellings(songs):
+    """Songs whose cleaned artists and tracks, digits left out, agree at 95 become one row around the best-scored one."""
+    clean = lambda c: F.trim(F.regexp_replace(T.dedup_key(F.col(c)), "[0-9]+", ""))
+    keyed = songs.withColumn("song", F.concat(clean("artist_name"), F.lit("||"), clean("track_name")))
+    merged = matching.merge_similar(keyed, "song", ["energy", "danceability", "valence", "acousticness", "instrumentalness"])
+    return merged.select("song", "merged", F.round("energy", 6).alias("energy"), F.col("normalized_popularity").alias("popularity"), "genre", "tiktok")
+
+
 @query("part supplier")
 def er4_er6_er7_er15_jn9_jn10_win3_best_matches(part, supplier):
     left = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name"))
@@ -155,7 +164,9 @@ def sim2_sim4_cosine_neighbours(embeddings):
     return found.select("query", "item", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query("embeddings")
+@query("embeddings", """
+WITH s AS (SELECT q.vec_id AS query, i.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 12) DESC, item) AS rank FROM s) SELECT query, item, CAST(rank AS INT) AS rank, round(similarity, 6) AS similarity FROM r WHERE rank <= 5""")
 def sim3_similar_pairs(embeddings):
     return models.top_similar(embeddings, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
 

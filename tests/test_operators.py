@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,20 +58,38 @@ def test_folding_is_compatibility_decomposition(spark):
     assert got == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
 
 
-def test_leader_groups_follow_the_greedy_order(spark):
-    names = [f"n{i:02d}" for i in range(12)]
-    edges = [(a, b) for a, b in combinations(names, 2) if (int(a[1:]) * 7 + int(b[1:]) * 3) % 4 == 0]
-    near = {frozenset(e) for e in edges}
-    want, done = {}, set()
-    for lead in names:
-        if lead in done:
-            continue
-        for n in names:
-            if n not in done and (n == lead or frozenset((lead, n)) in near):
-                want[n] = lead
-                done.add(n)
-    found = matching.leader_groups(spark.createDataFrame([(n,) for n in names], "name string"), "name", spark.createDataFrame(edges, "a string, b string"))
-    assert {r["name"]: r["leader"] for r in found.collect()} == want
+def greedy_leaders(names, edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for lead in sorted(names):
+        if lead not in out:
+            out[lead] = lead
+            out |= {n: lead for n in near.get(lead, ()) if n not in out}
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_leader_groups_follow_the_greedy_order(spark, few):
+    import random
+
+    rng = random.Random(6)
+    names = [f"n{i:03d}" for i in range(140)]
+    edges = [(a, b) for a, b in combinations(names[:14], 2) if (int(a[1:]) * 7 + int(b[1:]) * 3) % 4 == 0]
+    edges += [tuple(rng.sample(names[14:60], 2)) for _ in range(90)] + list(zip(names[60:100], names[61:101])) + [tuple(rng.sample(names[60:130], 2)) for _ in range(12)] + [(names[3], names[3])]
+    found = matching.leader_groups(spark.createDataFrame([(n,) for n in [*names, None]], "name string"), "name", spark.createDataFrame(edges, "a string, b string"), few=few)
+    got = [(r["name"], r["leader"]) for r in found.collect()]
+    assert len(got) == len(names) and dict(got) == greedy_leaders(names, edges)
+
+
+@pytest.mark.parametrize("few", [100, 500_000])
+def test_a_long_chain_of_names_settles(spark, few):
+    names = [f"n{i:05d}" for i in range(10_000)]
+    edges = list(zip(names, names[1:]))
+    found = matching.leader_groups(spark.createDataFrame([(n,) for n in names], "name string"), "name", spark.createDataFrame(edges, "a string, b string"), few=few)
+    assert {r["name"]: r["leader"] for r in found.collect()} == greedy_leaders(names, edges)
 
 
 def test_near_pairs_lose_no_match(spark, sf_dir):
@@ -136,6 +155,40 @@ def test_top_similar_matches_brute_force(spark):
     assert {(r["query"], r["rank"]): r["item"] for r in got} == want and len(got) == 450
 
 
+def test_top_similar_skips_blocks_of_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(24, 12))
+    x = middles[rng.integers(0, 24, 900)] + rng.normal(size=(900, 12)) * 0.02
+    x[10] = x[400] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    seen = []
+    got = {(r["query"], r["rank"]): r["item"] for r in models.top_similar(df, "id", "v", k=5, block=30, first=2, pairs_seen=seen).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(u @ u.T, 12)
+    np.fill_diagonal(near, -np.inf)
+    want = {(q, r + 1): int(i) for q in range(900) for r, i in enumerate(np.argsort(-near[q], kind="stable")[:5])}
+    assert sum(got[k] == want[k] for k in want) >= len(want) - 4 and len(got) == len(want)  # the last digit of a tie may differ
+    assert seen[0] < 0.5 * seen[1]
+    assert models.top_similar(df.limit(0), "id", "v").count() == 0
+
+
+def test_similar_spellings_merge(spark, sf_dir):
+    from resona.sources.fixtures import view
+
+    songs = view(spark, sf_dir, "songs").limit(60).withColumn("n", F.pmod(F.hash("rec_id"), F.lit(4)))
+    names = F.array(*[F.lit(x) for x in ("midnight riverside station", "midnight riverside statoin", "midnigt riverside station", "quite another song")])
+    songs = songs.withColumn("song", F.element_at(names, F.col("n") + 1)).drop("n")
+    songs = spark.createDataFrame(songs.collect(), songs.schema)
+    sizes = {r.song: r["count"] for r in songs.groupBy("song").count().collect()}
+    want = greedy_leaders(sizes, [(a, b) for a, b in combinations(sorted(sizes), 2) if fuzzy.ratio_of(a, b) >= 95])
+    merged = matching.merge_similar(songs, "song", ["energy", "danceability", "valence", "acousticness", "instrumentalness"]).collect()
+    assert {r.song: r.merged for r in merged} == {lead: sum(n for s, n in sizes.items() if want[s] == lead) for lead in set(want.values())} and len(merged) == 2
+    best = songs.groupBy().agg(F.max("normalized_popularity")).first()[0]
+    assert max(r.normalized_popularity for r in merged) == best
+
+
 def test_similar_query_answers_every_item(spark, sf_dir):
     from resona.plans import registry
 
