@@ -18,34 +18,55 @@ from resona.operators.catalog import merge_duplicates
 from resona.operators.tables import settled, top_per_group
 
 
-def _prefix(name: Column, least: float, metric: str) -> Column:
-    """The numbered, padded character pairs of a name, in one order for all names, as many as a match at ``least`` must share one of.
-
-    Of n + 1 pairs a match shares at least 1 + (len(a) + len(b)) * (3 * least / 200 - 1)
-    by ratio (a character missing on one side spoils two pairs of the one name and one of the other), and
-    1 + longest * (2 * least / 100 - 1) by edit distance. So two names that match share
-    one among the first n + 2 - least shared number.
-    """
-    grow = (3 * least / 200 - 1) * 200 / (200 - least) if metric != "edit" else 2 * least / 100 - 1
+def _growth(least: float, metric: str) -> float:
+    """How many pairs of characters more a match must share with each character of its lengths."""
+    grow = 3 * least / 200 - 1 if metric != "edit" else 2 * least / 100 - 1
     if grow < 0:
         raise ValueError(f"a match at {least} by {metric} may share no pair of characters")
-    padded, size = F.concat(F.lit("\x01"), name, F.lit("\x02")), F.char_length(name)
-    pairs = F.transform(F.sequence(F.lit(1), size + 1), lambda i: padded.substr(i, F.lit(2)))
-    numbered = F.transform(pairs, lambda g, i: F.struct(F.xxhash64(g).alias("h"), g.alias("g"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda x: x == g)).alias("n")))
-    return F.slice(F.array_sort(numbered), 1, (size + 2 - F.ceil(1 + size * grow - 1e-9)).cast("int"))
+    return grow
+
+
+def _named(df: DataFrame, column: str, metric: str) -> DataFrame:
+    """(name, size, pairs) of the distinct names: the numbered, padded pairs of characters of the text that is compared."""
+    names = df.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
+    text = F.array_join(F.array_sort(F.filter(F.split("name", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")), " ") if metric == "token_sort" else F.col("name")
+    padded, size = F.concat(F.lit("\x01"), F.col("text"), F.lit("\x02")), F.char_length("text")
+    cut = F.transform(F.sequence(F.lit(1), size + 1), lambda i: padded.substr(i, F.lit(2)))
+    numbered = F.transform("cut", lambda g, i: F.concat(g, F.size(F.filter(F.slice("cut", 1, i + 1), lambda x: x == g)).cast("string")))
+    return names.withColumn("text", text).withColumn("cut", cut).select("name", size.alias("size"), numbered.alias("pairs"))
+
+
+def _prefixes(names: DataFrame, rarity: DataFrame, least: float, metric: str) -> DataFrame:
+    """(name, size, at, pair): the rarest pairs of each name, as many as any match of its must share one of, and their places in the order of rarity."""
+    grow = _growth(least, metric)
+    grow = grow * 200 / (200 - least) if metric != "edit" else grow
+    ranked = names.select("name", "size", F.explode("pairs").alias("pair")).join(rarity, "pair").groupBy("name", "size").agg(F.array_sort(F.collect_list(F.struct("often", "pair"))).alias("ranked"))
+    many = (F.col("size") + 2 - F.ceil(1 + F.col("size") * grow - 1e-9)).cast("int")
+    return ranked.select("name", "size", F.posexplode(F.slice("ranked", 1, many)).alias("at", "own")).select("name", "size", "at", F.col("own.pair").alias("pair"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, column: str, least: float, metric: str = "ratio") -> DataFrame:
-    """(a, b): every pair of distinct names whose similarity can reach ``least``; none that does is left out. metric as in ``scored_pairs``."""
+    """(a, b): every pair of distinct names whose similarity can reach ``least``; none that does is left out. metric as in ``scored_pairs``.
+
+    A match shares at least 1 + (len(a) + len(b)) * (3 * least / 200 - 1) pairs of characters by ratio (a character
+    missing on one side spoils two pairs of the one name and one of the other), and 1 + longest * (2 * least / 100 - 1) by edit distance.
+    Pairs are ordered by how many names hold them, rarest first, and names meet in those of their rarest pairs that a match can't do without. Where
+    they meet first, the pairs behind must suffice (positions); what is left must share as many pairs as a match (count).
+    """
+    sides = [settled(_named(df, column, metric)) for df in ((left,) if left is right else (left, right))]
+    rarity = settled(reduce(DataFrame.union, [s.select(F.explode("pairs").alias("pair")) for s in sides]).groupBy("pair").agg(F.count("*").alias("often")))
 
-    def side(df: DataFrame, to: str) -> DataFrame:
-        names = df.select(F.col(column).alias(to)).where(F.col(to).isNotNull()).distinct()
-        text = F.array_join(F.array_sort(F.filter(F.split(to, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")), " ") if metric == "token_sort" else F.col(to)
-        return names.withColumn("_text", text).select(to, F.char_length("_text").alias(f"_{to}"), F.explode(_prefix(F.col("_text"), least, metric)).alias("block"))
+    def side(names: DataFrame, to: str) -> DataFrame:
+        return _prefixes(names, rarity, least, metric).select("pair", F.col("name").alias(to), F.col("size").alias(f"_{to}"), F.col("at").alias(f"at_{to}"))
 
     shorter, longer = F.least("_a", "_b"), F.greatest("_a", "_b")
     fits = shorter * 100 >= longer * least if metric == "edit" else shorter * 200 >= (shorter + longer) * least
-    return side(left, "a").join(side(right, "b"), "block").where(fits).select("a", "b").distinct()
+    needed = F.ceil(1 + (longer if metric == "edit" else shorter + longer) * _growth(least, metric) - 1e-9)
+    behind = F.least(F.col("_a") + 1 - F.col("at_a"), F.col("_b") + 1 - F.col("at_b"))
+    met = side(sides[0], "a").join(side(sides[-1], "b"), "pair").where(fits & (behind >= needed)).select("a", "b", "_a", "_b").distinct()
+    full = lambda names, to: names.select(F.col("name").alias(to), F.col("pairs").alias(f"pairs_{to}"))
+    counted = met.join(full(sides[0], "a"), "a").join(full(sides[-1], "b"), "b")
+    return counted.where(F.size(F.array_intersect("pairs_a", "pairs_b")) >= needed).select("a", "b")
 
 
 def scored_pairs(pairs: DataFrame, least: float, metric: str = "ratio") -> DataFrame:
