@@ -177,3 +177,55 @@ def predicted_platforms(songs: DataFrame, affinity: DataFrame, columns: Sequence
     long = songs.unpivot([key], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
     total = long.join(F.broadcast(affinity.select("platform", "feature", "r")), "feature").groupBy(key, "platform").agg(F.sum(F.col("value") * F.col("r")).alias("score"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "platform")))
+
+
+# Advice by platform.
+PLATFORM_ADVICE = {
+    "tiktok": ("Focus on 15-30 second hooks", "Create dance/challenge content", "Partner with Gen Z influencers", "Use trending sounds and hashtags", "Optimize for mobile-first viewing"),
+    "spotify": ("Target playlist curators", "Focus on full-song experience", "Optimize for algorithm discovery", "Create artist playlists", "Leverage Spotify Canvas features"),
+    "youtube": ("Create engaging music videos", "Optimize video thumbnails", "Focus on storytelling", "Leverage YouTube Shorts", "Collaborate with music reactors"),
+}
+
+
+def platform_strategies(affinity: DataFrame) -> DataFrame:
+    """Per platform of ``affinity`` (platform, feature, r): the features whose correlation exceeds .3 either way, with their importance, and the platform's advice."""
+    strong = F.struct("feature", "r", F.when(F.abs("r") > 0.5, "high").otherwise("moderate").alias("importance"))
+    advice = F.create_map(*[x for p, lines in PLATFORM_ADVICE.items() for x in (F.lit(p), F.array(*[F.lit(t) for t in lines]))])
+    found = affinity.groupBy("platform").agg(F.array_sort(F.collect_list(F.when(F.abs("r") > 0.3, strong))).alias("primary_features"))
+    return found.withColumn("strategies", F.coalesce(advice[F.col("platform")], F.expr("CAST(array() AS array<string>)")))
+
+
+# Texts by platform; (feature, above, probability above, text) in order, then the last resort.
+PLATFORM_TEXTS = {
+    "tiktok": ((("danceability", 0.7, 0.7, "High viral potential - create dance challenges and trending content"), ("energy", 0.7, 0.5, "Good energy for fitness/workout content and energetic trends"),
+                (None, None, 0.3, "Moderate potential - focus on creative storytelling or niche trends")), "Limited TikTok appeal - consider other platforms first"),
+    "spotify": ((("valence", 0.6, 0.7, "Excellent for mood-based and feel-good playlists"), ("acousticness", 0.5, 0.5, "Strong fit for acoustic, chill, and indie playlists"),
+                 (None, None, 0.4, "Good playlist potential - target genre-specific and algorithmic playlists")), "Consider playlist pitching and acoustic versions"),
+    "youtube": ((("energy", 0.6, 0.7, "High potential for engaging music videos and visual content"), ("liveness", 0.3, 0.5, "Great for live performance videos and session content"),
+                 (None, None, 0.4, "Good for lyric videos and storytelling content")), "Focus on other platforms or try creative video concepts"),
+}
+
+
+def platform_text(platform: str, probability: Column) -> Column:
+    """What a song's features and its chance of success on the platform suggest."""
+    rules, last = PLATFORM_TEXTS[platform]
+    out = F
+    for feature, above, likely, text in rules:
+        out = out.when((probability > likely) & (F.col(feature) > above if feature else F.lit(True)), F.lit(text))
+    return out.otherwise(F.lit(last))
+
+
+def group_strategies(profiles: DataFrame, shares: DataFrame, key: str) -> DataFrame:
+    """Per group: audiences and content advice by its labels (of ``profiles``), and its three largest platforms (of ``shares``: key, platform, percentage) with their priority."""
+    from pyspark.sql import Window
+
+    text = lambda *names: F.array(*[F.lit(n) for n in names])
+    none = F.expr("CAST(array() AS array<string>)")
+    has = lambda label: F.array_contains("labels", label)
+    lively, acoustic = has("danceable") & has("high energy"), has("acoustic")
+    audiences = F.when(lively, text("Gen Z (16-24)", "Millennials (25-40)")).when(acoustic, text("Gen X (41-56)", "Boomers (57+)")).otherwise(none)
+    content = F.when(lively, text("Focus on dance challenges and high-energy content")).when(acoustic, text("Emphasize intimate, authentic performances")).otherwise(none)
+    placed = shares.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("percentage"), "platform"))).where("place <= 3")
+    entry = F.struct("place", "platform", "percentage", F.when(F.col("percentage") > 30, "High").otherwise("Medium").alias("priority"))
+    listed = placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["platform"].alias("platform"), x["percentage"].alias("percentage"), x["priority"].alias("priority"))).alias("platforms"))
+    return profiles.join(listed, key, "left").select(key, audiences.alias("audiences"), content.alias("content"), "platforms")

@@ -186,3 +186,34 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
         (1 - F.sum(error * error) / (F.var_pop(label) * F.count(label))).alias("r2"),
         F.avg(F.when(F.col(label) != 0, F.abs(error / F.col(label)) * 100)).alias("mape"),
     )
+
+
+# The weights of the component scores, and the least overall score of each category.
+QUALITY_WEIGHTS = {"data_completeness": 0.3, "data_consistency": 0.25, "source_diversity": 0.2, "platform_coverage": 0.15, "feature_quality": 0.1}
+QUALITY_CATEGORIES = {"Excellent": 90, "Good": 80, "Fair": 70, "Poor": 60}
+
+
+def quality_components(df: DataFrame, fields: Sequence[str], ranges: Mapping[str, tuple[float, float]], features: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """One row: the five component scores (0-100), the weighted overall score and its category.
+
+    Completeness is the mean share of known ``fields``; consistency loses ten times the share of values outside each of
+    ``ranges``; diversity adds ten times the mean source count to the percentage of rows with several sources; coverage is the
+    mean share of ``flags``; a feature's quality falls with its variation and its outliers by the quartiles.
+    """
+    at_least = lambda c: F.greatest(F.lit(0.0), c)
+    mean = lambda parts: reduce(lambda a, b: a + b, parts) / len(parts)
+    outside = [F.coalesce(F.count_if((F.col(c) < lo) | (F.col(c) > hi)) / F.nullif(F.count(c), F.lit(0)), F.lit(0.0)) for c, (lo, hi) in ranges.items()]
+    row = df.agg(
+        mean([F.count(c) / F.count("*") * 100 for c in fields]).alias("data_completeness"),
+        at_least(100 - reduce(lambda a, b: a + b, outside) * 10).alias("data_consistency"),
+        F.least(F.lit(100.0), F.count_if(F.col("source_count") > 1) / F.count("*") * 100 + F.avg("source_count") * 10).alias("source_diversity"),
+        mean([F.count_if(F.col(p)) / F.count("*") * 100 for p in flags]).alias("platform_coverage"),
+    )
+    moments = unpivot(df, [], features).where("value IS NOT NULL").groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    spread = F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).otherwise(0.0)
+    scored = moments.join(F.broadcast(iqr_outliers(df, features).select("feature", "percent")), "feature").agg(F.avg(at_least(100 - spread * 50 - F.col("percent") * 2)).alias("feature_quality"))
+    whole = row.crossJoin(F.broadcast(scored)).na.fill(0.0)
+    components = whole.select(*[F.round(c, 2).alias(c) for c in QUALITY_WEIGHTS])
+    overall = reduce(lambda a, b: a + b, [F.col(c) * w for c, w in QUALITY_WEIGHTS.items()])
+    category = reduce(lambda w, x: w.when(F.col("overall") >= x[1], F.lit(x[0])), QUALITY_CATEGORIES.items(), F).otherwise("Critical")
+    return components.withColumn("overall", overall).withColumns({"category": category, "overall": F.round("overall", 2)})

@@ -105,7 +105,7 @@ def ml10_ml11_platform_distribution(songs):
 WITH m AS (SELECT genre, avg(energy) AS energy, avg(danceability) AS danceability, avg(valence) AS valence, avg(acousticness) AS acousticness, count(*) AS size FROM songs GROUP BY 1)
 SELECT genre, size, round(size * 100.0 / (SELECT sum(size) FROM m), 6) AS share, list_filter([CASE WHEN energy > 0.6 THEN 'high energy' WHEN energy < 0.4 THEN 'calm' END, CASE WHEN danceability > 0.6 THEN 'danceable' WHEN danceability < 0.4 THEN 'listening' END,
   CASE WHEN valence > 0.6 THEN 'upbeat' WHEN valence < 0.4 THEN 'moody' END, CASE WHEN acousticness > 0.6 THEN 'acoustic' WHEN acousticness < 0.4 THEN 'electronic' END], lambda x: x IS NOT NULL) AS labels FROM m""")
-def ml8_ml13_group_profiles(songs):
+def ml8_group_profiles(songs):
     labelled = songs.withColumnRenamed("genre", "cluster")
     found = models.sound_profiles(labelled, ["energy", "danceability", "valence", "acousticness"])
     return found.select(F.col("cluster").alias("genre"), "size", F.round("share", 6).alias("share"), "labels")
@@ -122,11 +122,38 @@ def ml14_agreement_confidence(songs):
     return own.join(groups, "genre").select("rec_id", F.when(F.array_contains("liked", F.col("own")), 85).otherwise(65).alias("confidence"))
 
 
-@query("songs", """
-SELECT rec_id, CASE WHEN danceability > 0.7 AND energy > 0.7 THEN 'High viral potential - create dance challenges and trending content' WHEN energy > 0.7 THEN 'Good energy for fitness/workout content and energetic trends'
-  WHEN energy > 0.3 THEN 'Moderate potential - focus on creative storytelling or niche trends' ELSE 'Limited TikTok appeal - consider other platforms first' END AS tiktok FROM songs""")
+_CHANCE = {
+    "tiktok": "least(100, coalesce(danceability, 0.5) * 40 + coalesce(energy, 0.5) * 35 + coalesce(valence, 0.5) * 25) / 100",
+    "spotify": "least(100, coalesce(valence, 0.5) * 30 + coalesce(energy, 0.5) * 25 + coalesce((energy * 0.3 + valence * 0.3 + danceability * 0.4) * 100, 50) * 0.45) / 100",
+    "youtube": "least(100, coalesce(energy, 0.5) * 35 + coalesce(valence, 0.5) * 30 + (1 - coalesce(instrumentalness, 0.5)) * 35) / 100",
+}
+
+
+def _said(platform: str) -> str:
+    rules, last = insights.PLATFORM_TEXTS[platform]
+    return "CASE " + " ".join(f"WHEN {_CHANCE[platform]} > {p}{f' AND {f} > {x}' if f else ''} THEN '{t}'" for f, x, p, t in rules) + f" ELSE '{last}' END"
+
+
+@query("songs", f"SELECT rec_id, {', '.join(f'{_said(p)} AS {p}' for p in _CHANCE)} FROM songs")
 def ins4_platform_texts(songs):
-    return songs.select("rec_id", insights.tiktok_text(F.col("energy")).alias("tiktok"))
+    chance = insights.fallback_platforms()
+    return songs.withColumn("audio_appeal", scores.audio_appeal()).select("rec_id", *[insights.platform_text(p, chance[p] / 100).alias(p) for p in _CHANCE])
+
+
+@query("songs", """
+WITH m AS (SELECT genre, avg(energy) AS energy, avg(danceability) AS danceability, avg(acousticness) AS acousticness, count(*) AS size FROM songs GROUP BY 1),
+p AS (SELECT genre, platform, round(count(*) * 100.0 / any_value(size), 6) AS percentage FROM songs JOIN m USING (genre) GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY percentage DESC, platform) AS place FROM p),
+l AS (SELECT genre, list(platform ORDER BY place) AS platforms, list(CASE WHEN percentage > 30 THEN 'High' ELSE 'Medium' END ORDER BY place) AS priorities, list(percentage ORDER BY place)[1] AS largest FROM t WHERE place <= 3 GROUP BY 1)
+SELECT genre, CASE WHEN danceability > 0.6 AND energy > 0.6 THEN ['Gen Z (16-24)', 'Millennials (25-40)'] WHEN acousticness > 0.6 THEN ['Gen X (41-56)', 'Boomers (57+)'] ELSE [] END AS audiences,
+  CASE WHEN danceability > 0.6 AND energy > 0.6 THEN ['Focus on dance challenges and high-energy content'] WHEN acousticness > 0.6 THEN ['Emphasize intimate, authentic performances'] ELSE [] END AS content, platforms, priorities, largest FROM m JOIN l USING (genre)""")
+def ml13_group_strategies(songs):
+    profiles = models.sound_profiles(songs.withColumnRenamed("genre", "cluster"), ["energy", "danceability", "valence", "acousticness"]).withColumnRenamed("cluster", "genre")
+    sizes = profiles.select("genre", "size")
+    shares = songs.groupBy("genre", "platform").agg(F.count("*").alias("n")).join(sizes, "genre").select("genre", "platform", F.round(F.col("n") * 100 / F.col("size"), 6).alias("percentage"))
+    listed = lambda name: F.transform("platforms", lambda x: x[name])
+    found = insights.group_strategies(profiles, shares, "genre")
+    return found.select("genre", "audiences", "content", listed("platform").alias("platforms"), listed("priority").alias("priorities"), F.col("platforms")[0]["percentage"].alias("largest"))
 
 
 @query("songs", """

@@ -142,11 +142,25 @@ _LONG = " UNION ALL ".join(f"SELECT platform, rec_id, avg_popularity, '{f}' AS f
 @query("songs", f"""
 WITH long AS ({_LONG}), a AS (SELECT platform, feature, corr(value, avg_popularity) AS r FROM long WHERE value IS NOT NULL AND avg_popularity IS NOT NULL GROUP BY ALL HAVING count(*) > 10 AND corr(value, avg_popularity) IS NOT NULL),
 p AS (SELECT l.rec_id, a.platform, sum(l.value * a.r) AS score FROM long l JOIN a USING (feature) GROUP BY ALL) SELECT rec_id, platform, round(score, 6) AS score FROM p WHERE score IS NOT NULL""")
-def ml29_ins11_weighted_prediction(songs):
+def ml29_weighted_prediction(songs):
     affinity = stats.correlations(songs, ["platform"], FEATURES[:4], "avg_popularity")
     return insights.predicted_platforms(songs, affinity, FEATURES[:4]).where("score IS NOT NULL").select("rec_id", "platform", F.round("score", 6).alias("score"))
 
 
+_ADVICE = " ".join(f"WHEN '{p}' THEN [{', '.join(chr(39) + t + chr(39) for t in lines)}]" for p, lines in insights.PLATFORM_ADVICE.items())
+
+
+@query("songs", f"""
+WITH s AS (SELECT platform, {', '.join(FEATURES[:4])}, (energy * 0.3 + valence * 0.3 + danceability * 0.4) * 100 AS appeal FROM songs WHERE danceability IS NOT NULL AND energy IS NOT NULL),
+a AS ({' UNION ALL '.join(f"SELECT platform, '{f}' AS feature, round(corr({f}, appeal), 6) AS r FROM s WHERE {f} IS NOT NULL GROUP BY 1 HAVING count(*) > 10" for f in FEATURES[:4])})
+SELECT platform, coalesce(list(feature ORDER BY feature) FILTER (WHERE abs(r) > 0.3), []) AS features, coalesce(list(CASE WHEN abs(r) > 0.5 THEN 'high' ELSE 'moderate' END ORDER BY feature) FILTER (WHERE abs(r) > 0.3), []) AS importance,
+  CASE platform {_ADVICE} ELSE [] END AS strategies FROM a WHERE r IS NOT NULL GROUP BY platform""")
+def ins11_platform_strategies(songs):
+    affinity = stats.correlations(_ready(songs), ["platform"], FEATURES[:4], "audio_appeal").withColumn("r", F.round("r", 6))
+    listed = lambda name: F.transform("primary_features", lambda x: x[name])
+    return insights.platform_strategies(affinity).select("platform", listed("feature").alias("features"), listed("importance").alias("importance"), "strategies")
+
+
 @query("songs", """
 WITH g AS (SELECT artist_name, arg_min(genre, (-n, genre)) AS genre FROM (SELECT artist_name, genre, count(*) AS n FROM songs GROUP BY ALL) GROUP BY 1),
 p AS (SELECT artist_name, arg_min(platform, (-n, platform)) AS platform FROM (SELECT artist_name, platform, count(*) AS n FROM songs GROUP BY ALL) GROUP BY 1)
@@ -216,12 +230,18 @@ def sc22_ml21_viral_features(songs):
     return _ready(songs).select("rec_id", F.round(viral, 6).alias("tiktok_viral_score"), F.round(insights.rescaled("tiktok", viral), 6).alias("tiktok_scaled"))
 
 
+_GAPS = "(SELECT rec_id, danceability, energy, valence, instrumentalness, (energy * 0.3 + valence * 0.3 + danceability * 0.4) * 100 AS audio_appeal FROM songs)"
+
+
 @query("songs", f"""
 SELECT rec_id, CASE WHEN danceability > 0.7 THEN 'tiktok' WHEN valence > 0.6 THEN 'spotify' WHEN energy > 0.6 THEN 'youtube' ELSE 'spotify' END AS first_choice,
-  round(least(100, danceability * 40 + energy * 35 + valence * 25), 6) AS tiktok, round(least(100, valence * 30 + energy * 25 + audio_appeal * 0.45), 6) AS spotify FROM {_APPEAL}""")
+  round(least(100, coalesce(danceability, 0.5) * 40 + coalesce(energy, 0.5) * 35 + coalesce(valence, 0.5) * 25), 6) AS tiktok,
+  round(least(100, coalesce(valence, 0.5) * 30 + coalesce(energy, 0.5) * 25 + coalesce(audio_appeal, 50) * 0.45), 6) AS spotify,
+  round(least(100, coalesce(energy, 0.5) * 35 + coalesce(valence, 0.5) * 30 + (1 - coalesce(instrumentalness, 0.5)) * 35), 6) AS youtube FROM {_GAPS}""")
 def sc24_sc25_ins7_fallback_platforms(songs):
+    """All songs, those without features above all: their gaps count as the middle."""
     scored = insights.fallback_platforms()
-    return _ready(songs).select("rec_id", insights.basic_platforms()[0]["name"].alias("first_choice"), F.round(scored["tiktok"], 6).alias("tiktok"), F.round(scored["spotify"], 6).alias("spotify"))
+    return songs.withColumn("audio_appeal", scores.audio_appeal()).select("rec_id", insights.basic_platforms()[0]["name"].alias("first_choice"), *[F.round(scored[p], 6).alias(p) for p in ("tiktok", "spotify", "youtube")])
 
 
 def _case(group) -> str:

@@ -332,3 +332,24 @@ SELECT round(avg(abs(energy - valence)), 6) AS mae, round(1 - sum((energy - vale
 FROM songs WHERE energy IS NOT NULL""")
 def ml23_regression_metrics(songs):
     return stats.regression_metrics(songs.where("energy IS NOT NULL"), "energy", "valence").select(F.round("mae", 6).alias("mae"), F.round("r2", 6).alias("r2"), F.round("mape", 4).alias("mape"))
+
+
+_GRADED = ["danceability", "energy", "valence", "acousticness", "speechiness"]
+_FIELDS = ["track_name", "artist_name", "normalized_popularity", *_GRADED]
+_ALL = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value FROM songs WHERE {f} IS NOT NULL" for f in _GRADED)
+
+
+@query("songs", f"""
+WITH long AS ({_ALL}), q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS mean, stddev_samp(value) AS std FROM long GROUP BY 1),
+o AS (SELECT feature, any_value(mean) AS mean, any_value(std) AS std, count(*) FILTER (WHERE value < q1 - (q3 - q1) * 1.5 OR value > q3 + (q3 - q1) * 1.5) * 100.0 / count(*) AS percent FROM long JOIN q USING (feature) GROUP BY 1),
+f AS (SELECT avg(greatest(0.0, 100 - std / mean * 50 - percent * 2)) AS feature_quality FROM o),
+c AS (SELECT ({' + '.join(f'count({c}) * 100.0 / count(*)' for c in _FIELDS)}) / {len(_FIELDS)} AS completeness,
+  greatest(0.0, 100 - 10 * ({' + '.join(f'count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) * 1.0 / count({c})' for c, (lo, hi) in _RANGES.items())})) AS consistency,
+  least(100.0, count(*) FILTER (WHERE source_count > 1) * 100.0 / count(*) + avg(source_count) * 10) AS diversity,
+  (count(*) FILTER (WHERE spotify) + count(*) FILTER (WHERE tiktok) + count(*) FILTER (WHERE youtube)) * 100.0 / count(*) / 3 AS coverage FROM songs),
+r AS (SELECT round(completeness, 2) AS data_completeness, round(consistency, 2) AS data_consistency, round(diversity, 2) AS source_diversity, round(coverage, 2) AS platform_coverage, round(feature_quality, 2) AS feature_quality FROM c, f),
+w AS (SELECT *, data_completeness * 0.3 + data_consistency * 0.25 + source_diversity * 0.2 + platform_coverage * 0.15 + feature_quality * 0.1 AS total FROM r)
+SELECT data_completeness, data_consistency, source_diversity, platform_coverage, feature_quality, round(total, 2) AS overall,
+  CASE WHEN total >= 90 THEN 'Excellent' WHEN total >= 80 THEN 'Good' WHEN total >= 70 THEN 'Fair' WHEN total >= 60 THEN 'Poor' ELSE 'Critical' END AS category FROM w""")
+def val14_quality_components(songs):
+    return stats.quality_components(songs, _FIELDS, _RANGES, _GRADED, ["spotify", "tiktok", "youtube"])

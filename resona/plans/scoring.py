@@ -277,6 +277,14 @@ def flagship(tracks, least=None):
     return scores.with_ar_scores(catalog.fill_popularity(normalized).withColumn("genre", catalog.infer_genre()))
 
 
+@query("tracks")
+def ds13_er5_fuzzy_integration(tracks):
+    """The integration job over names without their numbers, with composite keys grouped at a ratio of 85."""
+    plain = lambda c: F.trim(F.regexp_replace(c, "[#0-9]+", ""))
+    named = tracks.withColumns({"track_name": plain("track_name"), "artist_name": plain("artist_name")})
+    return flagship(named, least=85).select("master_id", "track_name", "artist_name", "genre", "record_count", "source_count", "all_sources")
+
+
 @query("tracks")
 def ds13_integration_job(tracks):
     scored = flagship(tracks)
@@ -292,7 +300,7 @@ def val9_genre_consistency(songs):
 @query("songs", """
 WITH c AS (SELECT count(*) AS n, (count(energy) + count(danceability) + count(genre)) / (3.0 * count(*)) * 100 AS completeness, count(DISTINCT source_dataset) AS sources, count(*) FILTER (WHERE avg_popularity IS NULL) AS gaps FROM songs)
 SELECT round(completeness, 6) AS completeness, round(0.7 * completeness + 0.3 * least(10 * sources, 30), 6) AS overall, CASE WHEN 0.7 * completeness + 0.3 * least(10 * sources, 30) >= 75 THEN 'good' ELSE 'poor' END AS category FROM c""")
-def val14_val15_quality_summary(songs):
+def val15_quality_summary(songs):
     complete = (F.count("energy") + F.count("danceability") + F.count("genre")) / (F.count("*") * 3) * 100
     row = songs.agg(complete.alias("completeness"), F.countDistinct("source_dataset").alias("sources"))
     overall = F.col("completeness") * 0.7 + F.least(F.col("sources") * 10, F.lit(30)) * 0.3
