@@ -49,53 +49,65 @@ ALLOWED = (
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+#: entries that one stretch of a running figure takes; stretches of this size keep the copies it makes short
+STRETCH = 256
+
+
+def _running(values: str, add: str, none: str) -> str:
+    """SQL for the array of running figures of ``values``, each entry included; ``add`` combines {0} and {1}, ``none`` leaves any figure as it is.
+
+    Stretches run on their own first; the figures that the stretches before have reached are added then.
+    """
+    step = f"(a, x) -> named_struct('at', {add.format('a.at', 'x')}, 'out', array_append(a.out, {add.format('a.at', 'x')}))"
+    run = lambda of: f"aggregate({of}, named_struct('at', {none}, 'out', CAST(array() AS array<int>)), {step})"
+    return f"""transform(array({values}), v -> IF(size(v) = 0, CAST(array() AS array<int>),
+      transform(array(transform(sequence(0, (size(v) - 1) DIV {STRETCH}), k -> {run(f"slice(v, CAST(k * {STRETCH} + 1 AS INT), {STRETCH})")})), parts ->
+        transform(array({run("transform(parts, p -> p.at)")}.out), upto ->
+          flatten(transform(parts, (p, i) -> transform(p.out, e -> {add.format("IF(i = 0, " + none + ", upto[i - 1])", "e")}))))[0])[0]))[0]"""
+
+
 def _spans(kind: str, pattern: str, keep: str = "true") -> str:
     """Array of structs (start, kind_no, end, hit) for the matches of ``pattern`` in ``text``.
 
     Matches and the gaps between them alternate, so running lengths give positions.
     """
-    return f"""
-      CASE WHEN size(m_{kind}) = 0 THEN array() ELSE
-      aggregate(
-        zip_with(slice(split(text, '{pattern}', -1), 1, size(m_{kind})), m_{kind}, (g, m) -> named_struct('gap', g, 'hit', m)),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,kind_no:int,end:int,hit:string>>)),
-        (a, x) -> named_struct(
-          'at', a.at + length(x.gap) + length(x.hit),
-          'out', IF({keep}, array_append(a.out, named_struct('start', a.at + length(x.gap), 'kind_no', {KINDS.index(kind)},
-                                          'end', a.at + length(x.gap) + length(x.hit), 'hit', x.hit)), a.out)),
-        a -> a.out) END"""
+    lengths = f"zip_with(slice(split(text, '{pattern}', -1), 1, size(m_{kind})), m_{kind}, (g, m) -> length(g) + length(m))"
+    found = f"transform({_running(lengths, '{0} + {1}', '0')}, (e, i) -> named_struct('start', e - length(m_{kind}[i]), 'kind_no', {KINDS.index(kind)}, 'end', e, 'hit', m_{kind}[i]))"
+    none = "CAST(array() AS array<struct<start:int,kind_no:int,end:int,hit:string>>)"
+    return f"CASE WHEN size(m_{kind}) = 0 THEN {none} ELSE filter({found}, x -> {keep}) END"
 
 
 def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+#: counts of a window that share one long, five bits each
+PACKED = 12
+
+
 def _best_entropy(alphabet: str) -> str:
     """SQL for the highest entropy of a full window of ``c.hit``'s characters that lie in ``alphabet``; -1 without one.
 
-    State: counts (one place per character of the class), s = sum of n*log2(n),
+    The candidate is cut into its characters once. State: counts (five bits for each character of the class), s = sum of n*log2(n),
     run = length of the current run inside the class, best = the least s so far.
     """
     term = "IF({0} <= 1, 0D, {0} * log2({0}))"
-    place = "instr('" + alphabet + "', substr(c.hit, i, 1))"
-    old = "instr('" + alphabet + f"', substr(c.hit, i - {WINDOW}, 1))"
-    zero = f"array_repeat(0, {len(alphabet)})"
+    place = lambda ch: f"instr('{alphabet}', {ch}) - 1"
+    zero = f"array_repeat(0L, {-(-len(alphabet) // PACKED)})"
+    count = lambda n, k: f"CAST(shiftright({n}[CAST({k} DIV {PACKED} AS INT)], 5 * ({k} % {PACKED})) & 31 AS INT)"
+    moved = lambda n, k, sign: f"transform({n}, (v, j) -> IF(j = {k} DIV {PACKED}, v {sign} shiftleft(1L, 5 * ({k} % {PACKED})), v))"
     return f"""
-      aggregate(
-        transform(sequence(1, length(c.hit)), i -> named_struct('new', {place}, 'old', IF(i > {WINDOW}, {old}, 0))),
+      transform(array(split(c.hit, '')), h -> aggregate(
+        transform(h, (ch, i) -> named_struct('new', {place("ch")}, 'old', IF(i >= {WINDOW}, {place(f"h[i - {WINDOW}]")}, 0))),
         named_struct('n', {zero}, 's', 0D, 'run', 0, 'best', 1e9D),
-        (a, x) -> IF(x.new = 0, named_struct('n', {zero}, 's', 0D, 'run', 0, 'best', a.best),
+        (a, x) -> IF(x.new < 0, named_struct('n', {zero}, 's', 0D, 'run', 0, 'best', a.best),
           transform(array(
             IF(a.run < {WINDOW}, named_struct('n', a.n, 's', a.s),
-               named_struct('n', transform(a.n, (v, k) -> IF(k = x.old - 1, v - 1, v)),
-                            's', a.s - {term.format("a.n[x.old - 1]")} + {term.format("(a.n[x.old - 1] - 1)")}))),
-            w -> named_struct(
-              'n', transform(w.n, (v, k) -> IF(k = x.new - 1, v + 1, v)),
-              's', w.s - {term.format("w.n[x.new - 1]")} + {term.format("(w.n[x.new - 1] + 1)")},
-              'run', LEAST(a.run + 1, {WINDOW}),
-              'best', IF(a.run + 1 >= {WINDOW},
-                         LEAST(a.best, w.s - {term.format("w.n[x.new - 1]")} + {term.format("(w.n[x.new - 1] + 1)")}), a.best)))[0]),
-        a -> IF(a.best > 1e8D, -1D, {math.log2(WINDOW)!r}D - a.best / {WINDOW}))"""
+               transform(array({count("a.n", "x.old")}), q -> named_struct('n', {moved("a.n", "x.old", "-")}, 's', a.s - {term.format("q")} + {term.format("(q - 1)")}))[0])),
+            w -> transform(array({count("w.n", "x.new")}), q -> transform(array(w.s - {term.format("q")} + {term.format("(q + 1)")}), t -> named_struct(
+              'n', {moved("w.n", "x.new", "+")}, 's', t, 'run', LEAST(a.run + 1, {WINDOW}),
+              'best', IF(a.run + 1 >= {WINDOW}, LEAST(a.best, t), a.best)))[0])[0])[0]),
+        a -> IF(a.best > 1e8D, -1D, {math.log2(WINDOW)!r}D - a.best / {WINDOW})))[0]"""
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -121,11 +133,16 @@ def scan(docs: DataFrame) -> DataFrame:
         F.expr(_spans("hex", _quoted(HEX))).alias("s_hex"),
         F.expr(f"CASE WHEN exists(m_entropy, x -> x RLIKE '[0-9]') THEN ({_spans('entropy', _quoted(CANDIDATE), worth)}) ELSE array() END").alias("s_candidate"),
     ).withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    covered = "exists(base, b -> b.start <= c.start AND c.end <= b.end)"
+    # in the order of starts, base spans first, a candidate is covered if a base span so far ends as late
+    marks = "array_sort(concat(transform(base, b -> named_struct('start', b.start, 'candidate', -1, 'end', b.end)), transform(s_candidate, (c, i) -> named_struct('start', c.start, 'candidate', i, 'end', c.end))))"
+    latest = _running("transform(marks, x -> IF(x.candidate < 0, x.end, -1))", "greatest({0}, {1})", "-1")
+    open_ = "transform(filter(transform(marks, (x, i) -> named_struct('candidate', x.candidate, 'open', x.candidate >= 0 AND latest[i] < x.end)), x -> x.open), x -> s_candidate[x.candidate])"
     strong = " OR ".join(f"{_best_entropy(chars)} >= {least}D" for _, chars, least in CLASSES)
     named = "transform({0}, s -> named_struct('start', s.start, 'kind', element_at(array('assign','access','hex','entropy'), s.kind_no + 1), 'end', s.end))"
     return (
-        located.withColumn("s_entropy", F.expr(f"filter(s_candidate, c -> NOT {covered} AND ({strong}))"))
+        located.withColumn("marks", F.expr(f"CASE WHEN size(s_candidate) = 0 THEN array() ELSE {marks} END"))
+        .withColumn("latest", F.expr(latest))
+        .withColumn("s_entropy", F.expr(f"filter({open_}, c -> {strong})"))
         .withColumn("all", F.array_sort(F.concat("base", "s_entropy")))
         .select(
             *[F.col("row")[c].alias(c) for c in docs.columns],

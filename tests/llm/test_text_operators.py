@@ -67,6 +67,16 @@ def test_secrets_match_brute_force(spark, sf_dir):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    """Stretches of running positions, a long candidate, and many matches beside many candidates."""
+    rng = random.Random(6)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pick = lambda n: "".join(rng.choice(b64) for _ in range(n))
+    rows = [(1, "x " + "a" * 5000 + pick(4000) + " é"), (2, " ".join(f"é token={pick(rng.randrange(4, 30))}" for _ in range(700))), (3, " ".join([pick(22) for _ in range(600)] + ["api_key='" + pick(24) + "'"] * 300))]
+    got = secrets.scan(documents(spark, rows)).select("text", secrets.digest(F.col("base")).alias("b"), secrets.digest(F.col("spans")).alias("s")).collect()
+    assert [(r.b, r.s) for r in got] == [scanned(r.text) for r in got]
+
+
 def test_line_dedup_edges(spark):
     rows = [(2, "Common line here\nown"), (1, "x\n  COMMON line here\t\ncommon line here"), (3, "common line here"), (None, "common line here"), (4, None), (5, ""), (2, "Common line here\nown"), (6, "short\nshort"), (7, "a\ncommon line here\n\nb\ncommon line here")]
     out = line_dedup.dedup_lines(documents(spark, rows))
