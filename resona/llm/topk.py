@@ -76,8 +76,8 @@ def _search(vectors: pd.DataFrame, asked: pd.DataFrame, dim: int, k: int) -> pd.
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: int = 24, block: int = 1024, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k largest integer inner products.
 
-    ``is_query`` is a boolean column over vec_id. ``floor(scale * x)`` and its sums of
-    products must stay below 2**53.
+    ``is_query`` is a boolean column over vec_id. Vectors whose squared length in integers
+    reaches 2**53 raise an error.
     """
     ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     valid = cut(
@@ -87,6 +87,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, pivots: in
     )
     queries = cut(valid.where("is_query").groupBy("vec_id").agg(F.min("ints").alias("ints")).withColumn("dim", F.size("ints")))
     shapes = valid.groupBy("dim").agg(F.max(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).join(queries.select("dim").distinct(), "dim").orderBy("dim").collect()
+    if any(s["most"] >= 2.0**53 for s in shapes):  # no product is larger, nor any sum on the way to it
+        raise ValueError("components are too large: a squared length reaches 2**53, beyond which scores would not be exact")
     of = lambda df, s: df.where(F.col("dim") == s["dim"])
     found = [_of_one_length(of(valid, s), of(queries, s), s["dim"], s["most"], k, pivots, block, query_block) for s in shapes]
     if not found:

@@ -258,6 +258,16 @@ def test_top_k_of_repeated_query_rows(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_top_k_of_large_components(spark):
+    """Scores are exact or not given."""
+    near = [(50, [300_000.0, 1.0], 0), (51, [299_999.0, -5.0], 0), (52, [-4.0, 2.0], 0)]
+    got = topk.top_k(vectors(spark, near), F.col("vec_id") % 50 == 0).collect()
+    score = lambda a, b: sum(int(256 * x) * int(256 * y) for x, y in zip(a, b))
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(51, score(near[0][1], near[1][1])), (52, score(near[0][1], near[2][1]))]
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(vectors(spark, [(50, [3e9, 1.0], 0), (51, [3e9, 2.0], 0)]), F.col("vec_id") % 50 == 0)
+
+
 def test_sainte_lague_matches_the_quotients():
     rng = random.Random(6)
     for _ in range(200):
