@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -17,12 +18,14 @@ def csv(spark: SparkSession, path: str | list[str], schema: str | None = None, e
 
 
 def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) of every file: UTF-8 where its bytes are valid UTF-8, by mark or by content, else Latin-1.
+    """(path, encoding) of every file that holds a line: UTF-8 where all its lines are valid UTF-8, else Latin-1.
 
-    Files are probed where they lie; no content comes to the driver.
+    The lines' bytes are tested as the text source splits them, so a file of any size is read in parts by many tasks and no
+    row holds more than a line; no part of a UTF-8 character is a line's end. Nothing but the verdicts is gathered.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), ENCODINGS[0]).otherwise(ENCODINGS[1]).alias("encoding"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    valid = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    return valid.select("path", F.when(F.col("valid"), ENCODINGS[0]).otherwise(ENCODINGS[1]).alias("encoding"))
 
 
 def csv_any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,7 +36,7 @@ def csv_any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
         for e in ENCODINGS
         if not found.where(F.col("encoding") == e).isEmpty()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else csv(spark, path, schema)
 
 
 def labelled(spark: SparkSession, paths: Mapping[str, str], label: str, schema: str | None = None) -> DataFrame:
@@ -60,6 +63,35 @@ def materialized(spark: SparkSession, path: str, build) -> DataFrame:
         return spark.read.parquet(path)
 
 
+def signature(df: DataFrame) -> str:
+    """What ``df`` would be made of: a hash of its plan, its schema, and its input files' names, sizes and times."""
+    files = df.inputFiles()
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", F.unix_micros("modificationTime").alias("at")) if files else None
+    # sums of hashes don't depend on an order; nothing but three figures comes back
+    row = F.xxhash64("path", "length", "at")
+    state = listed.agg(F.count("*"), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), row))).first() if files else ()
+    return hashlib.sha256(repr((df.semanticHash(), df.schema.json(), tuple(map(str, state)))).encode()).hexdigest()[:32]
+
+
+def reused(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as saved under ``path`` while its inputs and its plan stay as they were; else it is computed and saved there first.
+
+    Each signature has a folder of its own, which counts once its mark is written, so a crash leaves no half result.
+    Earlier results stay until they are deleted.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark, key = df.sparkSession, signature(df)
+    try:
+        spark.read.text(f"{path}/marks/{key}").count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df.write.mode("overwrite").parquet(f"{path}/results/{key}")
+        spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/marks/{key}")
+    return spark.read.parquet(f"{path}/results/{key}")
+
+
 MEDIA = ("mp3", "wav", "flac", "m4a", "ogg")
 
 

@@ -135,6 +135,38 @@ def test_files_round_trip(spark, tmp_path):
     assert readers.materialized(spark, f"{tmp_path}/kept", lambda: df).count() == readers.materialized(spark, f"{tmp_path}/kept", lambda: 1 / 0).count() == 2
 
 
+def test_encodings_by_lines(spark, tmp_path):
+    folder = tmp_path / "texts"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "plain.csv").write_bytes(b"a,b\n1,2\n")
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "utf.csv").write_bytes("é,日\n".encode() * 50_000)
+    (folder / "deep/late.csv").write_bytes("é,b\n".encode() * 80_000 + "é\n".encode("latin-1"))  # only the last line tells
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # files in parts
+    try:
+        got = {r.path.rsplit("/", 1)[-1]: r.encoding for r in readers.encodings(spark, str(folder)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"plain.csv": "UTF-8", "utf.csv": "UTF-8", "late.csv": "ISO-8859-1"}
+
+
+def test_results_are_reused_while_nothing_changed(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    made = lambda least: readers.reused(spark.read.parquet(f"{tmp_path}/in").where(F.col("id") >= least), f"{tmp_path}/kept")
+    names = lambda: sorted(p.name for p in (tmp_path / "kept/results").iterdir())
+    assert made(4).count() == 6
+    before = names()
+    files = made(4).inputFiles()
+    assert made(4).inputFiles() == files and names() == before  # an equal plan over equal files
+    assert made(5).count() == 5 and len(names()) == 2  # another plan
+    spark.range(10, 12).write.mode("append").parquet(f"{tmp_path}/in")
+    assert made(4).count() == 8 and len(names()) == 3  # another input
+    import shutil
+
+    shutil.rmtree(tmp_path / "kept/marks")  # saved, but never marked as whole
+    assert made(4).count() == 8
+
+
 def test_media_manifest(spark):
     files = spark.createDataFrame([("a/b.MP3", 10, 30.0), ("c.txt", 60 << 20, 1.0)], "path string, length long, duration double")
     got = {r.path: (r.valid, r.problems) for r in readers.media_manifest(files).collect()}
