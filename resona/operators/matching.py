@@ -197,12 +197,21 @@ def search(catalog: DataFrame, queries: DataFrame, columns: list[str], rank_by:
     """Per query (column q) the catalog rows whose best partial ratio over ``columns`` exceeds ``least``.
 
     The stated queries meet all distinct names, in blocks of ``block`` queries: a partial ratio
-    this low allows no key that both must share. Distinct names are scored, not rows.
+    this low allows no key that both must share. Before anything is scored, the characters that both hold (each as often as
+    both do) must suffice: a common subsequence above ``least`` has more than least / (200 - least) of the
+    shorter text's. Distinct names are scored, not rows.
     """
-    names = catalog.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct()
+
+    def characters(text: Column) -> Column:
+        """The text's characters, numbered among equals."""
+        return F.transform(F.array(F.split(text, "")), lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"))))[0]
+
+    names = catalog.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct().withColumn("cs", characters(F.lower("name")))
     asked = queries.select("q").where("q IS NOT NULL").distinct()
-    blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-asked.count() // block))))).agg(F.collect_list("q").alias("qs"))
-    pairs = names.crossJoin(blocks.select("qs")).select("name", F.explode("qs").alias("q"))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-asked.count() // block))))).agg(F.collect_list(F.struct("q", characters(F.col("q")).alias("q_cs"))).alias("qs"))
+    met = settled(names).crossJoin(settled(blocks.select("qs"))).select("name", "cs", F.inline("qs"))
+    shared, shorter = F.size(F.array_intersect("cs", "q_cs")), F.least(F.char_length("name"), F.char_length("q"))
+    pairs = met.where(shared * (200 - least) > least * shorter).select("name", "q")
     hits = pairs.withColumn("score", partial_ratio(F.col("q"), F.lower("name"))).where(F.col("score") > least)
     rows = catalog.select(*columns, rank_by).distinct()
     found = [rows.join(hits, rows[c] == hits["name"]).drop("name") for c in columns]
