@@ -97,7 +97,12 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, to: str) -> DataFrame:
     """Adds ``to``: the place of the value among the column's distinct values, from 0; null for null."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(to, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
+    ranged = settled(df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    # ranges ascend by their number: a range's first place is the size of those before it
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    codes = ranged.join(F.broadcast(before), "_part").select(column, place.cast("int").alias(to))
     return df.join(codes, column, "left")
 
 
