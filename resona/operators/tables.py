@@ -121,6 +121,12 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | st
     return ranked.where("_n = 1").drop("_n")
 
 
+def first_row(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As ``first_per_key``, aggregated before the shuffle, so that a key may hold any share of the rows."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order))
+    return df.groupBy(*key).agg(first.alias("_first")).select("_first.*")
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
 

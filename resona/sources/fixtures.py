@@ -93,6 +93,26 @@ SELECT rec_id, source_dataset, source_priority, track_name, artist_name, genre,
 FROM ({VIEWS["tracks"].strip()}) t
 """
 
+VIEWS["raw_tracks"] = f"""
+SELECT rec_id AS row_id,
+  CASE WHEN tempo > 265 THEN ' ' WHEN tempo < 42 THEN NULL ELSE CONCAT(' ', track_name, '/', artist_name) END AS track_id,
+  CASE WHEN valence = 0.25 THEN 'nan' WHEN source_priority = 2 THEN CONCAT(artist_name, ', Guest; Choir feat. Band') ELSE CONCAT(artist_name, ' ') END AS artists,
+  source_dataset AS album_name,
+  CASE WHEN acousticness = 0.5 THEN ' ' WHEN acousticness = 0.51 THEN 'None' ELSE CONCAT(' ', track_name) END AS track_name,
+  CASE WHEN popularity_score IS NULL THEN 'n/a' ELSE CAST(CAST(FLOOR(popularity_score) AS BIGINT) AS STRING) END AS popularity,
+  CASE WHEN valence < 0.05 THEN NULL ELSE CAST(CAST(FLOOR(tempo * tempo * 30) AS BIGINT) AS STRING) END AS duration_ms,
+  CASE WHEN valence < 0.3 THEN 'True' WHEN valence < 0.6 THEN 'no' WHEN valence < 0.9 THEN '1' END AS explicit,
+  danceability * 1.05 AS danceability, energy, valence, acousticness, instrumentalness, liveness, speechiness, tempo, loudness,
+  CASE WHEN liveness > 0.9 THEN NULL ELSE CAST(FLOOR(acousticness * 14) AS INT) END AS key,
+  CASE WHEN liveness < 0.1 THEN NULL ELSE CAST(FLOOR(energy * 2) AS INT) END AS mode,
+  CASE WHEN valence > 0.95 THEN NULL ELSE CAST(FLOOR(speechiness * 18) AS INT) END AS time_signature,
+  CASE WHEN valence = 0.5 THEN 'Acid Jazz ' WHEN valence = 0.51 THEN 'spoken word' WHEN genre = 'unknown' THEN 'nan' ELSE CONCAT(' ', UPPER(genre)) END AS track_genre,
+  CASE WHEN valence > 0.8 THEN NULL ELSE CONCAT('Chart, ', genre, ',', source_dataset) END AS tags,
+  CAST(CAST(FLOOR(tempo) AS INT) + 1800 AS STRING) AS year,
+  CASE source_dataset WHEN 'tiktok_2021' THEN '2021' WHEN 'tiktok_2022' THEN '2022' END AS source_year
+FROM ({VIEWS["tracks"].strip()}) t
+"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``VIEWS``, or a table itself."""
