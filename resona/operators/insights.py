@@ -195,6 +195,26 @@ def platform_strategies(affinity: DataFrame) -> DataFrame:
     return found.withColumn("strategies", F.coalesce(advice[F.col("platform")], F.expr("CAST(array() AS array<string>)")))
 
 
+# Strategies, platforms and content by the audience that a profile's name begins with.
+AUDIENCE_STRATEGIES = {
+    "Gen Z": (("TikTok-first content strategy", "Short-form video content", "Trend-driven campaigns", "Authentic, unpolished aesthetics", "Social cause alignment"),
+              ("TikTok", "Instagram Reels", "YouTube Shorts"), ("Dance challenges", "Memes", "Behind-the-scenes", "Collaborations")),
+    "Millennials": (("Nostalgic content themes", "High-quality production", "Playlist-focused marketing", "Festival and live event tie-ins", "Email marketing campaigns"),
+                    ("Spotify", "Facebook", "Instagram", "YouTube"), ("Music videos", "Acoustic sessions", "Interviews", "Live performances")),
+    "Cross-Platform": (("Integrated multi-platform campaigns", "Consistent branding across platforms", "Platform-specific content adaptations", "Community building approach", "Data-driven optimization"),
+                       ("All major platforms",), ("Adapted content for each platform", "Cross-platform storytelling")),
+}
+
+
+def audience_strategies(songs: DataFrame, alignments: Mapping[str, Column]) -> DataFrame:
+    """Per audience of the strategy table that some alignment's name holds: the mean alignment over all songs and the audience's strategies, platforms and content."""
+    row = songs.agg(*[F.avg(c).alias(n) for n, c in alignments.items()])
+    listed = lambda texts: F.array(*[F.lit(t) for t in texts])
+    found = {next((a for a in AUDIENCE_STRATEGIES if a in n), None): n for n in alignments}
+    entries = [F.struct(F.lit(a).alias("audience"), F.col(f"`{found[a]}`").alias("avg_alignment"), *[listed(t).alias(k) for k, t in zip(("strategies", "platforms", "content"), AUDIENCE_STRATEGIES[a], strict=True)]) for a in AUDIENCE_STRATEGIES if a in found]
+    return row.select(F.inline(F.array(*entries)))
+
+
 # Texts by platform; (feature, above, probability above, text) in order, then the last resort.
 PLATFORM_TEXTS = {
     "tiktok": ((("danceability", 0.7, 0.7, "High viral potential - create dance challenges and trending content"), ("energy", 0.7, 0.5, "Good energy for fitness/workout content and energetic trends"),

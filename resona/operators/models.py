@@ -72,6 +72,29 @@ def sound_profiles(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select("cluster", "size", (F.col("size") / F.col("all") * 100).alias("share"), *columns, labels.alias("labels"))
 
 
+# Names of personas by cluster number.
+PERSONA_NAMES = (
+    "High-Energy Dancers", "Chill Acoustics", "Electronic Beats", "Vocal-Heavy Tracks", "Instrumental Focus", "Balanced Mainstream", "Experimental", "Live Performance", "Melancholic", "Party Anthems",
+)
+
+
+def personas(labelled: DataFrame, columns: Sequence[str], viral: DataFrame, song: Sequence[str] = ("track_clean", "artist_clean"), platform: str = "platform") -> DataFrame:
+    """Per cluster (numbered from 0): name, size, percentage, <c>_mean and <c>_std, the mean virality of its songs (0 with none) and its platforms by rows.
+
+    ``viral`` holds one virality_score per song; a song that several of a cluster's rows name counts once.
+    """
+    total = labelled.agg(F.count("*").alias("_all"))
+    figures = labelled.groupBy("cluster").agg(F.count("*").alias("size"), *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    members = labelled.select("cluster", *song).distinct()
+    spread = members.join(viral.select(*song, "virality_score"), list(song)).groupBy("cluster").agg(F.avg("virality_score").alias("_viral"))
+    counted = labelled.where(F.col(platform).isNotNull()).groupBy("cluster", platform).agg(F.count("*").alias("_n"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("minus"), F.col(platform).alias("name"))))
+    placed = counted.groupBy("cluster").agg(F.transform(listed, lambda x: F.struct(x["name"].alias("platform"), (-x["minus"]).alias("songs"))).alias("platforms"))
+    name = F.coalesce(F.get(F.array(*[F.lit(n) for n in PERSONA_NAMES]), F.col("cluster")), F.concat(F.lit("Persona_"), F.col("cluster").cast("string")))
+    out = figures.crossJoin(F.broadcast(total)).join(spread, "cluster", "left").join(placed, "cluster", "left")
+    return out.select("cluster", name.alias("persona"), "size", (F.col("size") / F.col("_all") * 100).alias("percentage"), *[f"{c}_{n}" for c in columns for n in ("mean", "std")], F.coalesce("_viral", F.lit(0.0)).alias("avg_virality"), "platforms")
+
+
 def nearest_songs(labelled: DataFrame, key: str, k: int = 5) -> DataFrame:
     """Per cluster the ``k`` rows nearest to its centre."""
     own = F.element_at("distances", F.col("cluster") + 1)

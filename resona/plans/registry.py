@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resona.plans import cleaning, columns, datasets, insight, relations, scoring  # noqa: F401  (they register their queries)
+from resona.plans import cleaning, columns, datasets, insight, relations, reporting, scoring  # noqa: F401  (they register their queries)
 from resona.plans.query import ORACLES, QUERIES
 from resona.sources.fixtures import view
 
