@@ -50,11 +50,86 @@ def cluster(df: DataFrame, columns: Sequence[str], k: int, seed: int = 42):
     return model, labelled.withColumn("probabilities", F.transform(near, lambda x: F.when(total > 0, x / total).otherwise(1.0 / k)))
 
 
-def elbow(df: DataFrame, columns: Sequence[str], most: int = 8, seed: int = 42) -> tuple[int, list[float]]:
-    """The k with the largest second difference of the training cost over 2..most, and the costs."""
-    ready = vectors(df, columns).select("features").persist()
-    costs = [KMeans(k=k, seed=seed).fit(ready).summary.trainingCost for k in range(2, most + 1)]
-    ready.unpersist()
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre and the squared distance to it."""
+    squares = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]
+    return squares.argmin(1), np.maximum(squares.min(1), 0.0)
+
+
+def _seeded_centres(x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 5) -> np.ndarray:
+    """k rows, each drawn by its squared distance from those before, of ``tries`` draws the one with the lowest cost."""
+    best = None
+    for _ in range(tries):
+        chosen = [int(rng.integers(len(x)))]
+        gap = _nearest(x, x[chosen])[1]
+        while len(chosen) < k:
+            share = gap / gap.sum() if gap.sum() > 0 else np.full(len(x), 1 / len(x))
+            chosen.append(int(rng.choice(len(x), p=share)))
+            gap = np.minimum(gap, _nearest(x, x[chosen[-1:]])[1])
+        if best is None or gap.sum() < best[0]:
+            best = (gap.sum(), x[chosen])
+    return best[1]
+
+
+def mini_batches(df: DataFrame, columns: Sequence[str], ks: Sequence[int], batch: int = 10_000, rounds: int = 20, seeds: int = 2_000, seed: int = 42) -> dict[int, tuple[np.ndarray, float]]:
+    """k -> (centres, cost over all rows) by mini-batch k-means, every k in the same passes over the table.
+
+    One pass draws ``rounds`` batches of about ``batch`` rows (all rows, where there are no more). Each round assigns its batch to
+    every k's centres in tasks that return sums alone, and moves a centre by the batch's share of the rows it has seen. The first
+    centres come from at most ``seeds`` rows. A last pass sums the costs. Rows with a null are left out; without rows there is no k.
+    """
+    rows = settled(df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).na.drop())
+    count, names = rows.count(), [f"_{i}" for i in range(len(columns))]
+    if count == 0:
+        return {}
+    drawn = rows.where(F.rand(seed) < min(1.0, batch * rounds / count)).withColumn("_round", F.floor(F.rand(seed + 1) * rounds).cast("int"))
+    drawn = settled(drawn.repartition(rounds))
+    first = drawn.select(*names).limit(seeds).toPandas().to_numpy()
+    if not len(first):
+        first = rows.limit(seeds).toPandas().to_numpy()
+    rng = np.random.default_rng(seed)
+    centres = {k: _seeded_centres(first, k, rng) for k in ks}
+    seen = {k: np.zeros(k) for k in ks}
+
+    def sums(frames, centres):
+        for frame in frames:
+            x = frame[names].to_numpy()
+            for k, c in centres.items():
+                near, _ = _nearest(x, c)
+                n = np.bincount(near, minlength=k)
+                totals = [np.bincount(near, weights=x[:, i], minlength=k) for i in range(x.shape[1])]
+                yield pd.DataFrame({"k": k, "c": range(k), "n": n, **dict(zip(names, totals, strict=True))})[n > 0]
+
+    def costs(frames, centres):
+        for frame in frames:
+            x = frame[names].to_numpy()
+            yield pd.DataFrame({"k": list(centres), "cost": [_nearest(x, c)[1].sum() for c in centres.values()]})
+
+    schema = "k int, c int, n long, " + ", ".join(f"{n} double" for n in names)
+    for turn in range(rounds):
+        now = dict(centres)
+        partial = drawn.where(F.col("_round") == turn).mapInPandas(lambda frames, now=now: sums(frames, now), schema)
+        centres = {k: c.copy() for k, c in now.items()}
+        for r in partial.groupBy("k", "c").agg(*[F.sum(n).alias(n) for n in ("n", *names)]).collect():
+            seen[r.k][r.c] += r.n
+            centres[r.k][r.c] += (np.array([r[n] for n in names]) / r.n - now[r.k][r.c]) * r.n / seen[r.k][r.c]
+    final = rows.mapInPandas(lambda frames: costs(frames, centres), "k int, cost double").groupBy("k").agg(F.sum("cost").alias("cost")).collect()
+    return {r.k: (centres[r.k], r.cost) for r in final}
+
+
+def elbow(df: DataFrame, columns: Sequence[str], most: int = 8, seed: int = 42, full: int = 10_000) -> tuple[int, list[float]]:
+    """The k with the largest second difference of the training cost over 2..most, and the costs.
+
+    Up to ``full`` rows are fitted once for each k, more of them by mini-batches for all k together.
+    """
+    ready = vectors(df, columns)
+    if ready.count() > full:
+        found = mini_batches(ready, columns, range(2, most + 1), seed=seed)
+        costs = [found[k][1] for k in range(2, most + 1)]
+    else:
+        points = ready.select("features").persist()
+        costs = [KMeans(k=k, seed=seed).fit(points).summary.trainingCost for k in range(2, most + 1)]
+        points.unpersist()
     bends = [costs[i - 1] - 2 * costs[i] + costs[i + 1] for i in range(1, len(costs) - 1)]
     return (2 + 1 + bends.index(max(bends)) if bends else 2), costs
 
