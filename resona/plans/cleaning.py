@@ -9,7 +9,7 @@ from resona.operators import cleaning, stats
 from resona.plans.query import query
 
 _ONE_PER_ID = """t AS (SELECT * EXCLUDE (track_id), trim(track_id) AS track_id FROM raw_tracks WHERE trim(track_id) <> ''),
-u AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY row_id) AS n FROM t) WHERE n = 1)"""
+u AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY row_id, popularity) AS n FROM t) WHERE n = 1)"""
 
 
 def _clip(column: str, low: float, high: float) -> str:
@@ -46,7 +46,7 @@ SELECT row_id, track_id, artists, CAST(coalesce(len(regexp_extract_all(artists,
   round(acousticness * instrumentalness, 9) AS acoustic_instrumental, CASE WHEN popularity > 0 THEN {_bins('popularity', [20, 50, 80, 100], ['low', 'medium', 'high', 'viral'])} END AS popularity_category,
   {_bins('tempo', [90, 120, 140, 300], ['slow', 'moderate', 'fast', 'very_fast'])} AS tempo_category FROM g""")
 def ds14_track_cleaning_job(raw_tracks):
-    out = cleaning.track_table(raw_tracks.drop("tags", "year", "source_year"), ["row_id"])
+    out = cleaning.track_table(raw_tracks.drop("tags", "year", "source_year"), ["row_id", "popularity"])
     rounded = {"duration_minutes": 6, "energy_danceability": 9, "mood_score": 9, "acoustic_instrumental": 9}
     return out.select(
         "row_id", "track_id", "artists", "artist_count", "track_name", "explicit", "track_genre", "genre_group", "is_mainstream", *cleaning.TRACK_RANGES, *[F.round(c, d).alias(c) for c, d in rounded.items()],
@@ -57,7 +57,7 @@ _YEARLY = {"track_pop": "TRY_CAST(popularity AS DOUBLE)", **{c: f"TRY_CAST({c} A
 _FILL = {c: f"(SELECT {c} FROM y WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" if c in cleaning.CATEGORIES else f"(SELECT median({c}) FROM y)" for c in _YEARLY}
 _CLEAN_YEARS = f"""
 WITH k AS (SELECT *, regexp_replace(lower(trim(track_name)), '[^\\w\\s]', '', 'g') AS kt, regexp_replace(lower(trim(artists)), '[^\\w\\s]', '', 'g') AS ka FROM raw_tracks WHERE source_year IS NOT NULL),
-y AS (SELECT row_id, track_name, artists, source_year, {', '.join(f'{e} AS {c}' for c, e in _YEARLY.items())} FROM (SELECT *, row_number() OVER (PARTITION BY kt, ka ORDER BY source_year, row_id) AS n FROM k) WHERE n = 1),
+y AS (SELECT row_id, track_name, artists, source_year, {', '.join(f'{e} AS {c}' for c, e in _YEARLY.items())} FROM (SELECT *, row_number() OVER (PARTITION BY kt, ka ORDER BY source_year, row_id, popularity) AS n FROM k) WHERE n = 1),
 m AS (SELECT {', '.join(f'{e} AS m_{c}' for c, e in _FILL.items())}),
 c AS (SELECT row_id, track_name, artists, source_year, coalesce(track_pop, m_track_pop) AS track_pop, {', '.join(f"{_clip(f'coalesce({c}, m_{c})', *r)} AS {c}" for c, r in cleaning.YEARLY_RANGES.items())} FROM y, m)
 """
@@ -65,7 +65,7 @@ c AS (SELECT row_id, track_name, artists, source_year, coalesce(track_pop, m_tra
 
 def _years(raw_tracks):
     named = raw_tracks.withColumnsRenamed({"popularity": "track_pop", "artists": "artist_name"}).drop("source_year")
-    return cleaning.yearly_tracks({y: named.where(F.col("album_name") == f"tiktok_{y}") for y in ("2021", "2022")}, ["row_id"])
+    return cleaning.yearly_tracks({y: named.where(F.col("album_name") == f"tiktok_{y}") for y in ("2021", "2022")}, ["row_id", "track_pop"])
 
 
 @query("raw_tracks", _CLEAN_YEARS + f"SELECT row_id, track_name, artists, source_year, track_pop, {', '.join(cleaning.YEARLY_RANGES)} FROM c")

@@ -39,7 +39,7 @@ def sc16_ar_report(songs):
 
 
 @query("songs", f"""
-WITH m AS (SELECT *, row_number() OVER (PARTITION BY track_name, artist_name ORDER BY source_priority, rec_id) AS n FROM songs QUALIFY n = 1),
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY track_name, artist_name ORDER BY source_priority, rec_id, avg_popularity) AS n FROM songs QUALIFY n = 1),
 o AS (SELECT round(0.7 * c + 0.3 * least(10 * s, 30), 2) AS overall FROM (SELECT (count(energy) + count(danceability) + count(genre)) / (3.0 * count(*)) * 100 AS c, count(DISTINCT source_dataset) AS s FROM songs)),
 f AS (SELECT count(*) AS total_unique_tracks, (SELECT count(DISTINCT source_dataset) FROM songs) AS source_datasets, count(*) FILTER (WHERE source_count > 1) AS multi_source_tracks, count(*) FILTER (WHERE abs(avg_popularity - normalized_popularity) > 30) AS outliers,
   (SELECT overall FROM o) AS overall, {', '.join(f'round(count({c}) * 100.0 / count(*), 2) AS {c}' for c in _SOUND)} FROM m),
@@ -56,7 +56,7 @@ UNION ALL {_entries('data_completeness', '1', 'feature', 'c', ['percent'])}
 UNION ALL {_entries('data_sources', 'priority', 'source_dataset', 'p', ['total_records', 'contribution_to_master', *_SOUND])}
 UNION ALL {_entries('recommendations', '1', 'category', 'r', [], ('priority', 'recommendation'))}""")
 def val26_integration_report(songs):
-    masters = tables.first_row(songs, ["track_name", "artist_name"], ["source_priority", "rec_id"]).withColumnRenamed("source_dataset", "primary_source")
+    masters = tables.first_row(songs, ["track_name", "artist_name"], ["source_priority", "rec_id", "avg_popularity"]).withColumnRenamed("source_dataset", "primary_source")
     return reports.integration_sections(masters, songs, val15_quality_summary(songs), _SOUND)
 
 
