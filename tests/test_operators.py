@@ -206,6 +206,31 @@ def test_top_similar_skips_blocks_of_clusters(spark):
     assert models.top_similar(df.limit(0), "id", "v").count() == 0
 
 
+def _shuffled(spark):
+    listed = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(listed.apply(i).totalShuffleWrite() for i in range(listed.size()))
+
+
+def test_top_similar_sends_a_block_once_to_a_strip(spark):
+    import numpy as np
+
+    x = np.random.default_rng(8).normal(size=(1200, 16))
+    df = spark.createDataFrame([(f"k{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        got = models.top_similar(df, "id", "v", k=5, block=10, strip_bytes=40_000, task_bytes=60_000).collect()
+        sent = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(u @ u.T, 12)
+    np.fill_diagonal(near, -np.inf)
+    want = {(f"k{q:04}", r + 1): f"k{i:04}" for q in range(1200) for r, i in enumerate(np.argsort(-near[q], kind="stable")[:5])}
+    assert {(r["query"], r["rank"]): r["item"] for r in got} == want
+    assert sent < 40 * x.nbytes  # some 14,000 pairs of blocks of 1,280 bytes would be 120 times and more
+
+
 def test_similar_spellings_merge(spark, sf_dir):
     from resona.sources.fixtures import view
 
