@@ -231,6 +231,40 @@ def test_top_similar_sends_a_block_once_to_a_strip(spark):
     assert sent < 40 * x.nbytes  # some 14,000 pairs of blocks of 1,280 bytes would be 120 times and more
 
 
+def _window_sorts(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Window [") + plan.count("WindowGroupLimit [")
+
+
+def test_similar_by_best_ranks_keys_in_place(spark):
+    rows = [(f"r{i:02}", float(i % 4), float(i % 3), None if i % 5 else 2.5) for i in range(30)] + [("r07", 3.0, 1.0, None)] * 3 + [("none", None, None, None), (None, 9.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, z double").repartition(5)
+    got = models.similar_by_best(df, "id", {n: F.col(n) for n in "xyz"}, k=5)
+    assert _window_sorts(got) == 0  # no task sorts the rows of one score
+    lists = {n: sorted(((r[0], r[1 + at]) for r in rows), key=lambda e: (e[1] is None, -(e[1] or 0), e[0] is not None, e[0] or ""))[:6] for at, n in enumerate("xyz")}
+    met = {}
+    for r in rows:
+        known = [v for v in r[1:] if v is not None]
+        if known and r[0] is not None:
+            best = next(n for n, v in zip("xyz", r[1:]) if v == max(known))
+            met.setdefault(r[0], []).extend((best, i, s) for i, s in lists[best] if i is not None and i != r[0])
+    want = {(q, rank + 1): e for q, found in met.items() for rank, e in enumerate(sorted(found, key=lambda e: (-e[2], e[1], e[0]))[:5])}
+    assert {(r.query, r.rank): (r.best, r.item, r.score) for r in got.collect()} == want
+
+
+def test_top_fraction_of_one_large_group(spark):
+    rows = [("big", None if i % 7 == 0 else float(i % 11), i) for i in range(2003)] + [("small", 1.0, i) for i in range(9)] + [("tiny", 1.0, 1)] + [(None, float(i), i) for i in range(8)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(6, "id")
+    found = tables.top_fraction(df, "g", [F.desc_nulls_last("v"), F.col("id")])
+    got = [(r.g, r.v, r.id) for r in found.collect()]
+    want = []
+    for g in ("big", "small", "tiny", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        want += own[: len(own) // 4]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and found.columns == ["g", "v", "id"]
+    assert "_range" in str(found._jdf.queryExecution().optimizedPlan())  # numbered by range, not by group
+
+
 def test_similar_spellings_merge(spark, sf_dir):
     from resona.sources.fixtures import view
 
