@@ -212,6 +212,7 @@ def top1_most_popular(songs):
 @query("songs", """
 SELECT rec_id, platform FROM (SELECT rec_id, platform, row_number() OVER (PARTITION BY platform ORDER BY avg_popularity DESC NULLS LAST, rec_id) AS n, count(*) OVER (PARTITION BY platform) AS c FROM songs) WHERE n <= c // 4""")
 def top2_top_quarter(songs):
+    songs = songs.select("rec_id", "platform", "avg_popularity")
     return tables.top_fraction(songs, "platform", [F.desc_nulls_last("avg_popularity"), F.col("rec_id")]).select("rec_id", "platform")
 
 
