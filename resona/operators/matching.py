@@ -193,27 +193,41 @@ def likely_pairs(songs: DataFrame, least: float = 70, threshold: float = 85) ->
     return met.withColumns({"strict": likely_match(*both, threshold), "lenient": likely_match(*both, threshold, strict=False)})
 
 
+def _outlines(catalog: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """``catalog`` with _<c>: the lower-case name in which every character that no query holds is one and the same other character."""
+    each = F.transform(F.sequence(F.lit(1), F.char_length("q")), lambda i: F.col("q").substr(i, F.lit(1)))
+    held = {r["c"] for r in asked.select(F.explode(each).alias("c")).distinct().collect() if r["c"]}  # characters, not rows
+    other = next(chr(c) for c in range(1, 1 << 16) if chr(c) not in held)
+    pattern = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(held)) + "]" if held else r"[\s\S]"
+    return catalog.withColumns({f"_{c}": F.regexp_replace(F.lower(c), pattern, other) for c in columns})
+
+
 def search(catalog: DataFrame, queries: DataFrame, columns: list[str], rank_by: str, least: float = 60, limit: int = 10, block: int = 256) -> DataFrame:
     """Per query (column q) the catalog rows whose best partial ratio over ``columns`` exceeds ``least``.
 
-    The stated queries meet all distinct names, in blocks of ``block`` queries: a partial ratio
+    A character that no query holds matches nothing, whichever it is, so names that differ by such characters alone
+    score alike: they fall to one outline, and of the rows with the same outlines only the first ``limit`` can be found.
+    The queries meet the distinct outlines, in blocks of ``block`` queries: a partial ratio
     this low allows no key that both must share. Before anything is scored, the characters that both hold (each as often as
     both do) must suffice: a common subsequence above ``least`` has more than least / (200 - least) of the
-    shorter text's. Distinct names are scored, not rows.
+    shorter text's.
     """
 
     def characters(text: Column) -> Column:
         """The text's characters, numbered among equals."""
         return F.transform(F.array(F.split(text, "")), lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"))))[0]
 
-    names = catalog.select(F.explode(F.array(*columns)).alias("name")).where("name IS NOT NULL").distinct().withColumn("cs", characters(F.lower("name")))
-    asked = queries.select("q").where("q IS NOT NULL").distinct()
+    asked = settled(queries.select("q").where("q IS NOT NULL").distinct())
+    outlined = [f"_{c}" for c in columns]
+    rows = _outlines(catalog.select(*columns, rank_by).distinct(), asked, columns)
+    order = [F.desc_nulls_last(rank_by), *[F.col(c) for c in columns]]
+    rows = settled(top_per_group(rows, outlined, order, limit, "_place").drop("_place"))
+    names = rows.select(F.explode(F.array(*outlined)).alias("name")).where("name IS NOT NULL").distinct().withColumn("cs", characters(F.col("name")))
     blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-asked.count() // block))))).agg(F.collect_list(F.struct("q", characters(F.col("q")).alias("q_cs"))).alias("qs"))
     met = settled(names).crossJoin(settled(blocks.select("qs"))).select("name", "cs", F.inline("qs"))
     shared, shorter = F.size(F.array_intersect("cs", "q_cs")), F.least(F.char_length("name"), F.char_length("q"))
     pairs = met.where(shared * (200 - least) > least * shorter).select("name", "q")
-    hits = pairs.withColumn("score", partial_ratio(F.col("q"), F.lower("name"))).where(F.col("score") > least)
-    rows = catalog.select(*columns, rank_by).distinct()
-    found = [rows.join(hits, rows[c] == hits["name"]).drop("name") for c in columns]
+    hits = settled(pairs.withColumn("score", partial_ratio(F.col("q"), F.col("name"))).where(F.col("score") > least))
+    found = [rows.join(hits, rows[c] == hits["name"]).drop("name") for c in outlined]
     best = reduce(DataFrame.unionByName, found).groupBy("q", *columns, rank_by).agg(F.max("score").alias("score"))
-    return top_per_group(best, ["q"], [F.desc("score"), F.desc_nulls_last(rank_by), *[F.col(c) for c in columns]], limit)
+    return top_per_group(best, ["q"], [F.desc("score"), *order], limit)

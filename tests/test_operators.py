@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -265,6 +266,31 @@ def test_top_fraction_of_one_large_group(spark):
     assert "_range" in str(found._jdf.queryExecution().optimizedPlan())  # numbered by range, not by group
 
 
+def test_search_scores_outlines_once(spark, monkeypatch):
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series([fuzzy.partial_of(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+
+    monkeypatch.setattr(matching, "partial_ratio", counted)
+    rows = [(f"{('Red ring', 'old BOLT', 'İx ring', '𝄞red')[i % 4]} {i}", None if i % 5 == 0 else f"Artist#{i % 9}", None if i % 6 == 0 else float(i % 13)) for i in range(600)]
+    rows += [("red", None, 1.0), ("", "red ring", 2.0), (None, "bolt", 3.0), rows[1], rows[1]]
+    asked = ["red ring", "a bolt [7]", "𝄞r", "", "tis"]
+    got = matching.search(spark.createDataFrame(rows, "t string, a string, n double"), spark.createDataFrame([(q,) for q in asked], "q string"), ["t", "a"], "n", limit=7)
+    want = set()
+    for q in asked:
+        best = []
+        for t, a, n in set(rows):
+            score = max(fuzzy.partial_of(q, x.lower()) if x and q else 0.0 for x in (t, a))
+            if score > 60:
+                best.append((-score, n is None, -(n or 0), (t is not None, t or ""), (a is not None, a or ""), t, a, n))
+        want |= {(q, b[5], b[6], b[7], round(-b[0], 9), i + 1) for i, b in enumerate(sorted(best, key=lambda b: b[:5])[:7])}
+    assert {(r.q, r.t, r.a, r.n, round(r.score, 9), r["rank"]) for r in got.collect()} == want
+    assert 0 < scored.value < 400  # 600 and more distinct names for five queries
+
+
 def test_similar_spellings_merge(spark, sf_dir):
     from resona.sources.fixtures import view
 
