@@ -272,9 +272,10 @@ def flagship(tracks, least=None):
     if least is not None:
         keyed = matching.resolve(keyed, "k", least)
     keyed = tables.settled(keyed)  # cleaning the names costs more than all that follows
-    masters = catalog.with_master_id(catalog.merge_groups(keyed, "k", ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"]), "k")
+    masters = catalog.merge_groups(keyed, "k", ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"])
     normalized = tables.settled(catalog.platform_popularity(catalog.repair_platforms(tables.settled(masters))))
-    return scores.with_ar_scores(catalog.fill_popularity(normalized).withColumn("genre", catalog.infer_genre()))
+    named = catalog.with_master_id(normalized, "k")  # hashes don't pack, so they aren't written
+    return scores.with_ar_scores(catalog.fill_popularity(named).withColumn("genre", catalog.infer_genre()))
 
 
 @query("tracks")

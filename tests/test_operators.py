@@ -291,6 +291,24 @@ def test_search_scores_outlines_once(spark, monkeypatch):
     assert 0 < scored.value < 400  # 600 and more distinct names for five queries
 
 
+def test_settled_tables_are_packed_and_whole(spark):
+    from pathlib import Path
+
+    def used():
+        folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    rows = [(i, f"the same long name of a song {i % 9}", [float(i), None], None if i % 2 else i / 7) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "i long, name string, v array<double>, x double").repartition(3)
+    before = used()
+    kept = tables.settled(df.withColumn("t", F.timestamp_seconds("i")).withColumn("s", F.struct("i", "name")))
+    assert used() - before < 20_000 * 60  # as rows: more than 150 bytes each
+    assert sorted(tuple(r)[:4] for r in kept.collect()) == [(i, n, v, x) for i, n, v, x in rows] and kept.where("t = timestamp_seconds(i) AND s.i = i").count() == 20_000
+    odd = tables.settled(spark.sql("SELECT 1 AS a, 2 AS A, NULL AS c"))
+    assert [tuple(r) for r in odd.collect()] == [(1, 2, None)]
+    assert tables.settled(df.limit(0)).schema.names == df.columns and tables.settled(df.limit(0)).isEmpty()
+
+
 def test_similar_spellings_merge(spark, sf_dir):
     from resona.sources.fixtures import view
 
