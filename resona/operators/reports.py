@@ -75,6 +75,8 @@ def integration_sections(masters: DataFrame, raw: DataFrame, overall: DataFrame,
     ``masters`` has one row per song with primary_source, source_count and both popularities, ``raw`` the rows of all sources with
     source_dataset and source_priority, ``overall`` one row with the quality score. A song's genres are mixed when its raw rows name several.
     """
+    # read twice: only what is read of a master is kept
+    masters = tables.settled(masters.select("primary_source", "source_count", "avg_popularity", "normalized_popularity", *features))
     percent = lambda c: F.round(F.count(c) / F.count("*") * 100, 2).alias(c)
     row = masters.agg(
         F.count("*").alias("total_unique_tracks"), F.count_if(F.col("source_count") > 1).alias("multi_source_tracks"), F.count_if(F.abs(F.col("avg_popularity") - F.col("normalized_popularity")) > apart).alias("popularity_outliers"),

@@ -56,7 +56,8 @@ UNION ALL {_entries('data_completeness', '1', 'feature', 'c', ['percent'])}
 UNION ALL {_entries('data_sources', 'priority', 'source_dataset', 'p', ['total_records', 'contribution_to_master', *_SOUND])}
 UNION ALL {_entries('recommendations', '1', 'category', 'r', [], ('priority', 'recommendation'))}""")
 def val26_integration_report(songs):
-    masters = tables.first_row(songs, ["track_name", "artist_name"], ["source_priority", "rec_id", "avg_popularity"]).withColumnRenamed("source_dataset", "primary_source")
+    needed = songs.select("track_name", "artist_name", "source_priority", "rec_id", "source_dataset", "source_count", "avg_popularity", "normalized_popularity", *_SOUND)
+    masters = tables.first_row(needed, ["track_name", "artist_name"], ["source_priority", "rec_id", "avg_popularity"]).withColumnRenamed("source_dataset", "primary_source")
     return reports.integration_sections(masters, songs, val15_quality_summary(songs), _SOUND)
 
 

@@ -51,3 +51,19 @@ def test_personas(spark):
     assert [tuple(p) for p in first.platforms] == [("spotify", 2), ("tiktok", 1)]
     assert (second.persona, second.energy_std, second.avg_virality, second.platforms) == ("Persona_11", None, 0.0, None)
     assert models.personas(labelled.where("false"), ["energy"], viral.withColumn("extra", F.lit(1))).count() == 0
+
+
+def test_integration_report_makes_its_masters_once(spark, sf_dir):
+    from resona.plans import reporting
+    from resona.sources.fixtures import view
+
+    def shuffled():
+        listed = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(listed.apply(i).totalShuffleWrite() for i in range(listed.size()))
+
+    songs = view(spark, sf_dir, "songs")
+    before = shuffled()
+    songs.groupBy("track_name", "artist_name", "rec_id").count().write.format("noop").mode("overwrite").save()
+    once = shuffled() - before
+    assert reporting.val26_integration_report(songs).count() == 39
+    assert shuffled() - before - once < 5 * once
