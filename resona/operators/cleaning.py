@@ -45,16 +45,19 @@ TREND_TYPES = {
     "hashtag challenge": "challenge", "hashtag": "challenge", "meme": "meme_trend", "viral video": "video_trend",
 }
 TREND_GENRES = {"pop music": "pop", "hip hop": "hip_hop", "hip-hop": "hip_hop", "r&b": "rnb", "r and b": "rnb", "edm": "electronic", "electronic dance music": "electronic"}
+#: every white space character of Unicode
+SPACES = "".join(chr(c) for c in (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 ARTIST_SPLIT = r"[,&;]|\s+feat\.?\s+|\s+ft\.?\s+"
 
 
 def _number(column: str) -> Column:
     """A double; what is no number, NaN included, is null."""
-    return F.nullif(F.col(column).try_cast("double"), F.lit(float("nan")))
+    return F.nanvl(F.col(column).try_cast("double"), F.lit(None).cast("double"))
 
 
 def _stripped(column: str) -> Column:
-    return F.regexp_replace(F.col(column).cast("string"), r"(?U)^\s+|\s+$", "")
+    """Text without white space at its ends, trimmed by a list: a pattern costs more code and time."""
+    return F.trim(F.col(column).cast("string"), F.lit(SPACES))
 
 
 def _text(column: str) -> Column:
@@ -182,7 +185,7 @@ def music_catalog(df: DataFrame, order: Sequence[str], key: str = "track_id", na
     features are clipped; counts of artists, genres, tags and of the artist's tracks, categories, and the share of known features."""
     df = tables.first_row(df, [key], order)
     there = set(df.columns)
-    df = df.withColumns({c: F.when(_stripped(c) != "nan", _stripped(c)) for c in (name, artist) if c in there})
+    df = df.withColumns({c: F.nullif(_stripped(c), F.lit("nan")) for c in (name, artist) if c in there})
     df = _with(df, {"name_length": ([name], F.char_length(name)), "artist_count": ([artist], F.coalesce(F.size(F.split(F.col(artist), ARTIST_SPLIT)), F.lit(1)))})
     if "year" in there:
         df = df.withColumn("year", N.within(_number("year"), 1900, 2025)).withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("int"))

@@ -46,7 +46,7 @@ SELECT row_id, track_id, artists, CAST(coalesce(len(regexp_extract_all(artists,
   round(acousticness * instrumentalness, 9) AS acoustic_instrumental, CASE WHEN popularity > 0 THEN {_bins('popularity', [20, 50, 80, 100], ['low', 'medium', 'high', 'viral'])} END AS popularity_category,
   {_bins('tempo', [90, 120, 140, 300], ['slow', 'moderate', 'fast', 'very_fast'])} AS tempo_category FROM g""")
 def ds14_track_cleaning_job(raw_tracks):
-    out = cleaning.track_table(raw_tracks.drop("tags", "year", "source_year"), ["row_id", "popularity"])
+    out = cleaning.track_table(raw_tracks.drop("album_name", "tags", "year", "source_year"), ["row_id", "popularity"])
     rounded = {"duration_minutes": 6, "energy_danceability": 9, "mood_score": 9, "acoustic_instrumental": 9}
     return out.select(
         "row_id", "track_id", "artists", "artist_count", "track_name", "explicit", "track_genre", "genre_group", "is_mainstream", *cleaning.TRACK_RANGES, *[F.round(c, d).alias(c) for c, d in rounded.items()],
