@@ -50,11 +50,10 @@ def clip(column: Column, low: float, high: float) -> Column:
 
 def cut_bins(column: Column, edges: Sequence[float], labels: Sequence[str], include_lowest: bool = False) -> Column:
     """Right-closed bins (a, b]; the lowest edge itself is outside unless ``include_lowest``."""
-    out = F
-    for k, (low, high, label) in enumerate(zip(edges[:-1], edges[1:], labels, strict=True)):
-        above = (column >= low) if include_lowest and k == 0 else (column > low)
-        out = out.when(above & (column <= high), F.lit(label))
-    return out.otherwise(F.lit(None).cast("string"))
+    out = F.when((column < edges[0]) if include_lowest else (column <= edges[0]), F.lit(None).cast("string"))
+    for high, label in zip(edges[1:], labels, strict=True):
+        out = out.when(column <= high, F.lit(label))
+    return out
 
 
 def equal_width_bin(column: Column, low: Column, high: Column, bins: int) -> Column:

@@ -196,19 +196,19 @@ def music_catalog(df: DataFrame, order: Sequence[str], key: str = "track_id", na
     if "tempo" in there:
         df = df.withColumn("tempo", N.within(_number("tempo"), 50, 250))
         df = df.withColumn("tempo_category", N.cut_bins(F.col("tempo"), [0, 90, 120, 140, 200, 300], ["Slow", "Moderate", "Fast", "Very Fast", "Extreme"], include_lowest=True))
-    listed = {"genre": _single_spaced(F.regexp_replace(F.lower(_stripped("genre")), r"(?U)[^\w\s,]", "")), "tags": F.lower(_stripped("tags"))}
-    df = df.withColumns({c: F.when(F.lower(_stripped(c)) != "nan", e) for c, e in listed.items() if c in there})
+    listed = {c: F.nullif(F.lower(_stripped(c)), F.lit("nan")) for c in ("genre", "tags") if c in there}
+    df = df.withColumns({c: _single_spaced(F.regexp_replace(e, r"(?U)[^\w\s,]", "")) if c == "genre" else e for c, e in listed.items()})
     df = _with(df, {"genre_count": (["genre"], T.list_count(F.col("genre"))), "tag_count": (["tags"], T.list_count(F.col("tags")))})
     df = df.withColumns({c: _number(c).cast("int") for c in CATEGORIES if c in there})
     energy, valence = F.col("energy"), F.col("valence")
-    mood = (F.when((energy >= 0.5) & (valence >= 0.5), "Happy/Energetic").when((energy >= 0.5) & (valence < 0.5), "Angry/Intense")
-            .when((energy < 0.5) & (valence >= 0.5), "Peaceful/Calm").when((energy < 0.5) & (valence < 0.5), "Sad/Melancholic").otherwise("Unknown"))
+    mood = (F.when(energy.isNull() | valence.isNull(), "Unknown").when(energy >= 0.5, F.when(valence >= 0.5, "Happy/Energetic").otherwise("Angry/Intense"))
+            .otherwise(F.when(valence >= 0.5, "Peaceful/Calm").otherwise("Sad/Melancholic")))
     features = [c for c in (*UNIT_FEATURES, "loudness", "tempo") if c in there]
     df = _with(df, {
         "mood_category": (["energy", "valence"], mood),
         "danceability_level": (["danceability"], N.cut_bins(F.col("danceability"), [0, 0.3, 0.6, 0.8, 1.0], ["Low", "Medium", "High", "Very High"], include_lowest=True)),
         "acoustic_electronic": (["acousticness", "energy"], F.when(F.col("acousticness") > 0.6, "Acoustic").when(energy > 0.7, "Electronic").otherwise("Mixed")),
-        **({"feature_completeness": ([], N.completeness(*[F.col(c) for c in features]))} if features else {}),
+        **({"feature_completeness": ([], F.size(F.array_compact(F.array(*features))) / len(features))} if features else {}),
     })
     if artist not in there:
         return tables.drop_incomplete(df, [key, name])
