@@ -64,8 +64,9 @@ c AS (SELECT row_id, track_name, artists, source_year, coalesce(track_pop, m_tra
 
 
 def _years(raw_tracks):
-    named = raw_tracks.withColumnsRenamed({"popularity": "track_pop", "artists": "artist_name"}).drop("source_year")
-    return cleaning.yearly_tracks({y: named.where(F.col("album_name") == f"tiktok_{y}") for y in ("2021", "2022")}, ["row_id", "track_pop"])
+    named = raw_tracks.withColumnsRenamed({"popularity": "track_pop", "artists": "artist_name"})
+    year = lambda y: named.where(F.col("album_name") == f"tiktok_{y}").select("row_id", "track_name", "artist_name", "track_pop", *cleaning.YEARLY_RANGES)
+    return cleaning.yearly_tracks({y: year(y) for y in ("2021", "2022")}, ["row_id", "track_pop"])
 
 
 @query("raw_tracks", _CLEAN_YEARS + f"SELECT row_id, track_name, artists, source_year, track_pop, {', '.join(cleaning.YEARLY_RANGES)} FROM c")

@@ -40,6 +40,10 @@ def test_catalog_cleaning_job(spark, sf_dir, largest):
     assert 0 < largest(_job(spark, sf_dir, "ds14_catalog_cleaning_job")) <= 8000
 
 
+def test_yearly_cleaning_job(spark, sf_dir, largest):
+    assert 0 < largest(_job(spark, sf_dir, "ds14_yearly_cleaning_job")) <= 8000
+
+
 def test_white_space_of_every_kind_goes(spark):
     df = spark.createDataFrame([(1, " \x85 a b 　\n\r\n", "x", 1.0), (2, "  \x0b\t", "x", 1.0)], "n int, track_id string, track_name string, energy double")
     assert [r.track_id for r in cleaning.track_table(df, ["n"]).collect()] == ["a b"]
