@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from resona.functions.fuzzy import all_scores, edit_ratio, likely_match, partial_ratio, ratio, token_sort_ratio, weighted
 from resona.functions.numeric import cut_bins
 from resona.operators.catalog import merge_duplicates
+from resona.operators.scores import PLATFORMS, QUALITY_FEATURES
 from resona.operators.tables import settled, top_per_group
 
 
@@ -154,8 +155,12 @@ def resolve(df: DataFrame, key: str, least: float = 85) -> DataFrame:
 
 
 def merge_similar(df: DataFrame, key: str, features: Sequence[str], least: float = 95) -> DataFrame:
-    """Rows whose keys fall to one leader at ``least`` merged into one; the leader names the merged row. Rows without a key stay apart from them, as one."""
-    return merge_duplicates(resolve(df, key, least), [key], features)
+    """Rows whose keys fall to one leader at ``least`` merged into one; the leader names the merged row. Rows without a key stay apart from them, as one.
+
+    Keys are often cleaned names, which cost more than the merge does, and the merge reads its rows several times: the columns it needs are written once.
+    """
+    needed = {key, *features, *QUALITY_FEATURES, *PLATFORMS, "rec_id", "source_dataset", "genre", "normalized_popularity", "source_count"}
+    return merge_duplicates(resolve(settled(df.select(*[c for c in df.columns if c in needed])), key, least), [key], features)
 
 
 CONFIDENCE = ([0, 70, 85, 95, 100], ["low", "medium", "high", "exact"])
