@@ -201,8 +201,9 @@ def with_master_id(masters: DataFrame, group: str) -> DataFrame:
 
 
 def id_mapping(df: DataFrame, group: str) -> DataFrame:
-    """master_id with its (source, record) pairs."""
-    return df.groupBy(F.sha2(F.col(group), 256).alias("master_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("source_dataset").alias("source"), F.col("rec_id").alias("record")))).alias("records"))
+    """master_id with its (source, record) pairs. Ids are shuffled as bytes, which take half of their text's room."""
+    records = F.array_sort(F.collect_list(F.struct(F.col("source_dataset").alias("source"), F.col("rec_id").alias("record"))))
+    return df.groupBy(F.unhex(F.sha2(F.col(group), 256)).alias("_id")).agg(records.alias("records")).select(F.lower(F.hex("_id")).alias("master_id"), "records")
 
 
 def merge_duplicates(df: DataFrame, keys: Sequence[str], features: Sequence[str], few: int = MOST_GATHERED) -> DataFrame:

@@ -235,9 +235,9 @@ def er9_er1_survivorship(tracks):
 @query("tracks", f"SELECT sha256(k) AS master_id, count(*) AS n, min(rec_id) AS first_record FROM ({_KEYED}) GROUP BY 1")
 def er10_jn14_id_mapping(tracks):
     keyed = tracks.withColumn("k", F.concat("artist_name", F.lit("||"), "track_name"))
-    mapping = catalog.id_mapping(keyed, "k").select("master_id", F.explode("records").alias("r"))
-    back = mapping.join(tracks.select("rec_id").distinct(), F.col("r.record") == F.col("rec_id"))
-    return back.groupBy("master_id").agg(F.count("*").alias("n"), F.min("rec_id").alias("first_record"))
+    mapping = catalog.id_mapping(keyed, "k").select(F.unhex("master_id").alias("id"), F.explode("records.record").alias("rec_id"))
+    back = mapping.join(tracks.select("rec_id").distinct(), "rec_id").groupBy("id").agg(F.count("*").alias("n"), F.min("rec_id").alias("first_record"))
+    return back.select(F.lower(F.hex("id")).alias("master_id"), "n", "first_record")
 
 
 @query("songs", """
