@@ -171,10 +171,14 @@ def strategies(success: DataFrame) -> DataFrame:
 
 
 def predicted_platforms(songs: DataFrame, affinity: DataFrame, columns: Sequence[str], key: str = "rec_id") -> DataFrame:
-    """Per song and platform the correlation-weighted sum of its features, and the rank; ``affinity`` has platform, feature, r."""
+    """Per song and platform the correlation-weighted sum of its features, and the rank; ``affinity`` has platform, feature, r.
+
+    A song's rows are summed first: one row per song is shuffled, and its features and platforms stay where it is.
+    """
     from pyspark.sql import Window
 
-    long = songs.unpivot([key], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
+    sums = songs.groupBy(key).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in columns])
+    long = sums.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])))
     total = long.join(F.broadcast(affinity.select("platform", "feature", "r")), "feature").groupBy(key, "platform").agg(F.sum(F.col("value") * F.col("r")).alias("score"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "platform")))
 

@@ -1,10 +1,10 @@
-"""What the id mapping shuffles."""
+"""What the id mapping and the platform prediction shuffle."""
 
 from __future__ import annotations
 
 import hashlib
 
-from resona.operators import catalog
+from resona.operators import catalog, insights
 
 
 def test_ids_are_shuffled_as_bytes(spark, capfd):
@@ -13,3 +13,12 @@ def test_ids_are_shuffled_as_bytes(spark, capfd):
     found.explain()
     assert "unhex(sha2(" in capfd.readouterr().out
     assert sorted(((r.master_id or "", [tuple(x) for x in r.records]) for r in found.collect())) == [("", [("s", "r2")]), (hashlib.sha256(b"k").hexdigest(), [("s", "r1"), ("t", "r0")])]
+
+
+def test_prediction_shuffles_one_row_per_song(spark, capfd):
+    songs = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, None), ("b", None, 1.0), ("c", None, None)], "rec_id string, x double, y double")
+    affinity = spark.createDataFrame([("p", "x", 0.5), ("p", "y", -1.0), ("q", "x", 1.0)], "platform string, feature string, r double")
+    found = insights.predicted_platforms(songs, affinity, ["x", "y"])
+    found.explain()
+    assert capfd.readouterr().out.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == [("a", "p", 0.0, 2), ("a", "q", 4.0, 1), ("b", "p", -1.0, 1), ("b", "q", None, 2), ("c", "p", None, 1), ("c", "q", None, 2)]
