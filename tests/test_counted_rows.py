@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -45,3 +46,17 @@ def test_counted_forests_answer_as_those_on_all_rows(spark, tmp_path):
             assert loaded.transform(df.na.drop()).where("prediction = 1").count() == chosen.transform(df.na.drop()).where("prediction = 1").count()
     gaps = np.array([np.subtract(seen["counted"][k], seen["rows"][k]) for k in seen["rows"]])
     assert set(seen["counted"]) == set(seen["rows"]) and (np.abs(gaps).mean(0) < (0.06, 0.35)).all(), np.abs(gaps).mean(0)
+
+
+def test_clusters_of_counted_rows_cost_as_those_of_all_rows(spark):
+    df = _copies(spark).na.drop()
+    ready, points = models.vectors(df, ["x", "y"]), models.counted(df, ["x", "y"], many=0)
+    assert points.count() <= 40
+    model, labelled = models.cluster(df, ["x", "y"], 3, many=0)
+    assert labelled.count() == 4000
+    full = min(KMeans(k=3, seed=s).fit(ready).summary.trainingCost for s in (1, 2, 3))
+    found = min(models.centred(points, ["x", "y"], 3, s).summary.trainingCost for s in (1, 2, 3))
+    assert abs(found - full) <= 0.1 * full, (found, full)
+    assert model.summary.predictions.count() == points.count()
+    own = model.transform(ready).withColumnRenamed("prediction", "cluster")
+    assert abs(models.silhouette(own) - models.silhouette(labelled)) < 1e-9
