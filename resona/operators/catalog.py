@@ -138,6 +138,8 @@ def engagement_popularity(df: DataFrame, weights: Mapping[str, float]) -> DataFr
 
 #: rows up to which a group's medians and modes are taken inside the group
 MOST_GATHERED = 10_000
+#: buckets of hashes that are counted to find groups of more rows
+SIZE_BUCKETS = 1 << 17
 
 
 def _median_in(rows: Column, field: str) -> Column:
@@ -163,11 +165,18 @@ def _merged(df: DataFrame, group: str, aggregates: Sequence[Column], features: S
     """
 
     def gathered(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy(group).agg(*aggregates, F.collect_list(F.struct(*features, "genre")).alias("_rows"))
+        # rows are shuffled as they are: groups are small, and buffers of single rows take several times their room
+        found = rows.repartition(group).groupBy(group).agg(*aggregates, F.collect_list(F.struct(*features, "genre")).alias("_rows"))
         figures = {f: _median_in(F.col("_rows"), f) for f in features} | {"genre": _mode_in(F.col("_rows"), "genre")}
         return found.withColumns(figures).drop("_rows")
 
-    large = settled(df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(group))
+    # a group is at most as large as its bucket of hashes, so the keys of small buckets needn't be counted
+    bucket = F.pmod(F.xxhash64(group), F.lit(SIZE_BUCKETS)).cast("int")
+    crowded = [r["_b"] for r in df.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select("_b").collect()]
+    if not crowded:
+        return gathered(df)
+    near = df.where(bucket.isin(crowded)) if len(crowded) <= 1000 else df
+    large = settled(near.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(group))
     if large.isEmpty():
         return gathered(df)
     hot = df.join(large, group, "left_semi")

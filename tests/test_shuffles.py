@@ -22,3 +22,17 @@ def test_prediction_shuffles_one_row_per_song(spark, capfd):
     found.explain()
     assert capfd.readouterr().out.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, found.collect())) == [("a", "p", 0.0, 2), ("a", "q", 4.0, 1), ("b", "p", -1.0, 1), ("b", "q", None, 2), ("c", "p", None, 1), ("c", "q", None, 2)]
+
+
+def test_merges_shuffle_rows_and_count_keys_of_crowded_buckets_alone(spark, capfd, monkeypatch):
+    rows = [(f"k{i % 40}", f"s{i % 3}", i % 3, f"r{i:03}", float(i % 7), "pop" if i % 2 else "unknown", float(i)) for i in range(200)]
+    tracks = spark.createDataFrame(rows, "k string, source_dataset string, source_priority int, rec_id string, energy double, genre string, popularity_score double")
+    found = catalog.merge_groups(tracks, "k", ["energy"], base=("rec_id",))
+    found.explain()
+    plan = capfd.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+    expected = sorted(map(str, found.collect()))
+    assert len(expected) == 40
+    monkeypatch.setattr(catalog, "SIZE_BUCKETS", 3)
+    for few in (4, 5, 60, 199):  # groups of 5 rows in buckets of more
+        assert sorted(map(str, catalog.merge_groups(tracks, "k", ["energy"], base=("rec_id",), few=few).collect())) == expected
