@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
-from resona.operators import catalog, insights
+import numpy as np
+
+from resona.operators import catalog, insights, models
 
 
 def test_ids_are_shuffled_as_bytes(spark, capfd):
@@ -36,3 +38,17 @@ def test_merges_shuffle_rows_and_count_keys_of_crowded_buckets_alone(spark, capf
     monkeypatch.setattr(catalog, "SIZE_BUCKETS", 3)
     for few in (4, 5, 60, 199):  # groups of 5 rows in buckets of more
         assert sorted(map(str, catalog.merge_groups(tracks, "k", ["energy"], base=("rec_id",), few=few).collect())) == expected
+
+
+def test_neighbours_sort_only_what_reaches_the_best(monkeypatch):
+    rng, sorted_rows, lexsort = np.random.default_rng(4), [], np.lexsort
+    y = np.repeat(rng.normal(size=(300, 6)), 2, axis=0)  # every vector twice, so that keys decide
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    i = rng.permutation(len(y))
+    monkeypatch.setattr(models.np, "lexsort", lambda keys: (sorted_rows.append(len(keys[0])), lexsort(keys))[1])
+    found = models._best_of(i[:20], y[:20], i, y, 5)
+    for n in range(20):
+        want = sorted((-round(float(y[n] @ y[m]), 12), int(i[m])) for m in range(len(y)) if m != n)[:5]
+        assert found[found["query"] == i[n]]["item"].tolist() == [m for _, m in want]
+    assert len(sorted_rows) == 1 and sorted_rows[0] <= 20 * 7  # of 12,000 pairs
+    assert len(models._best_of(i[:2], y[:2], i[:4], y[:4], 5)) == 6
