@@ -174,7 +174,7 @@ def sc7_fallback_virality(songs):
 def ds15_ml20_ml24_training_job(songs):
     """Feature selection, one forest per audience target, and the importances of each."""
     features = ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo"]
-    ready = songs.where("danceability IS NOT NULL AND energy IS NOT NULL")
+    ready = tables.settled(songs.where("danceability IS NOT NULL AND energy IS NOT NULL").select(*features, "normalized_popularity", "genre", "platform"))
     chosen = models.select_features(ready.where("normalized_popularity IS NOT NULL"), features, "normalized_popularity", k=6)
     trained = models.audience_models(ready, chosen, ["genre", "platform"], trees=10, depth=5)
     parts = [models.importances(model, chosen, songs.sparkSession).withColumn("target", F.lit(name)) for name, (model, _) in trained.items()]
