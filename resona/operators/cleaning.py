@@ -183,7 +183,7 @@ def chart_table(df: DataFrame, numbers: Sequence[str], percentages: Sequence[str
 def music_catalog(df: DataFrame, order: Sequence[str], key: str = "track_id", name: str = "name", artist: str = "artist") -> DataFrame:
     """Catalog rows with id, name and artist, one per id: years, lengths, loudness and tempo outside their bounds are null, unit
     features are clipped; counts of artists, genres, tags and of the artist's tracks, categories, and the share of known features."""
-    df = tables.first_row(df, [key], order)
+    df = tables.first_of_few(tables.settled(df), [key], order)
     there = set(df.columns)
     df = df.withColumns({c: F.nullif(_stripped(c), F.lit("nan")) for c in (name, artist) if c in there})
     df = _with(df, {"name_length": ([name], F.char_length(name)), "artist_count": ([artist], F.coalesce(F.size(F.split(F.col(artist), ARTIST_SPLIT)), F.lit(1)))})
@@ -214,8 +214,8 @@ def music_catalog(df: DataFrame, order: Sequence[str], key: str = "track_id", na
         return tables.drop_incomplete(df, [key, name])
     # an artist may hold a third of the rows: counted before the shuffle, joined back as one row per artist.
     # Rows that the last step drops count too.
-    per_artist = df.where(F.col(artist).isNotNull()).groupBy(artist).agg(F.count("*").alias("artist_track_count"))
-    return tables.drop_incomplete(df, [key, name, artist]).join(per_artist, artist)
+    per_artist = tables.settled(df.where(F.col(artist).isNotNull()).groupBy(artist).agg(F.count("*").alias("artist_track_count")))
+    return tables.join_by_hash(tables.drop_incomplete(df, [key, name, artist]), per_artist, artist)
 
 
 def audio_table(df: DataFrame, names: Mapping[str, str], ranges: Mapping[str, tuple[float, float]], plain: Sequence[str] = ("key", "mode", "time_signature", "duration_ms", "loudness")) -> DataFrame:

@@ -129,7 +129,7 @@ SELECT row_id, track_id, name, artist, CAST(length(name) AS INT) AS name_length,
   round(({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in [*_UNIT, 'loudness', 'tempo'])}) / 9.0, 6) AS feature_completeness
 FROM x JOIN a USING (artist) WHERE track_id IS NOT NULL AND name IS NOT NULL""")
 def ds14_catalog_cleaning_job(raw_tracks):
-    named = raw_tracks.withColumnsRenamed({"track_name": "name", "artists": "artist", "track_genre": "genre"})
+    named = raw_tracks.drop("album_name", "popularity", "explicit", "time_signature", "source_year").withColumnsRenamed({"track_name": "name", "artists": "artist", "track_genre": "genre"})
     out = cleaning.music_catalog(named, ["row_id"])
     return out.select(
         "row_id", "track_id", "name", "artist", "name_length", "artist_count", "artist_track_count", "year", "decade", F.round("duration_min", 6).alias("duration_min"), "loudness", "tempo", "tempo_category", "genre", "genre_count",
