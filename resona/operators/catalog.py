@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from resona.operators.quantiles import group_quantiles, quantile_row
 from resona.operators.scores import PLATFORMS, data_quality
-from resona.operators.tables import settled
+from resona.operators.tables import lone_and_shared, settled
 
 # Default audiences by genre word, in order.
 GENRE_AUDIENCES = {
@@ -28,6 +28,9 @@ GENRE_AUDIENCES = {
 # Popularity by platform where nothing else is known.
 PLATFORM_DEFAULTS = {"spotify": 45.0, "youtube": 35.0, "tiktok": 55.0}
 
+#: genres whose means are broadcast
+MOST_GENRES = 100_000
+
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Gaps take the column's exact median."""
@@ -90,7 +93,8 @@ def platform_popularity(df: DataFrame) -> DataFrame:
     value = F.col("avg_popularity").cast("double")
     log = F.log10(F.when(value == 0, 1.0).otherwise(value))
     ends = quantile_row(df.where("youtube").select(log.alias("log")), ["log"], (0.01, 0.99)).select(F.col("log")[0].alias("_y1"), F.col("log")[1].alias("_y99"))
-    row = df.agg(F.min(F.when(F.col("tiktok"), value)).alias("_t0"), F.max(F.when(F.col("tiktok"), value)).alias("_t1")).crossJoin(F.broadcast(ends))
+    # written, so that what reads the result doesn't replay it
+    row = settled(df.agg(F.min(F.when(F.col("tiktok"), value)).alias("_t0"), F.max(F.when(F.col("tiktok"), value)).alias("_t1")).crossJoin(F.broadcast(ends)))
     score = (
         F.when(value.isNull(), F.lit(None).cast("double"))
         .when(F.col("tiktok"), F.when(F.col("_t1") <= 100, value).otherwise((value - F.col("_t0")) / (F.col("_t1") - F.col("_t0")) * 100))
@@ -101,7 +105,8 @@ def platform_popularity(df: DataFrame) -> DataFrame:
 
 def fill_popularity(df: DataFrame, defaults: Mapping[str, float] = PLATFORM_DEFAULTS, last: float = 40.0) -> DataFrame:
     """Gaps take the mean of their known genre, then the default of their first platform, then ``last``; all within 0-100."""
-    means = df.where("genre <> 'unknown'").groupBy("genre").agg(F.avg("normalized_popularity").alias("_mean"))
+    means = settled(df.where("genre <> 'unknown'").groupBy("genre").agg(F.avg("normalized_popularity").alias("_mean")))
+    means = F.broadcast(means) if means.count() <= MOST_GENRES else means
     by_platform = reduce(lambda w, p: w.when(F.col(p[0]), F.lit(p[1])), defaults.items(), F)
     filled = F.coalesce("normalized_popularity", "_mean", by_platform.otherwise(F.lit(last)))
     return df.join(means, "genre", "left").withColumn("normalized_popularity", F.least(F.greatest(filled, F.lit(0.0)), F.lit(100.0))).drop("_mean")
@@ -197,13 +202,33 @@ def merge_groups(df: DataFrame, group: str, features: Sequence[str], base: Seque
         F.avg("popularity_score").alias("avg_popularity"),
         F.max("popularity_score").alias("max_popularity"),
     ]
-    met = _merged(df.where(F.col(group).isNotNull()), group, aggregates, features, few)
+    return _masters(_merged(df.where(F.col(group).isNotNull()), group, aggregates, features, few), group, features, base)
+
+
+def _masters(met: DataFrame, group: str, features: Sequence[str], base: Sequence[str]) -> DataFrame:
     return met.select(
         group, *[F.col("first")[c].alias(c) for c in base], F.col("first.source_dataset").alias("primary_source"), "record_count",
         F.size("all_sources").cast("long").alias("source_count"), "all_sources", *features, "avg_popularity", "max_popularity", "genre",
         *[F.expr(f"exists(all_sources, s -> contains(s, '{p}'))").alias(p) for p in PLATFORMS])
 
 
+def merge_few_groups(df: DataFrame, group: str, features: Sequence[str], base: Sequence[str] = ("track_name", "artist_name"), few: int = MOST_GATHERED) -> DataFrame:
+    """As ``merge_groups`` over a settled table most of whose groups have one row.
+
+    A row alone in its group is its master. Only the rows of other groups are shuffled, and their masters written.
+    """
+    lone, shared = lone_and_shared(df.where(F.col(group).isNotNull()), [group])
+    merged = settled(merge_groups(shared, group, features, base, few))
+    if lone is None:
+        return merged
+    kind = {f.name: f.dataType for f in merged.schema.fields}
+    known = F.nullif(F.col("genre"), F.lit("unknown"))
+    alone = lone.select(
+        group, F.struct(*base, "source_dataset").alias("first"), F.lit(1).cast("long").alias("record_count"), F.array_compact(F.array("source_dataset")).alias("all_sources"), *[F.col(f).cast(kind[f]).alias(f) for f in features],
+        F.col("popularity_score").cast(kind["avg_popularity"]).alias("avg_popularity"), F.col("popularity_score").alias("max_popularity"), F.coalesce(known, F.lit("unknown")).alias("genre"))
+    return _masters(alone, group, features, base).unionByName(merged)
+
+
 def with_master_id(masters: DataFrame, group: str) -> DataFrame:
     """master_id: a hash of the group's key, the same in every run."""
     return masters.withColumn("master_id", F.sha2(F.col(group), 256))

@@ -262,18 +262,21 @@ def val19_source_contribution(tracks):
     return tracks.groupBy("source_dataset").agg(F.min("source_priority").alias("priority"), F.count("*").alias("rows"), F.round((F.count("energy") + F.count("danceability")) * 50 / F.count("*"), 6).alias("completeness"))
 
 
+_MEASURED = ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"]
+
+
 def flagship(tracks, least=None):
     """Resolved, repaired, normalised and scored master catalog; ``least`` also merges composite keys at that ratio.
 
-    The masters are written once, and once more with their popularity, so that the global and
-    genre figures read them and not the tracks.
+    The tracks are written once with their keys, and so are the masters of several tracks; global and genre figures read these.
     """
     keyed = tracks.withColumn("k", T.composite_key(F.col("artist_name"), F.col("track_name")))
     if least is not None:
         keyed = matching.resolve(keyed, "k", least)
-    keyed = tables.settled(keyed)  # cleaning the names costs more than all that follows
-    masters = catalog.merge_groups(keyed, "k", ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness", "tempo", "loudness"])
-    normalized = tables.settled(catalog.platform_popularity(catalog.repair_platforms(tables.settled(masters))))
+    # cleaning the names costs more than all that follows
+    keyed = tables.settled(keyed.select("k", "rec_id", "source_dataset", "source_priority", "track_name", "artist_name", "genre", "popularity_score", *_MEASURED))
+    masters = catalog.merge_few_groups(keyed, "k", _MEASURED)
+    normalized = catalog.platform_popularity(catalog.repair_platforms(masters))
     named = catalog.with_master_id(normalized, "k")  # hashes don't pack, so they aren't written
     return scores.with_ar_scores(catalog.fill_popularity(named).withColumn("genre", catalog.infer_genre()))
 

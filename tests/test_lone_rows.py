@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from resona.operators import cleaning, tables
+from resona.operators import catalog, cleaning, tables
+from resona.plans import scoring
+from resona.sources.fixtures import view
 
 
 def _songs(spark):
@@ -42,3 +44,28 @@ def test_equal_hashes_and_many_repeats_change_nothing(spark, monkeypatch, hashes
     monkeypatch.setattr(F, "xxhash64", lambda *columns: F.pmod(real(*columns), F.lit(hashes)))
     assert sorted(map(str, tables.first_of_few(df, ["track_id"], ["n"]).collect())) == first
     assert sorted((r.n, r.artist, r.artist_track_count) for r in cleaning.music_catalog(df, ["n"]).collect()) == expected
+
+
+def test_lone_rows_are_masters_as_they_are(spark, monkeypatch):
+    odd = [("a", None, 1, "r1", "x", float("nan"), None, None), ("b", "s", 2, "r2", None, None, "unknown", 7), ("c", "youtube", 3, "r3", "y", 0.5, "pop", 0), (None, "s", 1, "r4", "n", 0.5, "pop", 3)]
+    more = [(f"g{i % 3}", f"s{i % 2}", i % 2, f"q{i}", "z", float(i), "rock" if i % 2 else "unknown", i) for i in range(9)]
+    df = spark.createDataFrame(odd + more, "k string, source_dataset string, source_priority int, rec_id string, track_name string, energy double, genre string, popularity_score int")
+    want, found = catalog.merge_groups(df, "k", ["energy"], base=("track_name",)), catalog.merge_few_groups(df, "k", ["energy"], base=("track_name",))
+    assert [(f.name, f.dataType.simpleString()) for f in want.schema.fields] == [(f.name, f.dataType.simpleString()) for f in found.schema.fields]
+    expected = sorted(map(str, want.collect()))
+    assert len(expected) == 6 and sorted(map(str, found.collect())) == expected
+    real = F.xxhash64
+    for hashes in (1, 4):
+        monkeypatch.setattr(F, "xxhash64", lambda *columns, n=hashes: F.pmod(real(*columns), F.lit(n)))
+        assert sorted(map(str, catalog.merge_few_groups(df, "k", ["energy"], base=("track_name",)).collect())) == expected
+
+
+def test_integration_shuffles_no_rows_of_their_own(spark, sf_dir, capfd):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scoring.flagship(view(spark, sf_dir, "tracks").limit(300)).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capfd.readouterr().out
+    assert "BroadcastHashJoin [genre" in plan and "hashpartitioning(genre" not in plan and "hashpartitioning(k" not in plan
